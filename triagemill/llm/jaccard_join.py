@@ -7,8 +7,8 @@ the length filter, the positional filter and the suffix filter (which bounds the
 before their whole sets are compared, once a pair.
 
 What is asked for are the components of the links, so a pair inside a component needs no comparison. While the lists of a
-shingle hold many more pairs than rows, each list is compared with one of its members only (another in every round), which
-joins large groups of near copies into components in time linear in their size. As soon as the pairs across components are few, or
+shingle hold many more pairs than rows, the rows of a list are compared with one of its members only (of each size class, by the
+hash of its shingle, so that a group of near copies has several), which joins such groups in time linear in their size. As soon as the pairs across components are few, or
 the rounds are used up, all of them are compared; none is left out, so the components are exact.
 
 Defined cases: a null, empty or wordless text has no set, links with nothing and is its own component; null ids take no part
@@ -18,6 +18,8 @@ words than a shingle is one shingle; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,14 @@ SHINGLE = 3
 #: Percent of the union that two sets must share.
 PERCENT = 90
 #: Buckets of the shingle frequencies: a table of this many counts is all that is broadcast of them.
-BUCKET_BITS = 19
+BUCKET_BITS = 21
 #: Parts of the hash range in the suffix filter.
-PARTS = 32
-#: All pairs across components are compared once there are at most this many a row of the lists; else after so many rounds.
-PAIRS_A_ROW = 2
-ROUNDS = 8
+PARTS = 128
+#: All pairs across components are compared once their lists hold at most so many a row of all prefixes; else after so many rounds.
+PAIRS_A_ROW = 0.5
+ROUNDS = 1
+#: Members of a list, by the hash of its shingle, that a round compares the others with: so many for a group of near copies.
+LEADERS = 8
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -66,23 +70,37 @@ def overlap_needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def bucket_frequencies(docs: DataFrame, shingle: int, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Of each hash bucket, the shingles that the documents' sets have in it: 2 ** bits counts, whatever the corpus."""
-    shift = U64(64 - bits)
+    """Of each hash bucket, the shingles that the documents' sets have in it: 2 ** bits counts, whatever the corpus.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends its counts as compressed stretches, which are summed as they stream in, so no group is ever held."""
+    shift, stretch = U64(64 - bits), 1 << min(16, bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part.column("text"), shingle)
-                total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=1 << bits)
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 1 << 16):
-            at = some[a : a + (1 << 16)]
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+                np.add.at(total, (np.concatenate(sets) >> shift).astype(np.int64), 1)
+        yield from packed({i: total[i * stretch : (i + 1) * stretch] for i in range(len(total) // stretch)})
+
+    def packed(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, counts in totals.items():
+            if counts.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["stretch", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column("stretch").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.frombuffer(zlib.decompress(counts), np.int64)
+                totals[i] = totals[i] + counts if i in totals else counts
+        yield from packed(totals)
 
-    found = docs.select("text").mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    schema = "stretch int, counts binary"
+    sent = docs.select("text").mapInArrow(count, schema).repartition(max(1, (1 << bits) // stretch), "stretch").mapInArrow(add, schema)
     out = np.zeros(1 << bits, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    for row in sent.collect():
+        out[row.stretch * stretch : (row.stretch + 1) * stretch] += np.frombuffer(zlib.decompress(bytes(row.counts)), np.int64)
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
@@ -152,13 +170,16 @@ def compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, p
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_a_row: int = PAIRS_A_ROW, rounds: int = ROUNDS) -> DataFrame:
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", doc_key().alias("row"))
     seen = materialize(described(docs, bucket_frequencies(docs, shingle), shingle, percent), "join-described")
     nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
     nodes = materialize(nodes, "join-nodes")
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    # Similar sets are of one size class or of neighbouring ones.
+    grade = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    postings = nodes.select("node", "n", grade.alias("grade"), F.posexplode("prefix").alias("pos", "gram"))
+    total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
     postings = materialize(postings.join(lists, "gram"), "join-postings")
 
@@ -175,18 +196,22 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
         # Lists inside one component are done.
         apart = at.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("gram")
         at = materialize(at.join(apart, "gram", "left_semi"), "join-open")
-        counted = at.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        rows, across = counted.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()
+        # Pairs of a list across components, by size class: of one class, and at most twice as many of two neighbouring ones.
+        counted = at.groupBy("gram", "grade", "component").agg(F.count("*").alias("k")).groupBy("gram", "grade").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        rows, across = counted.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) * 1.5), F.lit(0.0))).first()
         if not rows:
             break
-        every = across <= pairs_a_row * rows or turn == rounds
+        every = across <= pairs_a_row * total or turn == rounds
         if every:
-            x, y = at.alias("x"), at.alias("y")
-            on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-            met = x.join(y, on & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            # A pair meets in the larger one's class, so each row stands in its own class and the next.
+            x = at.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1))).alias("x")
+            y = at.alias("y")
+            larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+            on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.grade") == F.col("y.grade")) & larger & (F.col("x.component") != F.col("y.component"))
+            met = x.join(y, on & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         else:
-            member = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "pos", "component"))
-            met = at.join(at.groupBy("gram").agg(member.alias("m")), "gram").where((F.col("component") != F.col("m.component")) & passes(F.col("n"), F.col("pos"), F.col("m.n"), F.col("m.pos")))
+            member = F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(leaders)), F.lit(turn)).alias("by"), "node", "n", "pos", "component"))
+            met = at.join(at.groupBy("gram", "grade").agg(member.alias("m")), ["gram", "grade"]).where((F.col("component") != F.col("m.component")) & passes(F.col("n"), F.col("pos"), F.col("m.n"), F.col("m.pos")))
             met = met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
         met = met.distinct()
         if tested is not None:
