@@ -16,7 +16,9 @@ from triagemill.llm.common import documents, materialize, small
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return rules.judge(docs).where("kept").select(*docs.columns)
+    # Written first: a filter pushed into the measures would make whole arrays again for each of their elements.
+    judged = materialize(rules.judge(docs).select(*docs.columns, F.col("kept").alias("_kept")), "pipeline-judged")
+    return judged.where("_kept").select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
