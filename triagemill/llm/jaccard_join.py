@@ -42,6 +42,8 @@ PAIRS_A_ROW = 0.5
 ROUNDS = 1
 #: Members of a list, by the hash of its shingle, that a round compares the others with: so many for a group of near copies.
 LEADERS = 8
+#: Preceding grams of the prefix that a posting carries, so that a pair sharing a run of grams meets at the run's first.
+BEFORE = 2
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -178,7 +180,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
     nodes = materialize(nodes, "join-nodes")
     # Similar sets are of one size class or of neighbouring ones.
     grade = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    postings = nodes.select("node", "n", grade.alias("grade"), F.posexplode("prefix").alias("pos", "gram"))
+    postings = nodes.select("node", "n", grade.alias("grade"), "prefix", F.posexplode("prefix").alias("pos", "gram"))
+    before = [F.get("prefix", F.col("pos") - i).alias(f"before{i}") for i in range(1, BEFORE + 1)]
+    postings = postings.select("node", "n", "grade", "pos", "gram", *before)
     total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
     postings = materialize(postings.join(lists, "gram"), "join-postings")
@@ -208,7 +212,12 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
             y = at.alias("y")
             larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
             on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.grade") == F.col("y.grade")) & larger & (F.col("x.component") != F.col("y.component"))
-            met = x.join(y, on & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            # A pair that shares a gram just before this one meets there, under the same conditions, so not again here.
+            sooner = F.lit(False)
+            for i in range(1, BEFORE + 1):
+                for j in range(1, BEFORE + 1):
+                    sooner = sooner | F.coalesce(F.col(f"x.before{i}") == F.col(f"y.before{j}"), F.lit(False))
+            met = x.join(y, on & ~sooner & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         else:
             member = F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(leaders)), F.lit(turn)).alias("by"), "node", "n", "pos", "component"))
             met = at.join(at.groupBy("gram", "grade").agg(member.alias("m")), ["gram", "grade"]).where((F.col("component") != F.col("m.component")) & passes(F.col("n"), F.col("pos"), F.col("m.n"), F.col("m.pos")))
