@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one node. Shingles are
 ordered rare-first (by how often their hash bucket occurs in the corpus, a table of a fixed number of buckets, then by hash);
 two sets as similar as asked share a shingle among the first few of each, so only these prefixes are joined. Pairs must pass
-the length filter, the positional filter and the suffix filter (which bounds the overlap by that of the hash range's parts)
-before their whole sets are compared, once a pair.
+the length filter, the positional filter and the suffix filter in two forms (parity sketches, which bound the symmetric
+difference from below, inside the join; then the overlap of the hash range's parts) before their whole sets are compared, once a pair.
 
 What is asked for are the components of the links, so a pair inside a component needs no comparison. While the lists of a
 shingle hold many more pairs than rows, the rows of a list are compared with one of its members only (of each size class, by the
@@ -107,13 +107,13 @@ def bucket_frequencies(docs: DataFrame, shingle: int, bits: int = BUCKET_BITS) -
 
 
 def described(docs: DataFrame, frequencies: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, row, n, node, prefix: rare-first, parts: set sizes by part of the hash range) of every row of `docs`."""
+    """(doc_id, row, n, node, prefix: rare-first, parts: set sizes by part of the hash range, sketch0 and sketch1: parities of 128 hash cells) of every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
     shift = U64(64 - (len(frequencies).bit_length() - 1))
     part_shift = U64(64 - (PARTS.bit_length() - 1))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, node, prefix, parts = [], [], [], []
+        n, node, prefix, parts, sketch = [], [], [], [], []
         for s in shingle_sets(batch.column("text"), shingle):
             n.append(len(s))
             # The set's own hash: a sum of remixed members, remixed with its size.
@@ -121,10 +121,12 @@ def described(docs: DataFrame, frequencies: np.ndarray, shingle: int, percent: i
             order = np.argsort(shared.value[(s >> shift).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]
             prefix.append(s[order].view(np.int64))
             parts.append(np.bincount((s >> part_shift).astype(np.int64), minlength=PARTS).astype(np.int32))
-        columns = [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))]
-        return pa.record_batch(columns, ["doc_id", "row", "n", "node", "prefix", "parts"])
+            odd = np.bincount((s & U64(127)).astype(np.int64), minlength=128) & 1
+            sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+        columns = [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())), *[pa.array([x[i] for x in sketch], pa.int64()) for i in (0, 1)]]
+        return pa.record_batch(columns, ["doc_id", "row", "n", "node", "prefix", "parts", "sketch0", "sketch1"])
 
-    return arrow_map(docs.select("doc_id", "row", "text"), work, "doc_id long, row long, n long, node long, prefix array<long>, parts array<int>")
+    return arrow_map(docs.select("doc_id", "row", "text"), work, "doc_id long, row long, n long, node long, prefix array<long>, parts array<int>, sketch0 long, sketch1 long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,20 +178,24 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
     """(doc_id, n_shingles, component_id) of every row of `docs`."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", doc_key().alias("row"))
     seen = materialize(described(docs, bucket_frequencies(docs, shingle), shingle, percent), "join-described")
-    nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
+    nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("sketch0").alias("sketch0"), F.first("sketch1").alias("sketch1"))
     nodes = materialize(nodes, "join-nodes")
     # Similar sets are of one size class or of neighbouring ones.
     grade = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    postings = nodes.select("node", "n", grade.alias("grade"), "prefix", F.posexplode("prefix").alias("pos", "gram"))
+    postings = nodes.select("node", "n", "sketch0", "sketch1", grade.alias("grade"), "prefix", F.posexplode("prefix").alias("pos", "gram"))
     before = [F.get("prefix", F.col("pos") - i).alias(f"before{i}") for i in range(1, BEFORE + 1)]
-    postings = postings.select("node", "n", "grade", "pos", "gram", *before)
+    postings = postings.select("node", "n", "sketch0", "sketch1", "grade", "pos", "gram", *before)
     total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
     postings = materialize(postings.join(lists, "gram"), "join-postings")
 
-    def passes(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    def passes(x: str, y: str) -> Column:
+        n, m, pos, at = (F.col(f"{c}.{v}" if c else v) for v in ("n", "pos") for c in (x, y))
         length = (100 * n >= percent * m) & (100 * m >= percent * n)
-        return length & (1 + F.least(n - pos - 1, m - at - 1) >= overlap_needed(n, m, percent))
+        needed = overlap_needed(n, m, percent)
+        # Cells of different parity hold a shingle that only one of the sets has.
+        apart = [F.bit_count(F.col(f"{x}.{s}" if x else s).bitwiseXOR(F.col(f"{y}.{s}"))) for s in ("sketch0", "sketch1")]
+        return length & (1 + F.least(n - pos - 1, m - at - 1) >= needed) & (apart[0] + apart[1] <= n + m - 2 * needed)
 
     labels, links, tested = None, None, None
     for turn in range(rounds + 1):
@@ -217,10 +223,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
             for i in range(1, BEFORE + 1):
                 for j in range(1, BEFORE + 1):
                     sooner = sooner | F.coalesce(F.col(f"x.before{i}") == F.col(f"y.before{j}"), F.lit(False))
-            met = x.join(y, on & ~sooner & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            met = x.join(y, on & ~sooner & passes("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         else:
-            member = F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(leaders)), F.lit(turn)).alias("by"), "node", "n", "pos", "component"))
-            met = at.join(at.groupBy("gram", "grade").agg(member.alias("m")), ["gram", "grade"]).where((F.col("component") != F.col("m.component")) & passes(F.col("n"), F.col("pos"), F.col("m.n"), F.col("m.pos")))
+            member = F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(leaders)), F.lit(turn)).alias("by"), "node", "n", "pos", "component", "sketch0", "sketch1"))
+            met = at.join(at.groupBy("gram", "grade").agg(member.alias("m")), ["gram", "grade"]).where((F.col("component") != F.col("m.component")) & passes("", "m"))
             met = met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
         met = met.distinct()
         if tested is not None:
