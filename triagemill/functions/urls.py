@@ -29,7 +29,7 @@ RULES: tuple[LinkRule, ...] = (
     LinkRule("Nordea", r"(^|\.)nordea\.com$", r"/job/"),
     LinkRule("Novo Nordisk", r"(^|\.)novonordisk\.com$", r"/job/"),
     LinkRule("Teradyne", r"(^|\.)teradyne\.com$", r"/job/"),
-    LinkRule("NTT DATA", r"(^|\.)nttdata\.com$", r"/job/"),
+    LinkRule("NTT DATA", r"(^|\.)nttdata(-solutions)?\.com$", r"/job/"),
     LinkRule("Getinge", r"(^|\.)getinge\.com$", r"/job/"),
     LinkRule("Tetra Pak", r"(^|\.)tetrapak\.com$", r"/job/[^/]+/\d+"),
     LinkRule("Oracle", r"\.fa\.ocs\.oraclecloud\.(com|eu)$", r"/candidateexperience/.*/job/\d+"),
@@ -66,6 +66,13 @@ def normalize(link: Column, rules: tuple[LinkRule, ...] = RULES) -> Column:
     return out
 
 
+def jobindex_id(link: Column) -> Column:
+    """The listing's id out of the path, or else out of the query; empty if there is none."""
+    low = F.lower(F.coalesce(link, F.lit("")))
+    forms = (r"/jobannonce/([hr]\d+)", r"/bruger/dine-job/([hr]\d+)", r"[?&]jobid=([hr]\d+)(?:[&#]|$)", r"[?&]t=([hr]\d+)(?:[&#]|$)")
+    return F.coalesce(*[F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in forms], F.lit(""))
+
+
 def unwrap_tracker(link: Column) -> Column:
     """The target that a tracking link carries as base64 JSON in its query's `p`; the link itself if it carries none."""
     code = F.translate(F.regexp_extract(F.coalesce(link, F.lit("")), r"[?&]p=([A-Za-z0-9_\-=%]+)", 1), "-_", "+/")

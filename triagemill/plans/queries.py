@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
+from triagemill.operators import extract
 from triagemill.operators import triage as T
 from triagemill.profile import Profile
 from triagemill.sources.mail import parse_file
@@ -280,6 +281,13 @@ def parse_pages_udf(spark, sf):
     return rows.select("page_id", "p.title", F.length("p.text").alias("n_text"), F.size("p.links").alias("n_links"))
 
 
+@query("page_entries")
+def page_entries(spark, sf):
+    """Every link of a page stands for a listing of one site."""
+    listed = F.regexp_replace("html", "href=[\"'][^\"']*[\"']", "href=\"https://jobs.danfoss.com/job/1\"")
+    return extract.entries(table(spark, sf, "pages").select("page_id", listed.alias("html")), "page_id")
+
+
 _USE = "CASE WHEN trim(line) <> '' AND NOT contains(lower(line), 'http') THEN trim(line) END"
 
 
