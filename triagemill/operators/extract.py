@@ -18,6 +18,8 @@ LABELS = ("view job", "apply", "about the company", "save job", "settings")
 WORK = r"(?i)\((Hybrid|Remote|On-?site)\)"
 CARD = r"(?i)^(.+?)\s+([^·(]{2,}?)\s*·\s*([^(]{2,}?)\s*\((Hybrid|Remote|On-?site)\)"
 AGO = r"\d+\s+(?:minutes?|hours?|days?|weeks?)\s+ago\b"
+#: What every job link holds, or a tracking link that may hide one.
+LIKELY = r"(?i)jobs?/|jobannonce/|jobid=|[?&][tp]="
 PUBLISHED = r"\s*(.*?)\s*PUBLISHED\s*:"
 
 
@@ -33,20 +35,22 @@ def _work(tag: Column, otherwise: Column) -> Column:
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, ord, href, link, text, fragments, card, cell, block, block_first, block_links) of each job link of the pages.
 
-    The texts around a link are looked up before the rows are made, so that only job links carry them."""
+    Only anchors that may be job links are made rows and get the texts around them; links are then read as plain columns."""
 
     def around(page: Column, a: Column) -> Column:
         text = lambda name: F.get(page["texts"], a[name])
         inside = F.slice(page["anchors"], a["block_from"] + 1, a["block_links"])
         return F.struct(
-            a["ord"].alias("ord"), a["href"].alias("href"), U.normalize(U.unwrap_tracker(a["href"])).alias("link"), a["text"].alias("text"), a["fragments"].alias("fragments"),
+            a["ord"].alias("ord"), a["href"].alias("href"), a["text"].alias("text"), a["fragments"].alias("fragments"),
             text("card").alias("card"), text("cell").alias("cell"), text("block").alias("block"), a["block_first"].alias("block_first"),
             F.transform(inside, lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"))).alias("block_links"),
         )
 
     parsed = pages.select(key, anchors(html).alias("page"))
-    found = F.filter(F.transform("page.anchors", lambda a: around(F.col("page"), a)), lambda x: U.is_job_link(x["link"]))
-    return parsed.select(key, F.inline(found))
+    likely = F.filter("page.anchors", lambda a: a["href"].rlike(LIKELY))
+    rows = parsed.select(key, F.inline(F.transform(likely, lambda a: around(F.col("page"), a))))
+    rows = rows.withColumn("link", U.unwrap_tracker(F.col("href"))).withColumn("link", U.normalize(F.col("link")))
+    return rows.where(U.is_job_link(F.col("link")))
 
 
 def card_entries(found: DataFrame, key: str) -> DataFrame:
