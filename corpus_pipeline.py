@@ -1,7 +1,8 @@
 """The corpus pipeline: raw documents to packed training sequences, in five stages.
 
 Every stage takes all its predecessor kept, written as Parquet and read again. The last returns the pieces of sequences, the
-others the columns of `documents`. Rows without an id pass the near-duplicate stage unless they equal a row with one.
+others the columns of `documents`. Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are
+linked as near duplicates. Rows without an id pass the near-duplicate stage unless they equal a row with one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from triagemill.llm import jaccard_join, line_dedup, mixing, packing
 from triagemill.llm import quality as rules
 from triagemill.llm.common import documents, materialize, small
 
+#: Near copies: words of a shingle, and the percent of the union that two documents' shingles must share. op8's own figures are closer.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -30,7 +34,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, that with the least id."""
-    joined = materialize(jaccard_join.join(docs), "pipeline-groups")
+    joined = materialize(jaccard_join.join(docs, SHINGLE, PERCENT), "pipeline-groups")
     surplus = materialize(joined.where("NOT (doc_id <=> component_id)").select("doc_id").distinct(), "pipeline-surplus")
     n = surplus.count()
     kept = docs.join(small(surplus.where("doc_id IS NOT NULL"), n), "doc_id", "left_anti")

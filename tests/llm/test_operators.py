@@ -86,6 +86,48 @@ def test_jaccard_join(docs, rows, pairs_a_row):
     assert bag(jaccard_join.join(docs, pairs_a_row=pairs_a_row)) == expected
 
 
+def linked_groups(rows, shingle, percent):
+    """The group of each row, by comparing all pairs; and its set."""
+    sets = []
+    for r in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+        sets.append(frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else []))
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and group[i] != group[j] and 100 * len(a & b) >= percent * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group, sets
+
+
+def with_near_copies(rows):
+    """Copies with one replaced run of 24 of 300 words: five-word Jaccard 0.83, three-word 0.84."""
+    rng, out = random.Random(11), list(rows)
+    for i in range(12):
+        w = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        at = rng.randrange(270)
+        out += [(5000 + 2 * i, " ".join(w), *rows[0][2:]), (5001 + 2 * i, " ".join([*w[:at], *(f"u{rng.randrange(5000)}" for _ in range(24)), *w[at + 24 :]]), *rows[0][2:])]
+    return out
+
+
+@pytest.mark.parametrize("pairs_a_row", [0, 1e9])
+def test_jaccard_join_of_the_pipeline(spark, rows, pairs_a_row):
+    rows = with_near_copies(rows)
+    group, sets = linked_groups(rows, 5, 80)
+    least = {}
+    for r, g in zip(rows, group):
+        if r[0] is not None:
+            least[g] = min(r[0], least.get(g, r[0]))
+    expected = collections.Counter((r[0], len(s), least.get(g) if s else r[0]) for r, s, g in zip(rows, sets, group))
+    assert bag(jaccard_join.join(spark.createDataFrame(rows, SCHEMA), 5, 80, pairs_a_row=pairs_a_row)) == expected
+
+
+def test_pipeline_drops_near_copies(spark, rows):
+    planted = with_near_copies(rows[:1])[1:]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(planted, SCHEMA), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [5000 + 2 * i for i in range(12)]
+
+
 @pytest.mark.parametrize("index_bytes", [0, 1 << 25])
 def test_line_dedup(docs, rows, index_bytes):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))

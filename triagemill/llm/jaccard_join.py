@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from triagemill.llm.common import U64, Rolling, arrow_map, chunks, doc_key, documents, hash_words, materialize, mix, small, words_of
 
+#: The contract of op8; callers with another task pass their own.
 SHINGLE = 3
 #: Percent of the union that two sets must share.
 PERCENT = 90
@@ -252,4 +253,4 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir))
+    return join(documents(spark, sf_dir), SHINGLE, PERCENT)
