@@ -2,7 +2,8 @@
 
 Every stage takes all its predecessor kept, written as Parquet and read again. The last returns the pieces of sequences, the
 others the columns of `documents`. Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are
-linked as near duplicates. Rows without an id pass the near-duplicate stage unless they equal a row with one.
+linked as near duplicates. Rows without an id pass the near-duplicate stage unless they are linked, through others or not, to a
+row with one; rows that repeat an id are judged by their texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from triagemill.llm import jaccard_join, line_dedup, mixing, packing
 from triagemill.llm import quality as rules
-from triagemill.llm.common import documents, materialize, small
+from triagemill.llm.common import doc_key, documents, materialize, small
 
 #: Near copies: words of a shingle, and the percent of the union that two documents' shingles must share. op8's own figures are closer.
 SHINGLE, PERCENT = 5, 80
@@ -33,16 +34,17 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, that with the least id."""
-    joined = materialize(jaccard_join.join(docs, SHINGLE, PERCENT), "pipeline-groups")
-    surplus = materialize(joined.where("NOT (doc_id <=> component_id)").select("doc_id").distinct(), "pipeline-surplus")
-    n = surplus.count()
-    kept = docs.join(small(surplus.where("doc_id IS NOT NULL"), n), "doc_id", "left_anti")
-    if not surplus.where("doc_id IS NULL").isEmpty():
-        kept = kept.where("doc_id IS NOT NULL")
-    twice = joined.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of linked documents stays, that with the least id; all rows of a group without ids stay."""
+    joined = materialize(jaccard_join.keyed(docs, SHINGLE, PERCENT).select("row", "keeper"), "pipeline-groups")
+    surplus = materialize(joined.where("row <> keeper").select(F.col("row").alias("_row")).distinct(), "pipeline-surplus")
+    kept = docs.withColumn("_row", doc_key()).join(small(surplus, surplus.count()), "_row", "left_anti")
+    # Rows alike in id and text have one key, so those that stay are reduced to one.
+    twice = joined.where("row = keeper").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_row")
+    twice = materialize(twice, "pipeline-twice")
+    n = twice.count()
+    if n:
+        twice = small(twice, n)
+        kept = kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
     return kept.select(*docs.columns)
 
 

@@ -128,6 +128,35 @@ def test_pipeline_drops_near_copies(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == [5000 + 2 * i for i in range(12)]
 
 
+def test_pipeline_near_duplicates_by_row(spark, rows):
+    rows = with_near_copies(rows)
+    linked, alone, other = rows[-2], rows[-4], " ".join(f"y{i}" for i in range(80))
+    rows += [(None, linked[1], *rows[0][2:]), (None, linked[1], *rows[0][2:])]  # go with the row that has an id
+    rows += [(None, other, *rows[0][2:]), (None, other + " z", *rows[0][2:]), (None, "quite another text", *rows[0][2:])]  # no id in the group
+    rows += [(alone[0], "a unique text of a repeated id", *rows[0][2:]), (alone[0] + 1, "one more of a surplus id", *rows[0][2:]), alone, alone]
+    rows += [(9000, other.replace("y", "q"), *rows[0][2:]), (9000, other.replace("y", "q") + " z", *rows[0][2:])]  # one id, linked texts
+    group, sets = linked_groups(rows, 5, 80)
+    members = collections.defaultdict(list)
+    expected, either = collections.Counter(), []
+    for r, g, s in zip(rows, group, sets):
+        members[g].append(r)
+        if not s:
+            expected[r] += 1
+    for g in {g for g, s in zip(group, sets) if s}:
+        ids = [r[0] for r in members[g] if r[0] is not None]
+        if not ids:
+            expected.update(members[g])
+        elif len(same := {r for r in members[g] if r[0] == min(ids)}) == 1:
+            expected.update(same)
+        else:
+            either.append(same)
+    found = bag(corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF))
+    assert any({r[0] for r in x} == {9000} for x in either)
+    for same in either:
+        assert sum(found.pop(r, 0) for r in same) == 1
+    assert found == expected
+
+
 @pytest.mark.parametrize("index_bytes", [0, 1 << 25])
 def test_line_dedup(docs, rows, index_bytes):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))

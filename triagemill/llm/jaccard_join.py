@@ -177,9 +177,15 @@ def compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, p
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`."""
+    return keyed(docs, shingle, percent, pairs_a_row, rounds, leaders).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, keeper) of every row of `docs`: row is its doc_key, keeper that of the row of its
+    component with the least id (of those the least key), null where the component has no id or the text no word."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", doc_key().alias("row"))
     seen = materialize(described(docs, bucket_frequencies(docs, shingle), shingle, percent), "join-described")
-    nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("sketch0").alias("sketch0"), F.first("sketch1").alias("sketch1"))
+    nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("sketch0").alias("sketch0"), F.first("sketch1").alias("sketch1"))
     nodes = materialize(nodes, "join-nodes")
     # Similar sets are of one size class or of neighbouring ones.
     grade = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
@@ -246,10 +252,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_
             break
     named = nodes.select("node", "doc", F.col("node").alias("component")) if labels is None else nodes.select("node", "doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "join-named")
-    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    names = named.join(least, "component").select("node", "component_id")
-    out = seen.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = named.groupBy("component").agg(F.min("doc").alias("least"))
+    names = named.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper"))
+    out = seen.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
+    return out.select("doc_id", "row", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "keeper")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
