@@ -282,6 +282,24 @@ def test_pii(docs):
     assert pii.pseudonymise(docs).count() == docs.count()
 
 
+def test_pii_whole_names(spark):
+    hidden = lambda text: pii.replace(text, pii.KEY, {})[0]
+    for text, gone in (
+        ("Ask Dr. Maria Silva Santos now", "Maria Silva Santos"), ("Mr. John F. Kennedy spoke", "John F. Kennedy"), ("Mr. J.K. Rowland Smith-Jones came", "J. K. Rowland Smith-Jones"), ("Prof. Dr. Hans von Müller's book", "Hans Müller"),
+        ("Mrs. Anna Berg left. Then Anna Berg and BERG, or Berg's dog, came", "Anna Berg BERG"),
+    ):
+        made = hidden(text)
+        assert not set(gone.split()) & set(re.findall(r"\w+(?:-\w+)*\.?", made)), made
+    assert hidden("Mr. Smith I think").endswith(" I think") and hidden("Mr. Smith. Then he went").endswith(". Then he went")
+    assert hidden("Anna Berg without a title") == "Anna Berg without a title"
+    texts = ["Dr. Maria Silva", "Mrs. Maria Silva", "Prof. Maria Silva and Maria", "Mr. Andrea Rossi", "Mrs. Andrea Rossi", "Dr. Andrea Rossi"]
+    people = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (pii.RETRIED_ROWS, -1):
+        made = {r.doc_id: r.text.split(" ") for r in pii.pseudonymise(people, retried_rows=limit).collect()}
+        assert {made[0][1], made[2][4]} == {made[1][1]} == {made[2][1]} and made[1][1].endswith(tuple(pii.SYLLABLES["latin"][2]["f"]))
+        assert len({made[i][1] for i in (3, 4, 5)}) == 1
+
+
 def test_collisions_are_resolved(spark):
     names = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)], "kind string, canon string")
     with pytest.raises(ValueError):

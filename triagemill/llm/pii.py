@@ -2,7 +2,9 @@
 
 Detected entities are replaced by keyed surrogates of the same kind and format: digits for digits, letters for letters in
 the same case, separators kept, card numbers that pass the Luhn test still pass it, a name gets a name of the same gender
-and script. The surrogate depends on the secret key and the entity's canonical form alone, so an entity has one surrogate in
+and script. A name is the run of capitalised words and initials after a title; its words are replaced wherever they stand in the
+document with a capital letter. A given name has one gender in all documents: the one its titles tell, none if they tell both or neither.
+Initials turn by a key-given number of letters and take no part in the collision checks. The surrogate depends on the secret key and the entity's kind and canonical form alone, so an entity has one surrogate in
 all documents (coreference), however it is written. Over the table of distinct entities collision checks hold surrogates
 apart: none may be shared by two entities, nor be an entity that occurs; who loses tries again with a counter.
 
@@ -12,6 +14,7 @@ rewritten alike; an empty table gives an empty result; other columns are returne
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from triagemill.llm.common import arrow_map, doc_key, documents, materialize
 
 KEY = b"surrogate-key-1"
-#: Entities with a counter above 0 (few: those that collided) up to which they are broadcast.
+#: Entities with a counter above 0 or another kind over all documents (few) up to which they are broadcast.
 RETRIED_ROWS = 100_000
 MAX_TRIES = 64
 
@@ -48,8 +51,15 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("phone", "", re.compile(r"(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)")),
     ("ssn", "-", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", ".", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)")),
-    ("name", " ", re.compile(rf"\b(?P<t>{_TITLES})\.? (?P<v>{_L}[^\W\d_'’-]*+(?:['’-]{_L}++)*(?: (?=[^\W\d_]){_L}++(?:['’-]{_L}++)*)?)")),
 ]
+_SPACE = re.compile(r"[ \t\xa0]+")
+_TITLED = re.compile(rf"\b(?:(?:{_TITLES})\.?[ \t\xa0]+)+")
+_TITLE = re.compile(rf"\b(?:{_TITLES})\b")
+_WORD = re.compile(rf"{_L}++(?:['’-]{_L}++)*+")
+#: Small words inside a name; they stay, and what follows them is still the name.
+_PARTICLES = frozenset("af al bin da de del della den der di do dos du el ibn la le ter van von y zu zum zur".split())
+#: Letters that initials are exchanged within.
+_ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _DIGIT = re.compile(r"[0-9]")
 _NEEDS_DIGIT = {"iban", "card", "phone", "ssn", "ip"}
 
@@ -59,8 +69,86 @@ def script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
 
 
-def gender(title: str) -> str:
-    return "m" if title in _MALE else "f" if title in _FEMALE else "n"
+def gender(titles: str) -> str:
+    sexes = {"m" if t in _MALE else "f" if t in _FEMALE else "n" for t in _TITLE.findall(titles)} - {"n"}
+    return sexes.pop() if len(sexes) == 1 else "n"
+
+
+def name_word(m: re.Match) -> tuple[int, int]:
+    """The span of a word without the ending of its genitive."""
+    return m.start(), m.end() - (2 if m[0][-2:] in ("'s", "’s") and len(m[0]) > 2 else 0)
+
+
+def name_run(text: str, at: int) -> list[tuple[int, int]]:
+    """The spans of the capitalised words and initials that stand at `at` in a row, particles between them left out."""
+    run: list[tuple[int, int]] = []
+    while m := _WORD.match(text, at):
+        start, end = name_word(m)
+        if m[0][0].isupper():
+            run.append((start, end))
+        elif not run or m[0] not in _PARTICLES:
+            break
+        at = m.end()
+        if end < at:
+            break
+        dotted = end - start == 1 and text[at : at + 1] == "."
+        space = _SPACE.match(text, at + dotted)
+        if not space and not dotted:
+            break
+        at = space.end() if space else at + 1
+    # A single letter at the end, without a point, is a word ("Mr. Smith I think").
+    while len(run) > 1 and run[-1][1] - run[-1][0] == 1 and text[run[-1][1] : run[-1][1] + 1] != ".":
+        run.pop()
+    return run
+
+
+def names(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical form) of the words of titled names, and of where they stand without a title."""
+    runs, at = [], 0
+    while m := _TITLED.search(text, at):
+        run = name_run(text, m.end())
+        at = run[-1][1] if run else m.end()
+        if run:
+            runs.append((gender(m[0]), run))
+    if not runs:
+        return []
+    found: dict[tuple[int, int], tuple[str, str]] = {}
+    sexes: dict[str, set[str]] = {}
+    family: set[str] = set()
+    lone = []
+    for sex, run in runs:
+        whole = [x for x in run if x[1] - x[0] > 1]
+        for start, end in run:
+            word = text[start:end].lower()
+            if end - start == 1:
+                found[start, end] = ("initial", word)
+            elif len(run) == 1:
+                lone.append((start, end, word, sex))
+            elif (start, end) == run[0] and len(whole) > 1:
+                found[start, end] = ("given", word)
+                sexes.setdefault(word, set()).add(sex)
+            else:
+                found[start, end] = ("family", word)
+                family.add(word)
+    for start, end, word, sex in lone:
+        part = "given" if word in sexes and word not in family else "family"
+        found[start, end] = (part, word)
+        if part == "given":
+            sexes[word].add(sex)
+        else:
+            family.add(word)
+    for m in _WORD.finditer(text):
+        span = name_word(m)
+        word = text[span[0] : span[1]].lower()
+        if span not in found and m[0][0].isupper() and (word in sexes or word in family):
+            found[span] = ("family" if word in family else "given", word)
+    out = []
+    for (start, end), (part, word) in found.items():
+        if part == "given":
+            one = sexes[word] - {"n"}
+            part = f"given-{one.copy().pop() if len(one) == 1 else 'n'}"
+        out.append((start, end, f"name-{part}-{script(word)}" if part != "initial" else f"initial-{script(word)}", word))
+    return out
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -76,21 +164,16 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if any(a < end and start < b for a, b in taken):
                 continue
             value = text[start:end]
-            if kind == "name":
-                words = value.split(" ")
-                if not words[0][0].isupper():
-                    continue
-                words = words[:1] + [w for w in words[1:] if w[0].isupper()]
-                at, sex = start, gender(m["t"])
-                for i, word in enumerate(words):
-                    part = "family" if i == len(words) - 1 else f"given-{sex}"
-                    found.append((at, at + len(word), f"name-{part}-{script(word)}", word.lower()))
-                    at += len(word) + 1
-                taken.append((start, at - 1))
-                continue
             taken.append((start, end))
             canon = value.lower() if kind == "email" else re.sub(r"\D", "", value) if kind in ("card", "phone", "ssn") else value.replace(" ", "") if kind == "iban" else value
             found.append((start, end, kind, canon))
+    if any(c in text for c in " \t\xa0"):
+        taken.sort()
+        for name in names(text):
+            # Those taken stand apart, so only the last that begins before the word's end can meet it.
+            i = bisect.bisect_left(taken, (name[1],))
+            if not i or taken[i - 1][1] <= name[0]:
+                found.append(name)
     return sorted(found)
 
 
@@ -151,6 +234,11 @@ def surrogate(key: bytes, kind: str, canon: str, tries: int = 0) -> str:
         return _like(local, numbers) + ("x" * (tries // 8)) + "@" + ".".join(names)
     if kind.startswith("name-"):
         return _name(kind, numbers, tries)
+    if kind.startswith("initial-"):
+        # A turn of the alphabet by the key: one to one, and no letter stays.
+        letters = _ALPHABETS[kind[8:]]
+        turn = 1 + hmac.digest(key, kind.encode(), hashlib.sha256)[0] % (len(letters) - 1)
+        return letters[(letters.find(canon) + turn) % len(letters)] if canon in letters else letters[next(numbers) % len(letters)]
     if kind == "ip":
         return ".".join(str((1 if i == 0 else 0) + (next(numbers) << 8 | next(numbers)) % (223 if i == 0 else 256)) for i in range(4))
     if kind == "phone":
@@ -170,6 +258,8 @@ def shaped(kind: str, value: str, canon: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         left = iter(canon)
         return "".join(next(left, "") if c.isalnum() else c for c in value)
+    if kind.startswith("initial-"):
+        return canon.upper()
     if kind.startswith("name-"):
         return canon.upper() if value.isupper() and len(value) > 1 else canon[:1].upper() + canon[1:]
     if kind == "email" and value.isupper():
@@ -177,11 +267,13 @@ def shaped(kind: str, value: str, canon: str) -> str:
     return canon
 
 
-def replace(text: str, key: bytes, tries: dict[tuple[str, str], int]) -> tuple[str, int]:
+def replace(text: str, key: bytes, tries: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, int]:
+    """The rewritten text and its number of entities; tries: of (kind, canon) the kind over all documents and the counter, where not as found and 0."""
     out, at = [], 0
     found = entities(text)
     for start, end, kind, canon in found:
-        out += [text[at:start], shaped(kind, text[start:end], surrogate(key, kind, canon, tries.get((kind, canon), 0)))]
+        settled, n = tries.get((kind, canon), (kind, 0))
+        out += [text[at:start], shaped(kind, text[start:end], surrogate(key, settled, canon, n))]
         at = end
     return ("".join(out) + text[at:] if found else text), len(found)
 
@@ -192,7 +284,7 @@ def occurring(docs: DataFrame, rows: bool = False) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = []
         for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
-            made += [(key if rows else 0, k, c) for k, c in {(k, c) for _, _, k, c in entities(text or "")}]
+            made += [(key if rows else 0, k, c) for k, c in {(k, c) for _, _, k, c in entities(text or "") if not k.startswith("initial-")}]
         made = sorted(set(made))
         return pa.record_batch([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["_key", "kind", "canon"])
 
@@ -200,6 +292,17 @@ def occurring(docs: DataFrame, rows: bool = False) -> DataFrame:
     return found if rows else found.select("kind", "canon").distinct()
 
 
+def settled(found: DataFrame) -> DataFrame:
+    """(kind, canon, settled): a given name has one kind in all documents, that of the only gender its titles tell, else of none."""
+    given = F.col("kind").startswith("name-given-")
+    script_of = F.substring_index("kind", "-", -1)
+    sex = F.substring_index(F.substring_index("kind", "-", 3), "-", -1)
+    told = F.when(sex != "n", sex)
+    one = found.where(given).groupBy("canon", script_of.alias("_script")).agg(F.min(told).alias("_low"), F.max(told).alias("_high"))
+    one = one.select("canon", F.concat(F.lit("name-given-"), F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("n"), F.lit("-"), F.col("_script")).alias("settled"))
+    return found.where(given).join(one, "canon").select("kind", "canon", "settled").unionByName(found.where(~given).select("kind", "canon", F.col("kind").alias("settled")))
+
+
 def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, canon, tries, surrogate) of every distinct entity, after the collision checks."""
 
@@ -226,7 +329,10 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, retried_rows: int = RETRIED_ROWS) -> DataFrame:
     """The rows of `docs` with `text` rewritten and `_n_entities` added."""
-    retried = assign(occurring(docs), key).where("tries > 0").select("kind", "canon", "tries")
+    kinds = materialize(settled(materialize(occurring(docs), "pii-occurring")), "pii-kinds")
+    retried = assign(kinds.select(F.col("settled").alias("kind"), "canon").distinct(), key).where("tries > 0").select(F.col("kind").alias("settled"), "canon", "tries")
+    retried = kinds.join(retried, ["settled", "canon"], "left").where("tries > 0 OR kind <> settled").select("kind", "canon", "settled", F.coalesce("tries", F.lit(0)).alias("tries"))
+    retried = materialize(retried, "pii-retried")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_entities", T.LongType())])
 
@@ -235,7 +341,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, retried_rows: int = RETRIED_
         return pa.record_batch([*columns, pa.array([n for _, n in made], pa.int64())], [*names, "_n_entities"])
 
     if retried.count() <= retried_rows:
-        tries = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canon): r.tries for r in retried.collect()})
+        tries = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canon): (r.settled, r.tries) for r in retried.collect()})
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             return output(batch, [(None, 0) if t is None else replace(t, key, tries.value) for t in batch.column("text").to_pylist()])
@@ -243,14 +349,14 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, retried_rows: int = RETRIED_
         return arrow_map(docs, work, schema)
 
     # Too many to broadcast: each document is joined with those of its own entities.
-    own = occurring(docs, rows=True).join(retried, ["kind", "canon"]).distinct().groupBy("_key").agg(F.collect_list(F.struct("kind", "canon", "tries")).alias("_tries"))
+    own = occurring(docs, rows=True).join(retried, ["kind", "canon"]).distinct().groupBy("_key").agg(F.collect_list(F.struct("kind", "canon", "settled", "tries")).alias("_tries"))
     keyed = docs.withColumn("_row", doc_key())
     joined = keyed.join(own, keyed["_row"] == own["_key"], "left").drop("_row", "_key")
 
     def work_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = []
         for text, tries in zip(batch.column("text").to_pylist(), batch.column("_tries").to_pylist()):
-            made.append((None, 0) if text is None else replace(text, key, {(t["kind"], t["canon"]): t["tries"] for t in tries or []}))
+            made.append((None, 0) if text is None else replace(text, key, {(t["kind"], t["canon"]): (t["settled"], t["tries"]) for t in tries or []}))
         return output(batch, made)
 
     return arrow_map(joined, work_joined, schema)
