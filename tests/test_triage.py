@@ -92,6 +92,15 @@ def test_merge_patterns(spark):
     assert {tuple(r) for r in T.merge_patterns(old, change).collect()} == {("a", "a2", "pa", "learned", 2, 3.0), ("b", "B", "pb", "seed", 1, 1.0), ("c", "C", "pc", "learned", 1, 1.0)}
 
 
+def test_missing_skills_behind_many_own(spark, monkeypatch):
+    own = tuple(f"skill{i:02d}" for i in range(30))
+    profile = Profile(user_skills=tuple(x.upper() for x in own), blocked_skills=("Barred",), known_skill_patterns=tuple((x, ".") for x in own) + (("barred", "."), ("rest", "rest"), ("license", "license")))
+    monkeypatch.setattr(Q, "PROFILE", profile)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1"), "doc_id")
+    expected = {w: docs.where(F.lower("text").contains(w)).count() for w in ("rest", "license")}
+    assert {tuple(r) for r in Q.missing_skills(spark, SF).collect()} == {(w, n) for w, n in expected.items() if n} != set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

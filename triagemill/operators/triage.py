@@ -90,9 +90,11 @@ def learn_keywords(labelled: DataFrame, stop: tuple[str, ...], limit: int = 20)
     return kinds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("kind", "rank", "token", "delta", "df")
 
 
-def skill_counts(jobs: DataFrame, profile: Profile, weight: Column, limit: int = 20) -> DataFrame:
-    """(skill, occurrences, weight), the most first; ties by name."""
+def skill_counts(jobs: DataFrame, profile: Profile, weight: Column, limit: int = 20, without: tuple[str, ...] = ()) -> DataFrame:
+    """(skill, occurrences, weight), the most first; ties by name. Skills of the keys of `without` go before the limit."""
+    keys = {skill_key(x) for x in without}
     found = jobs.select(weight.alias("w"), F.explode(required_skills(F.col("text"), profile.patterns())).alias("skill"))
+    found = found.where(~F.col("skill").isin(*[n for n, _ in profile.patterns() if skill_key(n) in keys]))
     return found.groupBy("skill").agg(F.count("*").alias("occurrences"), F.sum("w").alias("weight")).orderBy(F.desc("weight"), "skill").limit(limit)
 
 

@@ -207,8 +207,7 @@ def weighted_skill_counts(spark, sf):
 
 @query("missing_skills", _EXPLODED + " SELECT skill, count(*) AS occurrences FROM e WHERE applied = 1 AND skill NOT IN ('data', 'license') GROUP BY skill")
 def missing_skills(spark, sf):
-    found = T.skill_counts(jobs(spark, sf).where("applied = 1"), PROFILE, F.lit(1), 25)
-    return found.where(~F.col("skill").isin(*PROFILE.user_skills)).select("skill", "occurrences")
+    return T.skill_counts(jobs(spark, sf).where("applied = 1"), PROFILE, F.lit(1), 25, PROFILE.user_skills).select("skill", "occurrences")
 
 
 @query(
