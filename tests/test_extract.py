@@ -1,10 +1,15 @@
 """Entries out of pages, models behind the interface, and the report."""
 
+import collections
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
 from triagemill.operators import extract, models
-from triagemill.plans import report
+from triagemill.plans import queries, report
+
+SF = "/root/testdata/sf0.01"
 
 VIEW = "https://www.linkedin.com/comm/jobs/view/"
 PAGES = {
@@ -59,6 +64,24 @@ def test_entries_of_all_sites(spark):
     assert extract.entries(rows.limit(0), "id").count() == 0
 
 
+def test_page_entries_keeps_every_link(spark):
+    class Anchors(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and dict(attrs).get("href") is not None:
+                self.found.add(dict(attrs)["href"])
+
+    expected = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        parser = Anchors()
+        parser.found = set()
+        parser.feed(r.html)
+        if parser.found:
+            expected[r.page_id] = len(parser.found)
+    rows = queries.page_entries(spark, SF).collect()
+    assert collections.Counter(r.page_id for r in rows) == expected and len({(r.page_id, r.link) for r in rows}) == len(rows)
+    assert {r.source for r in rows} == {"Google Careers", "Danfoss", "Demant", "Jobindex", "LinkedIn"}
+
+
 def test_models(spark):
     # Made here, so that workers needn't import this module.
     detector = lambda: lambda texts: ["da" if "og" in t.split() else "en" for t in texts]

@@ -280,11 +280,21 @@ def parse_pages_udf(spark, sf):
     return rows.select("page_id", "p.title", F.length("p.text").alias("n_text"), F.size("p.links").alias("n_links"))
 
 
+#: What stands before and after a link's number, by extractor.
+_SITES = (("https://careers.google.com/about/jobs/results/", "-x"), ("https://jobs.danfoss.com/job/", ""), ("https://careers.demant.com/job/", ""), ("https://www.jobindex.dk/jobannonce/h", ""), ("https://www.linkedin.com/jobs/view/", ""))
+
+
 @query("page_entries")
 def page_entries(spark, sf):
-    """Every link of a page stands for a listing of one site."""
-    listed = F.regexp_replace("html", "href=[\"'][^\"']*[\"']", "href=\"https://jobs.danfoss.com/job/1\"")
-    return extract.entries(table(spark, sf, "pages").select("page_id", listed.alias("html")), "page_id")
+    """Every distinct link of a page stands for a listing of its own, the sites by turns."""
+    quoted = r"""(?i)href\s*=\s*["']([^"']*)["']"""
+    pages = table(spark, sf, "pages").select("page_id", F.split("html", quoted, -1).alias("between"), F.regexp_extract_all("html", F.lit(quoted), F.lit(1)).alias("hrefs"))
+    number = F.transform("hrefs", lambda h: F.array_position(F.array_distinct("hrefs"), h).cast("int"))
+    before, after = (F.array(*[F.lit(x[i]) for x in _SITES]) for i in (0, 1))
+    site = lambda n: n % len(_SITES) + 1
+    listed = F.transform(number, lambda n: F.concat(F.lit('href="'), F.element_at(before, site(n)), n.cast("string"), F.element_at(after, site(n)), F.lit('"')))
+    html = F.array_join(F.zip_with("between", listed, lambda text, link: F.concat(text, F.coalesce(link, F.lit("")))), "")
+    return extract.entries(pages.select("page_id", html.alias("html")), "page_id")
 
 
 _USE = "CASE WHEN trim(line) <> '' AND NOT contains(lower(line), 'http') THEN trim(line) END"
