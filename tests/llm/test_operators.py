@@ -53,7 +53,8 @@ def bag(frame):
     return collections.Counter(tuple(r) for r in frame.collect())
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize("start", [1, 9])
+def test_substring_dedup(docs, rows, start):
     split = [words(r[1]) for r in rows]
     seen = collections.Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
     expected = collections.Counter()
@@ -64,7 +65,7 @@ def test_substring_dedup(docs, rows):
                 gone.update(range(i, i + 35))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         expected[(r[0], len(w), len(gone), kept)] += 1
-    assert bag(substring_dedup.drop_repeats(docs).select("doc_id", "_n_words", "_n_removed", "text")) == expected
+    assert bag(substring_dedup.drop_repeats(docs, start=start).select("doc_id", "_n_words", "_n_removed", "text")) == expected
 
 
 @pytest.mark.parametrize("pairs_a_row", [0, 1e9])

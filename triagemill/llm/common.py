@@ -31,23 +31,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage. Only where the cluster names none (tests) a local one is set."""
+    """The shared folder for cut lineage. Where the cluster names none, a local one is set in local mode (tests) alone: on a cluster
+    each executor would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="triagemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables written and not yet released: path to session.
+_written: dict[str, SparkSession] = {}
+#: Set while a table is written: its shuffle files go when it is done, since later reads take the table.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clean_up() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone at interpreter exit; the folder is then the cluster's to clear
             pass
 
@@ -56,12 +65,28 @@ atexit.register(_clean_up)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared scratch folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
+    """Write `df` to the shared scratch folder and read it again: lineage is cut, and a lost executor costs no recomputation.
+    The shuffle files of the write are removed with it; the table stays until it is released or the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/triagemill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later step reads."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,16 +94,46 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def text_key(text: str = "text") -> Column:
+    """128 bits that tell texts apart; a null text is no empty one."""
+    return F.unhex(F.md5(F.concat(F.when(F.col(text).isNull(), "0").otherwise("1"), F.coalesce(text, F.lit("")))))
+
+
 def doc_key() -> Column:
-    """Row identity that needs no unique or non-null id: identical rows share it, and so share their result."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    """Row identity of 128 bits that needs no unique or non-null id: identical rows share it, and so share their result."""
+    head = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("text").isNull(), ":0").otherwise(":1"))
+    return F.unhex(F.md5(F.concat(head, F.coalesce("text", F.lit("")))))
+
+
+#: The one column that holds the caller's row, so that no name of the caller's meets one of the operator's.
+HELD = "_held"
+
+
+def held(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(HELD), *more)
+
+
+def unheld(rows: DataFrame, columns: list[str], added: dict[str, Column]) -> DataFrame:
+    """The caller's columns again, and the added ones; a column of the caller's named like an added one is replaced by it."""
+    taken = {c.lower() for c in added}
+    return rows.select(*[F.col(f"{HELD}.`{c}`").alias(c) for c in columns if c.lower() not in taken], *[v.alias(c) for c, v in added.items()])
+
+
+def field_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(HELD).field(name) if HELD in batch.schema.names else batch.column(name)
+
+
+def with_text(rows: pa.StructArray, texts: list[str | None]) -> pa.StructArray:
+    """The held rows with other texts."""
+    names = [f.name for f in rows.type]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()) if n == "text" else rows.field(n) for n in names], names)
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch holding about `limit` bytes of text each (a longer text stands alone, whole)."""
     if not batch.num_rows:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(field_of(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = np.cumsum(size) // limit
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):

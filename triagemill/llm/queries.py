@@ -26,5 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_sharding": sharding.op4_sql(),
     "op5_mixing": mixing.OP5_SQL,
     "op6_topk": topk.OP6_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op10_quality": quality.OP10_SQL,
 }

@@ -1,174 +1,161 @@
 """Operator 7, substring deduplication by level-wise doubling.
 
 A window is `length` consecutive words. Every word that a window covers is removed if the window's words also start anywhere
-else. Windows of half the length are looked at first, and only those that repeat are extended to twice their length:
+else. Windows of a short length are counted first. Only where two windows that both repeat cover a window of twice the length
+(or of the full one, if that is less) is that one a candidate of the next level, which counts the candidates alone; and so on
+until the full length is reached or no candidate survives. What a removal covers depends on windows of the full length, so that
+longer repeats need no level of their own.
 
-1. Each window names the least of the half-length windows inside it (by hash, the first of equals) as its owner, which
-   depends on its words alone: equal windows have equal owners. About one half-length window in nine is an owner. Owners
-   are counted over the corpus; windows whose owner occurs once are unique and end here.
-2. A repeated owner is extended by all windows that it owns in a place, which form one stretch of up to twice its length.
-   Stretches are counted as wholes, so a passage in a thousand copies is a handful of rows. A stretch that occurs twice has
-   all its windows repeated. Where an owner's stretches differ (at a passage's edges), one of each kind is cut into windows
-   of the full length, and these are counted, each with its stretch's number.
-3. Nothing is left to extend then: what a removal covers depends on windows of the full length alone, so that longer
-   repeats need no level of their own.
+1. Texts are taken once each, with the number of rows that hold them, as hashes of their words. All windows of a text held twice
+   repeat; it is counted with the others but nothing about its places has to come back.
+2. A level: candidates (hash, text, place) are counted by hash, with partial sums before the shuffle, and those that repeat come
+   back by text. Hashes that many candidates share are few, by construction, and are broadcast; the rest is joined.
+3. The places of the full length return to the rows by the text's key and are marked on the text.
 
-Repeated windows return to the documents as (word, mask) pairs and are marked on the text.
-
-Hashes: a half-length window and its stretch are told apart by 64 bits each, 128 together.
+Levels below the last tell windows apart by 64 bits: two that are taken for equal there survive to the next level in vain. The
+last uses 128 bits.
 
 Defined cases: null and empty texts, and those shorter than a window, lose nothing; identical rows, null ids included, are
-distinct places and lose what they share; an empty table gives an empty result; a word of any length is one word; other
-columns are ignored.
+distinct places and lose what they share; an empty table gives an empty result; a text, and a word, of any length is taken
+whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import U64, Rolling, arrow_map, doc_key, documents, hash_words, materialize, small, words_of
+from triagemill.llm.common import U64, Rolling, arrow_map, documents, hash_words, materialize, mix, release, text_key, words_of
 
 LENGTH = 35
+#: Words of the windows counted first: a quarter of the full length, since nearly all shorter ones repeat in any prose.
+START = 9
+#: A hash is heavy from so many candidates on, and from this share of all of them, so that heavy ones are at most 1 / share.
+HEAVY_ROWS, HEAVY_SHARE = 1000, 1 / 50_000
+
 
+def levels(length: int, start: int) -> list[int]:
+    out = [min(start, length)]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
 
-def first_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the first least of each `width` consecutive values, by doubling."""
-    at, span, n = np.arange(len(values)), 1, len(values)
-    least = values
-    while span < width:
-        step = min(span, width - span)
-        n -= step
-        left, right = least[:n], least[step : step + n]
-        later = right < left
-        at = np.where(later, at[step : step + n], at[:n])
-        least = np.where(later, right, left)
-        span += step
-    return at
-
-
-def stretches(hashes: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For word hashes of texts with these bounds, each owner's stretch of windows: the text's number, the owner's place in the
-    words, the first and last window start it owns, the owner's hash and the stretch's; and the rolling hash of the words."""
-    half = (length + 1) // 2
-    rolling = Rolling(hashes)
-    empty = np.empty(0, np.int64)
-    if len(hashes) < length:
-        return empty, empty, empty, empty, empty.astype(U64), empty.astype(U64), rolling
-    start = np.arange(len(hashes) - half + 1)
-    halves = rolling.of(start, start + half)
-    owner = first_least(halves, length - half + 1)
-    windows = np.arange(len(hashes) - length + 1)
-    text = np.searchsorted(bounds, windows, side="right") - 1
-    valid = windows + length <= bounds[text + 1]
-    windows, owner, text = windows[valid], owner[valid], text[valid]
-    if not len(windows):
-        return empty, empty, empty, empty, empty.astype(U64), empty.astype(U64), rolling
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(windows)])) - 1
-    text, owner, begin, end = text[first], owner[first], windows[first], windows[last]
-    whole = rolling.of(begin, end + length) ^ ((owner - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
-    return text, owner, begin, end, halves[owner], whole, rolling
-
-
-def owners(docs: DataFrame, length: int) -> DataFrame:
-    """(row, place, owner, whole): a row for each owner in each place of `docs` (_key, text)."""
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(node, key, n, words: 64-bit hashes) of every distinct text of `docs` (text) that has a word; n: rows that hold it."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, bounds = words_of(batch.column("text"))
-        text, owner, _, _, half, whole, _ = stretches(hash_words(words), bounds, length)
-        row = batch.column("_key").to_numpy()[text] if len(text) else np.empty(0, np.int64)
-        columns = [row, (owner - bounds[text]).astype(np.int32) if len(text) else np.empty(0, np.int32), half.view(np.int64), whole.view(np.int64)]
-        return pa.record_batch([pa.array(c) for c in columns], ["row", "place", "owner", "whole"])
+        hashes = hash_words(words)
+        coded = pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+        return pa.record_batch([batch.column("key"), coded], ["key", "words"])
 
-    return arrow_map(docs, work, "row long, place int, owner long, whole long")
+    coded = arrow_map(docs.where("text IS NOT NULL").select(text_key().alias("key"), "text"), work, "key binary, words binary").where("length(words) > 0")
+    once = coded.groupBy("key").agg(F.count("*").alias("n"), F.first("words").alias("words"))
+    # The numbers hold once they are written.
+    return materialize(once.select(F.monotonically_increasing_id().alias("node"), "key", "n", "words"), "windows-texts")
 
 
-def cut_up(docs: DataFrame, length: int) -> DataFrame:
-    """(owner, whole, offset, window): the windows of the wanted stretches of `docs` (text, _wanted: places of owners)."""
+def candidates(texts: DataFrame, length: int, before: int, exact: bool) -> DataFrame:
+    """(h, g, node, place, weight) of the candidate windows of `texts` (node, n, words, alive): those all of whose words are covered
+    by repeated windows of `before` words, whose places `alive` lists (at the first level, and in texts held twice, all do)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, bounds = words_of(batch.column("text"))
-        text, owner, begin, end, half, whole, rolling = stretches(hash_words(words), bounds, length)
-        wanted = batch.column("_wanted")
-        at = np.repeat(bounds[:-1], wanted.value_lengths().to_numpy()) + wanted.flatten().to_numpy()
-        keep = np.isin(owner, at)
-        owner, begin, end, half, whole = (x[keep] for x in (owner, begin, end, half, whole))
-        n = end - begin + 1
-        which = np.repeat(np.arange(len(n)), n)
-        start = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) if len(n) else np.empty(0, np.int64)
-        window = rolling.of(start, start + length) if len(start) else np.empty(0, U64)
-        columns = [half[which].view(np.int64), whole[which].view(np.int64), (owner[which] - start).astype(np.int32), window.view(np.int64)]
-        return pa.record_batch([pa.array(c) for c in columns], ["owner", "whole", "offset", "window"])
-
-    return arrow_map(docs, work, "owner long, whole long, offset int, window long")
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, marks: array of place, mask) of the rows of `docs` (_key, text) with repeated windows: bit o of a mask says that the
-    window starting o words before the place is repeated."""
-    places = materialize(owners(docs, length), "windows-owners")
-    # Level one: half-length windows that repeat.
-    counted = places.groupBy("owner", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
-    kinds = materialize(counted.join(counted.groupBy("owner").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1"), "owner"), "windows-kinds")
-    # Level two: their stretches; those of owners with several are cut into full windows.
-    several = kinds.where("kinds > 1")
-    wanted = materialize(several.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.col("one.place")).alias("_wanted")), "windows-wanted")
-    texts = docs.join(small(wanted, wanted.count(), 50_000), docs["_key"] == wanted["row"]).select("text", "_wanted")
-    pieces = cut_up(texts, length).distinct().join(several.select("owner", "whole", "n"), ["owner", "whole"])
-    pieces = materialize(pieces, "windows-pieces")
-    twice = pieces.groupBy("owner", "window").agg(F.sum("n").alias("n")).where("n > 1").select("owner", "window")
-    masks = pieces.join(twice, ["owner", "window"]).groupBy("owner", "whole").agg(F.expr("bit_or(shiftleft(1L, offset))").alias("mask"))
-    whole = kinds.where("n > 1").select("owner", "whole", F.lit(-1).cast("long").alias("mask"))
-    found = whole.unionByName(masks).groupBy("owner", "whole").agg(F.bit_or("mask").alias("mask"))
-    return places.join(found, ["owner", "whole"]).groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
-
-
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+        sizes = pc.binary_length(batch.column("words")).to_numpy() // 8
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        hashes = np.frombuffer(b"".join(batch.column("words").to_pylist()), U64)
+        many = batch.column("n").to_numpy() > 1
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        repeated = np.repeat(many | (before == 0), sizes)
+        if before:
+            alive = batch.column("alive")
+            counts = pc.fill_null(pc.list_value_length(alive), 0).to_numpy(zero_copy_only=False)
+            repeated[np.repeat(bounds[:-1], counts) + alive.flatten().to_numpy()] = True
+        n = max(0, len(hashes) - length + 1)
+        start = np.flatnonzero(repeated[:n] & repeated[length - before : length - before + n] if before else repeated[:n])
+        start = start[start + length <= bounds[text[start] + 1]]
+        rolling = Rolling(hashes)
+        h = rolling.of(start, start + length) if len(start) else np.empty(0, U64)
+        other = Rolling(mix(hashes ^ U64(0xA0761D6478BD642F))).of(start, start + length) if exact and len(start) else np.zeros(len(start), U64)
+        own = text[start]
+        # A text held twice needs each of its windows counted once, and none back.
+        columns = [h.view(np.int64), other.view(np.int64), batch.column("node").to_numpy()[own], (start - bounds[own]).astype(np.int32), np.where(many[own], 2, 1).astype(np.int32)]
+        return pa.record_batch([pa.array(c) for c in columns], ["h", "g", "node", "place", "weight"])
+
+    columns = ["node", "n", "words", *(["alive"] if before else [])]
+    return arrow_map(texts.select(*columns), work, "h long, g long, node long, place int, weight int", "words")
+
+
+def survivors(found: DataFrame, rows: int) -> DataFrame:
+    """(node, alive: places) of the candidates whose hash another place has too, in texts held once."""
+    keys = ["h", "g"]
+    counted = materialize(found.groupBy(*keys).agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1"), "windows-repeated")
+    heavy = counted.where(F.col("rows") >= max(HEAVY_ROWS, int(rows * HEAVY_SHARE))).select(*keys)
+    light = counted.where(F.col("rows") < max(HEAVY_ROWS, int(rows * HEAVY_SHARE))).select(*keys)
+    own = found.where("weight = 1")
+    # At most 1 / HEAVY_SHARE of them can be heavy.
+    most = own.join(F.broadcast(heavy), keys, "left_semi").unionByName(own.join(F.broadcast(heavy), keys, "left_anti").join(light, keys, "left_semi"))
+    out = materialize(most.groupBy("node").agg(F.collect_list("place").alias("alive")), "windows-alive")
+    release(counted)
+    return out
+
+
+def repeated_windows(texts: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame | None:
+    """(node, alive) of the texts held once that hold a repeated window: the places of all of them."""
+    alive, before = None, 0
+    for step in levels(length, start):
+        if alive is None:
+            at = texts
+        else:
+            # A text held twice takes part in every level, one held once while it has candidates.
+            at = texts.join(alive, "node", "left").where("n > 1 OR alive IS NOT NULL")
+        found = materialize(candidates(at, step, before, step == length), "windows-candidates")
+        rows = found.count()
+        release(alive)
+        if not rows:
+            release(found)
+            return None
+        alive, before = survivors(found, rows), step
+        release(found)
+    return alive
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """(doc_id, text: the words kept, joined by spaces, _n_words, _n_removed) of every row of `docs`."""
-    if not 2 <= length <= 127:
-        raise ValueError("a mask holds the windows of an owner in 64 bits, so windows have 2 to 127 words")
-    keyed = docs.select("doc_id", "text", doc_key().alias("_key"))
-    marks = repeated_windows(keyed.where("text IS NOT NULL").select("_key", "text"), length)
-    # Rows alike share a key; their places stand in the list once for each of them, which changes no mark.
-    joined = keyed.join(marks, keyed["_key"] == marks["row"], "left").select(F.col("doc_id").cast("long"), "text", F.col("marks.place").alias("places"), F.col("marks.mask").alias("masks"))
+    if length < 1 or start < 1:
+        raise ValueError("windows have a word at least")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = distinct_texts(docs)
+    alive = repeated_windows(texts, length, start)
+    none = F.lit(None).cast("array<int>")
+    once = texts.select("key", F.lit(False).alias("whole"), none.alias("places")).limit(0) if alive is None else texts.where("n = 1").join(alive, "node").select("key", F.lit(False).alias("whole"), F.col("alive").alias("places"))
+    many = texts.where("n > 1").select("key", F.lit(True).alias("whole"), none.alias("places"), "n")
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(HEAVY_ROWS, int(total * HEAVY_SHARE))
+    marks = materialize(once.unionByName(many.where(F.col("n") < limit).drop("n")), "windows-marks")
+    heavy = materialize(many.where(F.col("n") >= limit).select("key"), "windows-heavy")
+    release(alive, texts)
+    # Texts that very many rows hold (few, as above) are known by a broadcast list; no other key is shared by many rows.
+    keyed = docs.withColumn("key", text_key()).join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "key", "left")
+    light = keyed.where("heavy IS NULL").join(marks, "key", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "places")
+    joined = light.unionByName(keyed.where("heavy").select("doc_id", "text", F.lit(True).alias("whole"), none.alias("places")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, n_words, n_removed = [], [], []
         words, bounds = words_of(batch.column("text"))
-        hashes = hash_words(words)
-        for i, (places, masks) in enumerate(zip(batch.column("places"), batch.column("masks"))):
-            own = words.slice(bounds[i], bounds[i + 1] - bounds[i])
-            n = len(own)
-            n_words.append(n)
-            gone = np.zeros(n + 1, np.int64)
-            if places.is_valid:
-                # The windows an owner has in this text, less those its mask leaves out.
-                _, owner, begin, end, _, _, _ = stretches(hashes[bounds[i] : bounds[i + 1]], np.array([0, n]), length)
-                at, mask = places.values.to_numpy(), masks.values.to_numpy()
-                order = np.argsort(at, kind="stable")
-                at, mask = at[order], mask[order]
-                found = np.searchsorted(at, owner)
-                for k in np.flatnonzero((found < len(at)) & (at[np.minimum(found, len(at) - 1)] == owner)).tolist():
-                    bits, o, b, e = int(mask[found[k]]), int(owner[k]), int(begin[k]), int(end[k])
-                    if bits == -1:
-                        gone[b] += 1
-                        gone[e + length] -= 1
-                    else:
-                        for start in range(b, e + 1):
-                            if bits >> (o - start) & 1:
-                                gone[start] += 1
-                                gone[start + length] -= 1
-            keep = np.cumsum(gone[:n]) == 0
-            kept = int(keep.sum())
-            n_removed.append(n - kept)
-            texts.append(" ".join((own if kept == n else own.filter(pa.array(keep))).to_pylist()))
-        columns = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+        sizes = np.diff(bounds)
+        whole = np.repeat(batch.column("whole").to_numpy(zero_copy_only=False).astype(bool) & (sizes >= length), sizes)
+        places = batch.column("places")
+        counts = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+        at = np.repeat(bounds[:-1], counts) + places.flatten().to_numpy()
+        gone = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + length, minlength=len(words) + 1)
+        keep = (np.cumsum(gone[:-1]) == 0) & ~whole
+        ends = np.concatenate(([0], np.cumsum(keep)))[bounds]
+        kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(keep)).cast(pa.string()))
+        texts = pc.binary_join(kept, " ")
+        columns = [batch.column("doc_id"), texts, pa.array(sizes, pa.int64()), pa.array(sizes - np.diff(ends), pa.int64())]
         return pa.record_batch(columns, ["doc_id", "text", "_n_words", "_n_removed"])
 
     return arrow_map(joined, work, "doc_id long, text string, _n_words long, _n_removed long")
@@ -177,3 +164,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_repeats(documents(spark, sf_dir))
     return done.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT r, i, array_to_string(ws[i:i + {LENGTH - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {LENGTH - 2})) AS i FROM d)),
+hit AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY md5(g), length(g)) > 1),
+near AS (SELECT w.r, w.i, w.w, w.i - h.i < {LENGTH} AS gone FROM w ASOF LEFT JOIN hit h ON w.r = h.r AND w.i >= h.i),
+kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT coalesce(gone, false)) AS t FROM near GROUP BY r)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON d.r = k.r"""
