@@ -53,7 +53,7 @@ def bag(frame):
     return collections.Counter(tuple(r) for r in frame.collect())
 
 
-@pytest.mark.parametrize("start", [1, 9])
+@pytest.mark.parametrize("start", [1, 4, 9, 18])
 def test_substring_dedup(docs, rows, start):
     split = [words(r[1]) for r in rows]
     seen = collections.Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
@@ -158,8 +158,8 @@ def test_pipeline_near_duplicates_by_row(spark, rows):
     assert found == expected
 
 
-@pytest.mark.parametrize("index_bytes", [0, 1 << 25])
-def test_line_dedup(docs, rows, index_bytes):
+@pytest.mark.parametrize("shard_keys, probe_rows", [(1, 3), (1 << 20, 1 << 20)])
+def test_line_dedup(docs, rows, shard_keys, probe_rows):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
     holders = collections.defaultdict(set)
     for r in rows:
@@ -171,15 +171,20 @@ def test_line_dedup(docs, rows, index_bytes):
         lines = (r[1] or "").split("\n")
         kept = [x for x in lines if not (r[0] is not None and len(holders[key(x)]) >= 5 and max(holders[key(x)]) != r[0])]
         expected[(r[0], len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())] += 1
-    found = line_dedup.dedup_lines(docs, index_bytes=index_bytes, shard_keys=1)
+    found = line_dedup.dedup_lines(docs, shard_keys=shard_keys, probe_rows=probe_rows)
     assert found.columns == [*docs.columns, "_n_lines", "_n_dropped"]
     assert bag(found.selectExpr("doc_id", "_n_lines", "_n_dropped", "sha2(coalesce(text, ''), 256)")) == expected
 
 
 def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
-    table = line_dedup.PerfectHash.build(keys)
-    assert sorted(table.cells(keys).tolist()) == list(range(len(keys)))
+    rng = np.random.default_rng(1)
+    # Pairs that share a word must part as well.
+    pairs = np.unique(np.stack([rng.integers(0, 50, 20_000), rng.integers(0, 1 << 62, 20_000)]).astype(np.uint64), axis=1)
+    for h1, h2 in (pairs, pairs[::-1].copy()):
+        table = line_dedup.PerfectHash.build(h1, h2)
+        assert sorted(table.cells(h1, h2).tolist()) == list(range(len(h1)))
+    n, keep = line_dedup.Shard(line_dedup.pack_shard(*pairs, np.arange(pairs.shape[1]) + 1, np.arange(pairs.shape[1]))).probe(*pairs)
+    assert n.tolist() == [k + 1 for k in keep.tolist()] and sorted(keep.tolist()) == list(range(pairs.shape[1]))
 
 
 def test_packing_round_trip(docs, rows):

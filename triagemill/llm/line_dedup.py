@@ -1,21 +1,20 @@
 """Operator 2, line deduplication by a sharded minimal perfect hash.
 
-Lines are known by the 128-bit hash of their key (stripped of ASCII white space, A-Z lower-cased). Keys found in enough
-documents are indexed: for each shard of hashes a minimal perfect hash (levels of bit arrays, after BBHash, SEA 2017) leads
-every indexed hash to its own cell of three plain arrays: a 64-bit fingerprint, the number of documents, and the document
-that keeps the line. Documents probe the arrays; no line is joined to another. While all shards together are below a
-checked size they are broadcast and the texts never move. Beyond it, line hashes travel to their shard's arrays.
+Lines are known by the 128-bit hash of their key (stripped of ASCII white space, A-Z lower-cased). Every distinct hash of a long
+key is indexed: for each shard of hashes a minimal perfect hash (levels of bit arrays, after BBHash, SEA 2017) leads it to its own
+cell of three plain arrays: a 32-bit fingerprint, the number of documents, and the largest document. Documents probe the
+arrays, which say how common a line is and who keeps it; no line is joined to another. A row's line hashes travel to the shard
+that has their arrays, and only what is to be dropped comes back. A shard that many rows ask (a very common line) is copied to
+several tasks, its rows dealt among them by row.
 
 Defined cases: a null or empty text is one empty line; a row with a null id keeps all its lines and counts for none;
 rows that repeat an id count as one document of that id and are each rewritten alike; a key shorter than the least length
-is never counted; an empty table gives an empty result; other columns are returned as they are.
+is never counted; an empty table gives an empty result; a text, and a line, of any length is taken whole. Other columns, whatever
+their names, are returned as they are, but that one named like an added column is replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,14 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagemill.llm.common import U64, arrow_map, doc_key, documents, materialize, mix
+from triagemill.llm.common import HELD, U64, arrow_map, doc_key, documents, held, materialize, mix, release, small, unheld, with_text
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Bytes of all shards' arrays up to which they are broadcast.
-INDEX_BYTES = 32 << 20
-#: Indexed hashes aimed at for each shard.
+#: Indexed hashes aimed at for each shard (about 3 MB of arrays), and rows that one task probes them for.
 SHARD_KEYS = 200_000
+PROBE_ROWS = 500_000
 _LOW = (1 << 64) - 1
 
 
@@ -53,8 +51,8 @@ def hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((h >> 64 for h in both), U64, len(both)), np.fromiter((h & _LOW for h in both), U64, len(both))
 
 
-def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h1, h2, n_docs, keeper) of the keys found in at least `min_docs` documents."""
+def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1, h2, n_docs, keeper) of every distinct long key."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys = [], []
@@ -67,68 +65,70 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     rows = arrow_map(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), work, "h1 long, h2 long, doc_id long")
     each = rows.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    return each.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    return each.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
 class PerfectHash:
-    """Levels of bit arrays: a key's cell is the rank of the first level's bit that no other key shares."""
+    """Levels of bit arrays: a key's cell is the rank of the first level's bit that no other key shares. Keys are pairs of words."""
 
     LOAD = 2.0
-    LEVELS = 40
 
-    def __init__(self, levels: list[tuple[int, np.ndarray]], last: np.ndarray):
-        self.levels, self.last, self.ranks, below = levels, last, [], 0
+    def __init__(self, levels: list[tuple[int, np.ndarray]]):
+        self.levels, self.ranks, below = levels, [], 0
         for _, bits in levels:
             ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(bits), dtype=np.int64))) + below
             self.ranks.append(ranks)
             below = int(ranks[-1])
-        self.base = below
 
     @staticmethod
-    def spot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + U64(level * 0x632BE59BD9B4E019 & _LOW)) % U64(size)).astype(np.int64)
+    def spot(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+        # Pairs that agree in one word alone part at some level, too.
+        return (mix(mix(h1 + U64(level * 0x632BE59BD9B4E019 & _LOW)) + h2) % U64(size)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels = []
-        while len(keys) and len(levels) < cls.LEVELS:
-            size = -(-int(len(keys) * cls.LOAD + 1) // 64) * 64
-            at = cls.spot(keys, len(levels), size)
+    def build(cls, h1: np.ndarray, h2: np.ndarray) -> PerfectHash:
+        """`h1` and `h2` hold distinct pairs."""
+        levels: list[tuple[int, np.ndarray]] = []
+        while len(h1):
+            if len(levels) > 200:
+                raise ValueError("keys repeat")
+            size = -(-int(len(h1) * cls.LOAD + 1) // 64) * 64
+            at = cls.spot(h1, h2, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
             levels.append((size, np.packbits(alone, bitorder="little").view(U64)))
-            keys = keys[~alone[at]]
-        return cls(levels, np.sort(keys))
+            h1, h2 = h1[~alone[at]], h2[~alone[at]]
+        return cls(levels)
 
-    def cells(self, keys: np.ndarray) -> np.ndarray:
+    def cells(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The cell of every key; of a key that was not built in, any cell or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
+        out = np.full(len(h1), -1, np.int64)
+        left = np.arange(len(h1))
         for level, (size, bits) in enumerate(self.levels):
             if not len(left):
-                return out
-            at = self.spot(keys[left], level, size)
+                break
+            at = self.spot(h1[left], h2[left], level, size)
             word, bit = at >> 6, (at & 63).astype(U64)
             hit = (bits[word] >> bit) & U64(1) == 1
             under = np.bitwise_count(bits[word[hit]] & ((U64(1) << bit[hit]) - U64(1)))
             out[left[hit]] = self.ranks[level][word[hit]] + under
             left = left[~hit]
-        if len(self.last) and len(left):
-            at = np.searchsorted(self.last, keys[left])
-            found = self.last[np.minimum(at, len(self.last) - 1)] == keys[left]
-            out[left[found]] = self.base + at[found]
         return out
 
 
-_ARRAYS = "sizes binary, bits binary, last binary, fingerprints binary, n_docs binary, keepers binary"
+_ARRAYS = "sizes binary, bits binary, fingerprints binary, n_docs binary, keepers binary"
+
+
+def fingerprint(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return (mix(h1 ^ mix(h2)) >> U64(32)).astype(np.uint32)
 
 
 def pack_shard(h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, keeper: np.ndarray) -> dict[str, bytes]:
-    table = PerfectHash.build(h1)
-    cell = table.cells(h1)
-    finger, count, keep = np.empty(len(h1), U64), np.empty(len(h1), np.int64), np.empty(len(h1), np.int64)
-    finger[cell], count[cell], keep[cell] = h2, n_docs, keeper
+    table = PerfectHash.build(h1, h2)
+    cell = table.cells(h1, h2)
+    finger, count, keep = np.zeros(len(h1), np.uint32), np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
+    finger[cell], count[cell], keep[cell] = fingerprint(h1, h2), n_docs, keeper
     bits = np.concatenate([b for _, b in table.levels]) if table.levels else np.empty(0, U64)
-    return {"sizes": np.array([s for s, _ in table.levels], np.int64).tobytes(), "bits": bits.tobytes(), "last": table.last.tobytes(), "fingerprints": finger.tobytes(), "n_docs": count.tobytes(), "keepers": keep.tobytes()}
+    return {"sizes": np.array([s for s, _ in table.levels], np.int64).tobytes(), "bits": bits.tobytes(), "fingerprints": finger.tobytes(), "n_docs": count.tobytes(), "keepers": keep.tobytes()}
 
 
 class Shard:
@@ -137,128 +137,95 @@ class Shard:
         for size in sizes.tolist():
             levels.append((size, bits[at : at + size // 64]))
             at += size // 64
-        self.table = PerfectHash(levels, np.frombuffer(arrays["last"], U64))
-        self.fingerprints = np.frombuffer(arrays["fingerprints"], U64)
+        self.table = PerfectHash(levels)
+        self.fingerprints = np.frombuffer(arrays["fingerprints"], np.uint32)
+        self.n_docs = np.frombuffer(arrays["n_docs"], np.int64)
         self.keepers = np.frombuffer(arrays["keepers"], np.int64)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is indexed, and the document that keeps its line (-1 where it isn't)."""
-        cell = self.table.cells(h1)
+        """The number of documents that hold each line (0 where it isn't indexed), and the largest of them."""
+        cell = self.table.cells(h1, h2)
         safe = np.maximum(cell, 0)
-        found = (cell >= 0) & (self.fingerprints[safe] == h2) if len(self.fingerprints) else np.zeros(len(h1), bool)
-        return found, np.where(found, self.keepers[safe] if len(self.keepers) else -1, -1)
+        if not len(self.n_docs):
+            return np.zeros(len(h1), np.int64), np.full(len(h1), -1, np.int64)
+        found = (cell >= 0) & (self.fingerprints[safe] == fingerprint(h1, h2))
+        return np.where(found, self.n_docs[safe], 0), np.where(found, self.keepers[safe], -1)
 
 
-def build_index(counts: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
-    """A row of arrays for each shard, the number of shards, and the bytes of all arrays."""
+def build_index(counts: DataFrame, shard_keys: int = SHARD_KEYS, probe_rows: int = PROBE_ROWS) -> tuple[DataFrame, DataFrame, int, int]:
+    """A row of arrays for each shard, (shard, parts) of those that are asked by many rows, their number, and the number of shards."""
     counts = materialize(counts, "line-counts")
     shards = max(1, -(-counts.count() // shard_keys))
+    of_shard = counts.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         arrays = pack_shard(rows["h1"].to_numpy(np.int64).view(U64), rows["h2"].to_numpy(np.int64).view(U64), rows["n_docs"].to_numpy(np.int64), rows["keeper"].to_numpy(np.int64))
         return pd.DataFrame([{"shard": key[0], **arrays}])
 
-    index = counts.groupBy(F.pmod("h1", F.lit(shards)).cast("int").alias("shard")).applyInPandas(build, f"shard int, {_ARRAYS}")
-    index = materialize(index, "line-index")
-    arrays = [c for c in index.columns if c != "shard"]
-    size = index.agg(F.sum(sum(F.length(c) for c in arrays))).first()[0] or 0
-    return index, shards, size
+    index = materialize(of_shard.groupBy("shard").applyInPandas(build, f"shard int, {_ARRAYS}"), "line-index")
+    asked = of_shard.groupBy("shard").agg(F.sum("n_docs").alias("asked")).where(F.col("asked") > probe_rows)
+    parts = materialize(asked.select("shard", F.ceil(F.col("asked") / probe_rows).cast("int").alias("parts")), "line-parts")
+    release(counts)
+    return index, parts, parts.count(), shards
 
 
 def rewrite(lines: list[bytes], drop: set[int]) -> str:
     return b"\n".join([x for i, x in enumerate(lines) if i not in drop] if drop else lines).decode()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index_bytes: int = INDEX_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, probe_rows: int = PROBE_ROWS) -> DataFrame:
     """The rows of `docs` with `text` rewritten and `_n_lines` (before), `_n_dropped` added."""
-    index, shards, size = build_index(line_counts(docs, min_chars, min_docs), shard_keys)
-    extra = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]
-    schema, names = T.StructType([*docs.schema.fields, *extra]), docs.columns
-
-    def output(batch: pa.RecordBatch, texts: list[str | None], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-        return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
-
-    if size <= index_bytes:
-        # Its size has just been checked against the bound.
-        arrays = docs.sparkSession.sparkContext.broadcast({r["shard"]: {k: bytes(v) for k, v in r.asDict().items() if k != "shard"} for r in index.collect()})
-        opened: dict[int, Shard] = {}
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if not opened:
-                opened.update({k: Shard(v) for k, v in arrays.value.items()})
-            ids = batch.column("doc_id").to_pylist()
-            lines = [split(t) for t in batch.column("text").to_pylist()]
-            found = [long_keys(x, min_chars) if i is not None else [] for i, x in zip(ids, lines)]
-            h1, h2 = hashes([k for f in found for _, k in f])
-            owner = np.repeat(np.array([i if i is not None else 0 for i in ids], np.int64), [len(f) for f in found])
-            drop = np.zeros(len(h1), bool)
-            of_shard = h1.view(np.int64) % shards
-            for k, shard in opened.items():
-                if len(mine := np.flatnonzero(of_shard == k)):
-                    hit, keeper = shard.probe(h1[mine], h2[mine])
-                    drop[mine] = hit & (keeper != owner[mine])
-            texts, n_dropped, at = [], [], 0
-            for x, f, old in zip(lines, found, batch.column("text")):
-                gone = {f[j][0] for j in np.flatnonzero(drop[at : at + len(f)]).tolist()}
-                at += len(f)
-                texts.append(rewrite(x, gone) if gone else old.as_py())
-                n_dropped.append(len(gone))
-            return output(batch, texts, [len(x) for x in lines], n_dropped)
-
-        return arrow_map(docs, work, schema)
-
-    # Too large to broadcast: the hashes of long lines go to their shard's arrays, and what is to be dropped comes back by row.
-    keyed = docs.withColumn("_key", doc_key())
+    index, parts, n_parts, shards = build_index(line_counts(docs, min_chars), shard_keys, probe_rows)
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, owner, row = [], [], []
-        for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "doc_id", "text"))):
+        for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
             found = {k for _, k in long_keys(split(text), min_chars)}
             keys += found
             owner += [doc] * len(found)
-            row += [key] * len(found)
+            row += [i] * len(found)
         h1, h2 = hashes(keys)
-        shard, part = h1.view(np.int64) % shards, (h2 >> U64(60)).astype(np.int32)
-        return pa.record_batch([pa.array(shard.astype(np.int32)), pa.array(part), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(owner, pa.int64()), pa.array(row, pa.int64())], ["shard", "part", "h1", "h2", "owner", "row"])
-
-    sent = arrow_map(keyed.where("doc_id IS NOT NULL").select("_key", F.col("doc_id").cast("long"), "text"), send, "shard int, part int, h1 long, h2 long, owner long, row long")
-    parts = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-
-    def probe(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
-        for batch in right:
-            for r in batch.to_pylist():
-                shard = Shard(r)
-        for batch in left:
-            h1, h2 = (batch.column(c).to_numpy().view(U64) for c in ("h1", "h2"))
-            hit, keeper = shard.probe(h1, h2) if shard else (np.zeros(len(h1), bool), h1.view(np.int64))
-            gone = pa.array(hit & (keeper != batch.column("owner").to_numpy()))
-            yield pa.record_batch([batch.column("row").filter(gone), batch.column("h1").filter(gone), batch.column("h2").filter(gone)], ["row", "h1", "h2"])
-
-    gone = sent.groupBy("shard", "part").cogroup(parts.groupBy("shard", "part")).applyInArrow(lambda k, a, b: probe_table(k, a, b, probe), "row long, h1 long, h2 long")
-    gone = gone.distinct().groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-    joined = keyed.join(gone, keyed["_key"] == gone["row"], "left").drop("_key", "row")
+        shard = (h1.view(np.int64) % shards).astype(np.int32)
+        return pa.record_batch([pa.array(shard), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(owner, pa.int64()), batch.column("row").take(pa.array(row, pa.int64()))], ["shard", "h1", "h2", "owner", "row"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(doc_key().alias("row"), F.col("doc_id").cast("long"), "text")
+    sent = arrow_map(rows, send, "shard int, h1 long, h2 long, owner long, row binary")
+    # There is a row at most for each shard, so for 200,000 lines.
+    spread = lambda df: df.join(small(parts, n_parts), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sent = spread(sent).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    copies = spread(index).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    out = pa.schema([("row", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return out.empty_table()
+        h1, h2 = (left[c].to_numpy().view(U64) for c in ("h1", "h2"))
+        n_docs, keeper = Shard(right.drop_columns(["shard", "part"]).to_pylist()[0]).probe(h1, h2)
+        gone = pa.array((n_docs >= min_docs) & (keeper != left["owner"].to_numpy()))
+        return left.select(["row", "h1", "h2"]).filter(gone).cast(out)
+
+    gone = sent.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "row binary, h1 long, h2 long")
+    gone = materialize(gone.distinct().groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "line-gone")
+    release(index, parts)
+    # Written, so that Spark knows its size: it is broadcast if that is small, else the rows are joined by their keys.
+    joined = held(docs, doc_key().alias("row")).join(gone, "row", "left").select(HELD, "gone")
+    schema = T.StructType([joined.schema[HELD], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, n_lines, n_dropped = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
-            lines, drop = split(text), set()
-            if gone:
-                wanted, found = {(g["h1"], g["h2"]) for g in gone}, long_keys(lines, min_chars)
+        rows, texts, n_lines, n_dropped = batch.column(HELD), [], [], []
+        for text, gone in zip(rows.field("text").to_pylist(), batch.column("gone")):
+            lines, drop = None, set()
+            if gone.is_valid:
+                lines, wanted = split(text), {(g["h1"], g["h2"]) for g in gone.as_py()}
+                found = long_keys(lines, min_chars)
                 h1, h2 = hashes([k for _, k in found])
                 drop = {i for (i, _), a, b in zip(found, h1.view(np.int64).tolist(), h2.view(np.int64).tolist()) if (a, b) in wanted}
             texts.append(rewrite(lines, drop) if drop else text)
-            n_lines.append(len(lines))
+            n_lines.append((text or "").count("\n") + 1)
             n_dropped.append(len(drop))
-        return output(batch, texts, n_lines, n_dropped)
-
-    return arrow_map(joined, finish, schema)
-
+        return pa.record_batch([with_text(rows, texts), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [HELD, "n_lines", "n_dropped"])
 
-def probe_table(key: tuple, left: pa.Table, right: pa.Table, probe) -> pa.Table:
-    empty = pa.schema([("row", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-    return pa.Table.from_batches(list(probe(key, left.to_batches(), right.to_batches())), empty)
+    return unheld(arrow_map(joined, finish, schema), docs.columns, {"_n_lines": F.col("n_lines"), "_n_dropped": F.col("n_dropped")})
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
