@@ -5,13 +5,16 @@ source's cumulative demand; inverting it at a document's place in the source's t
 of each pass over that document, and documents are range-sorted by position. Targets share the total size by weight, are
 held to `max_repeat` times the source's size, and what that leaves is shared again by weight among the other sources.
 
-A source's documents stand in the order of a keyed digest. Their running sums are made in two levels (digest buckets,
+A source's documents stand in the order of a keyed digest of id and text (so that rows without an id, or with one id, spread). Their running sums are made in two levels (digest buckets,
 then within a bucket), so that a source holding a third of all rows is dealt over thousands of groups. A source's last,
 partial pass ends exactly at its target: at most one document of a source is taken in part.
 
 Defined cases: a null text has size 0; rows of size 0 are returned with nothing taken and no position; the null source is
 a source of its own, last in order; repeated rows are each a row of the mix; a null id sorts as the empty text; an empty
-table gives an empty result; columns beyond those named here are ignored.
+table gives an empty result; a text of any length is measured whole. Rows alike in id and text stand beside each other in the
+source's line in an order that no result can tell, since what one of them is taken less the other is taken more; training_order
+keeps them apart by a number. Columns beyond those named here, whatever their names, are ignored by the mix and returned by
+training_order.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import WORD, doc_key, documents, materialize
+from triagemill.llm.common import HELD, WORD, doc_key, documents, held, materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -87,9 +90,10 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WE
     """A row for each document: doc_id, doc_key, source, size, source_size, target, taken, position (of the first pass) and
     copies (an array of position, words), range-sorted by position."""
     schedules = schedules or SCHEDULES
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select(
-        "doc_id", doc_key().alias("_key"), F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), digest.alias("_digest")
+    rows = docs.select("doc_id", "text", "source", doc_key().alias("_key"))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.hex("_key")))
+    rows = rows.select(
+        "doc_id", "_key", F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), digest.alias("_digest")
     ).withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS)).withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))
     buckets = rows.groupBy("_name", "_bucket").agg(F.sum("_size").alias("_bucket_size"), F.first("_source").alias("_source"))
     # A row for each source and bucket: it bounds nothing but itself, so it is kept as a table rather than in memory.
@@ -98,7 +102,7 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WE
     targets = targets.withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit(""))).drop("_source")
     before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.drop("_source").withColumn("_start", F.coalesce(F.sum("_bucket_size").over(before), F.lit(0))).join(targets, "_name").drop("_bucket_size")
-    inner = Window.partitionBy("_name", "_bucket").orderBy("_digest", "doc_id", "_size", "_key").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_name", "_bucket").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
     line = rows.join(starts, ["_name", "_bucket"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     quota = F.floor("_target")
     line = (
@@ -131,21 +135,45 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
 
     The one document of a source that is taken in part holds its first words, as many as the mix takes, joined by spaces.
     """
-    plan = materialize(mix_sources(docs, **options).where("taken > 0").groupBy("doc_key").agg(F.first("size").alias("_size"), F.first("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-plan")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_copy.words").cast("int")), " ")
-    text = F.when(F.col("_copy.words") < F.col("_size"), cut).otherwise(F.col("text"))
-    each = docs.withColumn("_doc_key", doc_key()).join(plan, F.col("_doc_key") == plan["doc_key"]).withColumn("_copy", F.explode("_copies"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_copy.words") < F.col("_size"), F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return each.select(*columns, F.col("_copy.position").alias("_position")).orderBy("_position", "doc_id").drop("_position")
+    # Rows alike in id, text and source share a key; the copies of all of them are dealt to them by turns.
+    alike = lambda rows: rows.withColumn("same", F.row_number().over(Window.partitionBy("key", "name").orderBy("key")))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    plan = mix_sources(docs, **options).select(F.col("doc_key").alias("key"), name.alias("name"), "size", "copies", "taken")
+    once = materialize(plan.groupBy("key", "name").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("copies").alias("copies"), F.sum("taken").alias("taken")), "mix-plan")
+    rows = held(docs, doc_key().alias("key"), name.alias("name"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    single = rows.join(once.where("rows = 1 AND taken > 0"), ["key", "name"]).select(HELD, "id", "text", "size", "copies")
+    repeated = once.where("rows > 1 AND taken > 0").select("key", "name")
+    many = materialize(plan.join(repeated, ["key", "name"], "left_semi"), "mix-alike")
+    several = alike(rows.join(repeated, ["key", "name"], "left_semi")).join(alike(many).drop("taken"), ["key", "name", "same"]).select(HELD, "id", "text", "size", "copies")
+    each = single.unionByName(several).select(HELD, "id", "text", "size", F.explode("copies").alias("copy"))
+    partial = F.col("copy.words") < F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
+    each = each.withColumn("cut", F.when(partial, cut)).orderBy("copy.position", "id")
+    given = lambda c: F.col(f"{HELD}.`{c}`")
+    whole = {"text": F.coalesce("cut", given("text")), "n_chars": F.coalesce(F.length("cut"), given("n_chars")) if "n_chars" in docs.columns else None}
+    return each.select(*[(whole[c].cast(docs.schema[c].dataType) if c in whole else given(c)).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def _placed_sql(schedules: dict[int, list[tuple[float, float]]] = SCHEDULES) -> str:
+    share, cases = "(place::DOUBLE / quota::DOUBLE)", []
+    for weight, knots in schedules.items():
+        for t0, t1, a, b, s0, s1, whole in segments(knots):
+            slope, area = (b - a) / (t1 - t0), f"({share} - {s0!r}) * {whole!r}"
+            step = f"(sqrt(greatest({a * a!r} + {2 * slope!r} * {area}, 0.0)) - {a!r}) / {slope!r}" if slope else f"{area} / {a!r}"
+            below = f" AND {share} < {s1!r}" if t1 < 1 else ""
+            cases.append(f"WHEN weight = {weight}{below} THEN least({t1!r}, {t0!r} + {step})")
+    return f"CASE {' '.join(cases)} END"
+
+
+_PLACED = _placed_sql()
 OP5_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || upper(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || CASE WHEN text IS NULL THEN ':0' ELSE ':1' END || coalesce(text, '')))) AS digest FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM sized GROUP BY source),
 weighted AS (SELECT *, rk % 3 + 1 AS weight, 3 * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total, source_size * 6 / (rk % 3 + 1) AS lvl FROM sources),
@@ -155,11 +183,13 @@ filling AS (
 judged AS (SELECT *, cap::HUGEINT * among <= remaining::HUGEINT * weight AS is_full FROM filling),
 shared AS (SELECT arg_min(remaining, (lvl, rk)) AS remaining, arg_min(among, (lvl, rk)) AS among FROM judged WHERE NOT is_full),
 targets AS (
-  SELECT j.source, j.source_size, CASE WHEN j.is_full THEN j.cap::DOUBLE ELSE (j.weight * s.remaining)::DOUBLE / s.among::DOUBLE END AS target FROM judged j LEFT JOIN shared s ON true),
+  SELECT j.source, j.source_size, j.weight, CASE WHEN j.is_full THEN j.cap::DOUBLE ELSE (j.weight * s.remaining)::DOUBLE / s.among::DOUBLE END AS target FROM judged j LEFT JOIN shared s ON true),
 lined AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, floor(t.target)::BIGINT AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(size, quota % source_size - place)) END::BIGINT AS taken
+       CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(size, quota % source_size - place)) END::BIGINT AS taken,
+       -- The first pass over the document, at the inverse of the schedule's integral.
+       CASE WHEN size > 0 AND quota > 0 AND place < quota THEN round({_PLACED}, 6) END AS position
 FROM lined"""

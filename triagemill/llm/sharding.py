@@ -5,7 +5,8 @@ The shards take turns, each claiming its most preferred free slot, until the tab
 a slot, so that placement is one lookup in a table of fixed size, which is why it may be broadcast.
 
 Defined cases: a null id is placed as the empty key; equal keys share a shard, repeated rows are each placed; an empty
-table gives an empty result; other columns, whatever their names, are left alone.
+table gives an empty result; texts are not read. Other columns, whatever their names, are left alone, but that one named like an
+added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagemill.llm.common import held, unheld
+
 #: Slots (a prime above a hundred times the shards keeps shares within about a hundredth) and shards of the registered query.
 SLOTS = 4093
 SHARDS = 32
@@ -53,8 +56,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def place(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """Adds `_slot` and `_shard` (index into `shards`) to every row; no shuffle."""
-    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "_slot int, _shard int")
-    return docs.withColumn("_slot", slot_of(F.col(key).cast("string"), slots)).join(F.broadcast(table), "_slot")
+    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "slot int, shard int")
+    placed = held(docs, slot_of(F.col(f"`{key}`").cast("string"), slots).alias("slot")).join(F.broadcast(table), "slot")
+    return unheld(placed, docs.columns, {"_slot": F.col("slot"), "_shard": F.col("shard")})
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
