@@ -211,6 +211,48 @@ def test_packing_round_trip(docs, rows):
         assert at <= packing.WINDOW
 
 
+def test_packing_retrieval():
+    """A seed's window is filled by the unused left-overs that BM25, written out, ranks highest."""
+    rng = np.random.default_rng(3)
+    rests = [rng.integers(10, 60, rng.integers(5, 40)).astype(np.uint16) for _ in range(60)]
+    n, mean = len(rests), np.mean([len(r) for r in rests])
+    df = collections.Counter(t for r in rests for t in set(r.tolist()))
+
+    def bm25(query, doc):
+        f = collections.Counter(doc.tolist())
+        idf = lambda t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+        return sum(idf(t) * f[t] * (packing.K1 + 1) / (f[t] + packing.K1 * (1 - packing.B + packing.B * len(doc) / mean)) for t in set(query.tolist()) if f[t])
+
+    used, seed, start = set(), None, 0
+    for pieces in packing.fill(rests, 100):
+        if seed is None:
+            seed, start = min(set(range(n)) - used), 0
+        assert pieces[0] == (seed, start, len(rests[seed]) - start)
+        used.add(seed)
+        room, order = 100 - pieces[0][2], sorted(set(range(n)) - used, key=lambda i: (-round(bm25(rests[seed], rests[i]), 9), i))
+        expected, seed = [], None
+        for i in order:
+            if not room:
+                break
+            took = min(room, len(rests[i]))
+            expected.append((i, 0, took))
+            used.add(i)
+            room -= took
+            if took < len(rests[i]):
+                seed, start = i, took
+        assert pieces[1:] == expected
+    assert used == set(range(n))
+
+
+def test_packing_many_parts(spark):
+    """Neighbourhoods of very many copies are split in parts whose sequences stay apart."""
+    copies = spark.range(17_000).selectExpr("id AS doc_id", "'a text' AS text")
+    pieces = packing.pack(copies, shard_docs=1).toPandas()
+    assert len(pieces) == 17_000 and not pieces.duplicated(["sequence_id", "offset"]).any()
+    held = pieces.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (held["length"].sum() <= packing.WINDOW).all() and (held["length"].sum() == held.apply(lambda g: g["offset"].iloc[-1] + g["length"].iloc[-1], include_groups=False)).all()
+
+
 def test_tokenizers_agree():
     rng, tok = random.Random(1), packing.tokenizer()
     for _ in range(3000):

@@ -3,24 +3,25 @@
 Texts are tokenized once. Whole windows of a long document are sequences of their own; what is left over (under one
 window) travels as 16-bit ids to a shard. Shards hold a bounded number of documents, those of a lexical neighbourhood:
 documents are bucketed by a min-hash over their rarer tokens, and buckets that hold too many are split by a digest. A
-shard builds an inverted index of its left-overs over tokens; each seed (the smallest unused id) asks it, with BM25, for
-its unused neighbours, which fill the seed's window greedily, the last one cut. The cut-off part is the next seed. So only
-the last sequence of a shard is padded.
+shard builds an inverted index of its left-overs over tokens; each seed (the smallest unused id) asks it, with all its tokens, for
+its unused neighbours by BM25, which fill the seed's window greedily, the last one cut. The cut-off part is the next seed. So only
+the last sequence of a shard is padded. BM25's statistics (number of left-overs, their mean length, and how many hold a token)
+are those of the whole corpus; neighbours are looked for in the seed's shard.
 
 Defined cases: a null text is empty and packs as its closing id alone; rows repeating an id are each packed; a null id packs
-last in its shard; an empty table gives an empty result; columns other than doc_id and text are ignored. Texts of any
-length are tokenized whole.
+last in its shard; equal left-overs fill windows by their id; an empty table gives an empty result; columns other than doc_id and text,
+whatever their names, are ignored. Texts of any length are tokenized whole.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagemill.llm.common import U64, arrow_map, documents, materialize, mix, small
@@ -32,9 +33,11 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SHARD_DOCS = 2048
 #: Tokens below this id were merged early, so are frequent; they say little of a document's neighbourhood.
 COMMON_IDS = 1000
-#: Distinct tokens of a query, the rarest first, and BM25's constants.
-QUERY_TOKENS = 64
+#: BM25's constants.
 K1, B = 1.2, 0.75
+#: Bits of a sequence's number within its part; the rest of 63 bits number the parts.
+SEQUENCE_BITS = 24
+
 
 class Tokenizer:
     """The byte-level BPE tokenizer. The same vocabulary as ranks, run by the faster of the two libraries, gives the same
@@ -50,6 +53,8 @@ class Tokenizer:
             pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         if len(pairs) + len(self.special) != self.encoder.get_vocab_size():
             raise ValueError("the two files hold different vocabularies")
+        if self.encoder.get_vocab_size() > 1 << 16:
+            raise ValueError("left-overs travel as 16-bit ids; the vocabulary is larger")
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
 
     def whole(self, text: str) -> np.ndarray:
@@ -104,10 +109,46 @@ def tokenized(docs: DataFrame, files: tuple[str, str, str] | None = None, window
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, doc_tokens long, whole array<long>, rest binary, near long")
 
 
+class Statistics:
+    """BM25's view of the corpus: the number of left-overs, their mean length, and of each token how many hold it."""
+
+    def __init__(self, count: int, mean: float, held_by: np.ndarray):
+        self.count, self.mean = count, max(mean, 1.0)
+        self.idf = np.log1p((count - held_by + 0.5) / (held_by + 0.5))
+
+    @classmethod
+    def of(cls, rests: list[np.ndarray]) -> Statistics:
+        held_by = np.zeros(1 << 16, np.int64)
+        for ids in rests:
+            held_by[np.unique(ids)] += 1
+        return cls(len(rests), float(np.mean([len(x) for x in rests])) if rests else 0.0, held_by)
+
+
+def statistics(coded: DataFrame) -> Statistics:
+    """Of all left-overs of `coded` (rest). A row for each token of the vocabulary, 65,536 at most, reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows, length = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for rest in batch.column("rest").to_pylist():
+                if rest:
+                    ids = np.frombuffer(rest, np.uint16)
+                    total[np.unique(ids)] += 1
+                    rows, length = rows + 1, length + len(ids)
+        tokens = np.flatnonzero(total)
+        yield pa.record_batch([pa.array([*tokens.tolist(), -1, -2], pa.int32()), pa.array([*total[tokens].tolist(), rows, length], pa.int64())], ["token", "n"])
+
+    found = {r.token: r.n for r in coded.select("rest").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    rows, length = found.pop(-1, 0), found.pop(-2, 0)
+    held_by = np.zeros(1 << 16, np.int64)
+    held_by[list(found)] = list(found.values())
+    return Statistics(rows, length / rows if rows else 0.0, held_by)
+
+
 class Index:
-    """BM25 over the tokens of a shard's left-overs."""
+    """The tokens of a shard's left-overs, inverted, with their BM25 weights."""
 
-    def __init__(self, rests: list[np.ndarray]):
+    def __init__(self, rests: list[np.ndarray], corpus: Statistics):
         docs, terms, times = [], [], []
         for i, ids in enumerate(rests):
             term, n = np.unique(ids, return_counts=True)
@@ -120,22 +161,17 @@ class Index:
         length = np.array([len(x) for x in rests], np.float64)
         self.count = len(rests)
         self.bounds = np.searchsorted(term, np.arange(1 << 16 | 1))
-        df = np.diff(self.bounds)
-        self.idf = np.log1p((self.count - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean() if len(length) else 1, 1))
-        self.doc, self.weight = doc, self.idf[term] * n * (K1 + 1) / (n + norm[doc])
+        norm = K1 * (1 - B + B * length / corpus.mean)
+        self.doc, self.weight = doc, corpus.idf[term] * n * (K1 + 1) / (n + norm[doc])
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        terms = np.unique(ids)
-        if len(terms) > QUERY_TOKENS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TOKENS]]
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms.tolist()]
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in np.unique(ids).tolist()]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.count)
 
 
-def fill(rests: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(rests: list[np.ndarray], window: int = WINDOW, corpus: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start in its rest, length) that hold every id once; each but the last is full."""
-    index, unused, out = Index(rests), np.array([len(r) > 0 for r in rests], bool), []
+    index, unused, out = Index(rests, corpus or Statistics.of(rests)), np.array([len(r) > 0 for r in rests], bool), []
     at, seed, start = 0, -1, 0
     while True:
         if seed < 0:
@@ -171,34 +207,45 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def pack(docs: DataFrame, files: tuple[str, str, str] | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     coded = materialize(tokenized(docs, files, window), "packing-ids")
+    corpus = statistics(coded)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
     buckets = max(1, -(-coded.count() // shard_docs))
     bucketed = coded.withColumn("bucket", F.pmod(F.xxhash64("near"), F.lit(buckets)).cast("int"))
     # Buckets with too many documents (a large group of copies) are split; there are no more of these than buckets.
     split = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_docs).select("bucket", F.ceil(F.col("n") / shard_docs).cast("int").alias("ways"))
+    split = materialize(split, "packing-split")
+    # Parts are numbered on: bucket b's first part, then the parts that split buckets have beyond one.
+    ways = split.agg(F.coalesce(F.sum("ways"), F.lit(0))).first()[0]
+    if buckets + ways > 1 << (63 - SEQUENCE_BITS):
+        raise ValueError("more parts than can be numbered")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.withColumn("first", F.lit(buckets) + F.coalesce(F.sum("ways").over(before), F.lit(0)))
     dealt = bucketed.join(small(split, buckets), "bucket", "left")
     place = F.xxhash64(F.col("doc_id"), F.xxhash64("rest"), F.lit("split"))
-    dealt = dealt.withColumn("part", F.when(F.col("ways").isNotNull(), F.pmod(place, F.col("ways"))).otherwise(F.lit(0)).cast("int"))
+    dealt = dealt.withColumn("part", F.when(F.col("ways").isNotNull(), F.col("first") + F.pmod(place, F.col("ways"))).otherwise(F.col("bucket")).cast("long"))
 
     def shard(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending")])
         ids, totals, whole = rows["doc_id"].to_pylist(), rows["doc_tokens"].to_pylist(), rows["whole"].to_pylist()
         rests = [np.frombuffer(x, np.uint16) for x in rows["rest"].to_pylist()]
-        # A shard's sequences are numbered on from its place: 24 bits within a part, 14 for the part, the rest for the bucket.
-        made, sequence = [], key[0].as_py() << 38 | key[1].as_py() << 24
+        made, sequence = [], key[0].as_py() << SEQUENCE_BITS
+        last = sequence + (1 << SEQUENCE_BITS)
         for doc, total, sums in zip(ids, totals, whole):
             for i, crc in enumerate(sums):
                 made.append((doc, i * window, window, crc, total, sequence, 0))
                 sequence += 1
-        for pieces in fill(rests, window):
+        for pieces in fill(rests, window, shared.value):
             offset = 0
             for i, start, length in pieces:
                 made.append((ids[i], len(whole[i]) * window + start, length, checksum(rests[i][start : start + length]), totals[i], sequence, offset))
                 offset += length
             sequence += 1
+        if sequence > last:
+            raise ValueError("more sequences in a part than can be numbered")
         columns = list(zip(*made)) if made else [[]] * 7
         return pa.table({c.split()[0]: pa.array(v, pa.int64()) for c, v in zip(_PIECES.split(", "), columns)})
 
-    return dealt.select("bucket", "part", "doc_id", "doc_tokens", "whole", "rest").groupBy("bucket", "part").applyInArrow(shard, _PIECES)
+    return dealt.select("part", "doc_id", "doc_tokens", "whole", "rest").groupBy("part").applyInArrow(shard, _PIECES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
