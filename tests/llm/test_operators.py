@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from triagemill.llm import jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, queries, sharding, substring_dedup, topk
+from triagemill.llm import common, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, queries, sharding, substring_dedup, topk
 from triagemill.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -69,7 +69,9 @@ def test_substring_dedup(docs, rows, start):
 
 
 @pytest.mark.parametrize("pairs_a_row", [0, 1e9])
-def test_jaccard_join(docs, rows, pairs_a_row):
+def test_jaccard_join(docs, rows, pairs_a_row, monkeypatch):
+    # Keys are hot, and dealt over copies, from so few rows on.
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     sets = []
     for r in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
@@ -84,7 +86,7 @@ def test_jaccard_join(docs, rows, pairs_a_row):
         if r[0] is not None:
             least[g] = min(r[0], least.get(g, r[0]))
     expected = collections.Counter((r[0], len(s), least.get(g) if s else r[0]) for r, s, g in zip(rows, sets, group))
-    assert bag(jaccard_join.join(docs, pairs_a_row=pairs_a_row)) == expected
+    assert bag(jaccard_join.join(docs, 3, 90, pairs_a_row=pairs_a_row)) == expected
 
 
 def linked_groups(rows, shingle, percent):

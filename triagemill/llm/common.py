@@ -94,6 +94,25 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key is hot from so many rows on, and from this share of all rows, so that there are at most 1 / share hot ones.
+HOT_ROWS, HOT_SHARE = 1000, 1 / 50_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, total: int, of: DataFrame | None = None) -> DataFrame:
+    """The inner join on one column with `right`, which has each key once. Rows of `left` (`total` of them) with a hot key are dealt
+    over copies of its row in `right`, as many as it takes to leave each copy no more rows than the limit. `of`: what the hot keys are
+    found in, where that is cheaper than `left`; any keys give the same rows."""
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    if total <= limit:
+        return left.join(right, key)
+    hot = (left if of is None else of).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).select(key, F.ceil(F.col("_rows") / limit).cast("int").alias("_ways"))
+    others = [c for c in left.columns if c != key]
+    # At most 1 / HOT_SHARE keys can be hot.
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_ways")), F.lit(0)).cast("int")).drop("_ways")
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def text_key(text: str = "text") -> Column:
     """128 bits that tell texts apart; a null text is no empty one."""
     return F.unhex(F.md5(F.concat(F.when(F.col(text).isNull(), "0").otherwise("1"), F.coalesce(text, F.lit("")))))

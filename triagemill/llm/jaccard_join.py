@@ -1,6 +1,6 @@
 """Operator 8, n-gram Jaccard join with rare-first prefix filtering.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one node. Shingles are
+A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets (by 128 bits) are one node. Shingles are
 ordered rare-first (by how often their hash bucket occurs in the corpus, a table of a fixed number of buckets, then by hash);
 two sets as similar as asked share a shingle among the first few of each, so only these prefixes are joined. Pairs must pass
 the length filter, the positional filter and the suffix filter in two forms (parity sketches, which bound the symmetric
@@ -13,7 +13,8 @@ the rounds are used up, all of them are compared; none is left out, so the compo
 
 Defined cases: a null, empty or wordless text has no set, links with nothing and is its own component; null ids take no part
 in naming a component (one of null ids alone is named null); rows that repeat an id are rows of their own; a text with fewer
-words than a shingle is one shingle; an empty table gives an empty result; other columns are ignored.
+words than a shingle is one shingle; an empty table gives an empty result; texts of any length are taken whole; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import U64, Rolling, arrow_map, chunks, doc_key, documents, hash_words, materialize, mix, small, words_of
+from triagemill.llm.common import U64, Rolling, arrow_map, chunks, doc_key, documents, hash_words, materialize, mix, release, salted_join, small, words_of
 
-#: The contract of op8; callers with another task pass their own.
-SHINGLE = 3
-#: Percent of the union that two sets must share.
-PERCENT = 90
+#: Words of a shingle, and the percent of the union that two sets must share to be near duplicates.
+SHINGLE, PERCENT = 5, 80
+#: What op8's contract asks for instead.
+OP8_SHINGLE, OP8_PERCENT = 3, 90
 #: Buckets of the shingle frequencies: a table of this many counts is all that is broadcast of them.
 BUCKET_BITS = 21
 #: Parts of the hash range in the suffix filter.
@@ -108,46 +109,52 @@ def bucket_frequencies(docs: DataFrame, shingle: int, bits: int = BUCKET_BITS) -
 
 
 def described(docs: DataFrame, frequencies: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, row, n, node, prefix: rare-first, parts: set sizes by part of the hash range, sketch0 and sketch1: parities of 128 hash cells) of every row of `docs`."""
+    """(doc_id, row, n, set0 and set1: 128 bits of the set, prefix: rare-first, parts: set sizes by part of the hash range, sketch0 and sketch1: parities of 128 hash cells) of every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
     shift = U64(64 - (len(frequencies).bit_length() - 1))
     part_shift = U64(64 - (PARTS.bit_length() - 1))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, node, prefix, parts, sketch = [], [], [], [], []
+        n, whole, prefix, parts, sketch = [], [], [], [], []
         for s in shingle_sets(batch.column("text"), shingle):
             n.append(len(s))
-            # The set's own hash: a sum of remixed members, remixed with its size.
-            node.append(int(mix(np.array([mix(s ^ U64(0xA0761D6478BD642F)).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0]) if len(s) else None)
+            # The set's own hash: two sums of remixed members, remixed with its size.
+            sums = np.array([mix(s ^ U64(seed)).sum(dtype=U64) + U64(len(s)) for seed in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)], U64)
+            whole.append(mix(sums).view(np.int64).tolist() if len(s) else (None, None))
             order = np.argsort(shared.value[(s >> shift).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]
             prefix.append(s[order].view(np.int64))
             parts.append(np.bincount((s >> part_shift).astype(np.int64), minlength=PARTS).astype(np.int32))
             odd = np.bincount((s & U64(127)).astype(np.int64), minlength=128) & 1
             sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-        columns = [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())), *[pa.array([x[i] for x in sketch], pa.int64()) for i in (0, 1)]]
-        return pa.record_batch(columns, ["doc_id", "row", "n", "node", "prefix", "parts", "sketch0", "sketch1"])
+        columns = [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), *[pa.array([x[i] for x in whole], pa.int64()) for i in (0, 1)], pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())), *[pa.array([x[i] for x in sketch], pa.int64()) for i in (0, 1)]]
+        return pa.record_batch(columns, ["doc_id", "row", "n", "set0", "set1", "prefix", "parts", "sketch0", "sketch1"])
 
-    return arrow_map(docs.select("doc_id", "row", "text"), work, "doc_id long, row long, n long, node long, prefix array<long>, parts array<int>, sketch0 long, sketch1 long")
+    return arrow_map(docs.select("doc_id", "row", "text"), work, "doc_id long, row binary, n long, set0 long, set1 long, prefix array<long>, parts array<int>, sketch0 long, sketch1 long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the linked nodes: the least node reachable, by label propagation with pointer jumping."""
     edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "join-labels")
+    n_edges, n_nodes = edges.count(), labels.count()
     while True:
-        heard = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
+        # A node of many links hears them all: its labels are put together before the shuffle.
+        heard = salted_join(edges.select(F.col("b").alias("node"), "a"), labels, "node", n_edges).select(F.col("a").alias("node"), "component")
         near = labels.union(heard).groupBy("node").agg(F.min("component").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = near.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
+        after = salted_join(near, jump, "component", n_nodes, labels).select("node", F.least("component", "further").alias("component"))
         after = materialize(after, "join-labels")
         settled = after.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").isEmpty()
+        release(labels)
         labels = after
         if settled:
+            release(edges)
             return labels
 
 
 def compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as similar as asked; the sets are made again from their texts."""
+    """The pairs (a, b) of nodes whose whole sets are as similar as asked; the sets are made again from their texts. A node of many
+    pairs (the leader of a large group) is dealt over copies of its set."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     rows = materialize(nodes.select("node", F.col("row").alias("of")).join(wanted, "node", "left_semi"), "join-wanted")
     texts = docs.join(small(rows, rows.count(), 100_000), docs["row"] == rows["of"]).select("node", "text")
@@ -156,7 +163,9 @@ def compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, p
         return pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())], ["node", "members"])
 
     sets = materialize(arrow_map(texts, members, "node long, members binary").dropDuplicates(["node"]), "join-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
+    total = pairs.count()
+    both = salted_join(pairs, sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a", total)
+    both = salted_join(both, sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b", total, pairs)
 
     def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -172,7 +181,9 @@ def compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(similar, batches)
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    links = materialize(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "join-links")
+    release(rows, sets)
+    return links
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_a_row: float = PAIRS_A_ROW, rounds: int = ROUNDS, leaders: int = LEADERS) -> DataFrame:
@@ -185,8 +196,11 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
     component with the least id (of those the least key), null where the component has no id or the text no word."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", doc_key().alias("row"))
     seen = materialize(described(docs, bucket_frequencies(docs, shingle), shingle, percent), "join-described")
-    nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("sketch0").alias("sketch0"), F.first("sketch1").alias("sketch1"))
-    nodes = materialize(nodes, "join-nodes")
+    rows_of = materialize(seen.select("doc_id", "row", "n", "set0", "set1"), "join-rows")
+    nodes = seen.where("set0 IS NOT NULL").groupBy("set0", "set1").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("doc"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("sketch0").alias("sketch0"), F.first("sketch1").alias("sketch1"))
+    # Numbers of their own, which hold once they are written; no two sets share one.
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+    release(seen)
     # Similar sets are of one size class or of neighbouring ones.
     grade = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
     postings = nodes.select("node", "n", "sketch0", "sketch1", grade.alias("grade"), "prefix", F.posexplode("prefix").alias("pos", "gram"))
@@ -195,6 +209,7 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
     total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
     postings = materialize(postings.join(lists, "gram"), "join-postings")
+    past: list[DataFrame] = [postings]
 
     def passes(x: str, y: str) -> Column:
         n, m, pos, at = (F.col(f"{c}.{v}" if c else v) for v in ("n", "pos") for c in (x, y))
@@ -213,6 +228,7 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
         # Lists inside one component are done.
         apart = at.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("gram")
         at = materialize(at.join(apart, "gram", "left_semi"), "join-open")
+        past.append(at)
         # Pairs of a list across components, by size class: of one class, and at most twice as many of two neighbouring ones.
         counted = at.groupBy("gram", "grade", "component").agg(F.count("*").alias("k")).groupBy("gram", "grade").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rows, across = counted.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) * 1.5), F.lit(0.0))).first()
@@ -244,19 +260,28 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
         bound = F.aggregate(F.zip_with("pa", "pb", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
         pairs = materialize(met.where(bound >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b"), "join-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        new = materialize(compare(pairs, nodes, docs, shingle, percent), "join-links")
+        new = compare(pairs, nodes, docs, shingle, percent)
+        past += [pairs, new]
         if not new.isEmpty():
             links = new if links is None else links.union(new)
+            release(labels)
             labels = components(links)
         if every:
             break
-    named = nodes.select("node", "doc", F.col("node").alias("component")) if labels is None else nodes.select("node", "doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "set0", "set1", "doc")
+    named = named.withColumn("component", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "join-named")
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
-    names = named.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper"))
-    out = seen.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
-    return out.select("doc_id", "row", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "keeper")
+    n_named = named.count()
+    names = salted_join(named.drop("doc"), least, "component", n_named).select("set0", "set1", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper"))
+    # Many rows may hold one set: those are known by a broadcast list, as they are few.
+    names = materialize(names, "join-names")
+    release(*past, labels, nodes, named)
+    total = rows_of.count()
+    out = salted_join(rows_of.where("set0 IS NOT NULL").withColumn("whole", F.struct("set0", "set1")).drop("set0", "set1"), names.withColumn("whole", F.struct("set0", "set1")).drop("set0", "set1"), "whole", total)
+    bare = rows_of.where("set0 IS NULL").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("keeper"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "keeper").unionByName(bare)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir), SHINGLE, PERCENT)
+    return join(documents(spark, sf_dir), OP8_SHINGLE, OP8_PERCENT)

@@ -33,13 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import U64, Rolling, arrow_map, doc_key, documents, hash_words, materialize, release, small, words_of
+from triagemill.llm.common import HOT_ROWS, HOT_SHARE, U64, Rolling, arrow_map, doc_key, documents, hash_words, materialize, release, small, words_of
 
 LENGTH = 35
 #: Words of the windows counted first: a quarter of the full length, since nearly all much shorter ones repeat in any prose.
 START = 9
-#: A key is heavy from so many rows on, and from this share of all rows, so that there are at most 1 / share heavy ones.
-HEAVY_ROWS, HEAVY_SHARE = 1000, 1 / 50_000
 
 
 def levels(length: int, start: int) -> list[int]:
@@ -52,7 +50,7 @@ def levels(length: int, start: int) -> list[int]:
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
     """The inner join with `right`, which has each key once and `rows`, the number of rows that `left` has of it (`total` of all)."""
-    limit = max(HEAVY_ROWS, int(total * HEAVY_SHARE))
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
     heavy, light = (F.broadcast(right.where(F.col("rows") >= limit).drop("rows")), right.where(F.col("rows") < limit).drop("rows"))
     return left.join(heavy, keys).unionByName(left.join(heavy, keys, "left_anti").join(light, keys))
 
