@@ -4,6 +4,11 @@ Every stage takes all its predecessor kept, written as Parquet and read again. T
 others the columns of `documents`. Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are
 linked as near duplicates. Rows without an id pass the near-duplicate stage unless they are linked, through others or not, to a
 row with one; rows that repeat an id are judged by their texts.
+
+Defined cases: null, empty and very short texts fail the quality rules, so no later stage sees them; of linked rows that tie for the
+least id, that with the least key (a digest of id and text) stays, and one of identical rows; a null source is a source of its own;
+texts of any length are taken whole; an empty table gives an empty result; columns beyond those of `documents`, whatever their
+names, reach the last stage unchanged.
 """
 
 from __future__ import annotations
@@ -13,39 +18,34 @@ from pyspark.sql import functions as F
 
 from triagemill.llm import jaccard_join, line_dedup, mixing, packing
 from triagemill.llm import quality as rules
-from triagemill.llm.common import doc_key, documents, materialize, small
-
-#: Near copies: words of a shingle, and the percent of the union that two documents' shingles must share. op8's own figures are closer.
-SHINGLE, PERCENT = 5, 80
-
+from triagemill.llm.common import HELD, doc_key, documents, held, materialize, release, small
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    # Written first: a filter pushed into the measures would make whole arrays again for each of their elements.
-    judged = materialize(rules.judge(docs).select(*docs.columns, F.col("kept").alias("_kept")), "pipeline-judged")
-    return judged.where("_kept").select(*docs.columns)
+    judged = rules.judge(docs.select(F.struct("*").alias("given"), "text", "lang"), ["given"])
+    return judged.where("kept").select("given.*")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay in one of them."""
-    done = line_dedup.dedup_lines(docs)
-    chars = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return done.withColumn("n_chars", chars).select(*docs.columns)
+    done = line_dedup.dedup_lines(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("given"), "doc_id", "text"))
+    chars = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("given.n_chars")).cast(docs.schema["n_chars"].dataType)
+    changed = {"text": F.col("text"), "n_chars": chars}
+    return done.select(*[changed.get(c, F.col(f"given.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents stays, that with the least id; all rows of a group without ids stay."""
-    joined = materialize(jaccard_join.keyed(docs, SHINGLE, PERCENT).select("row", "keeper"), "pipeline-groups")
-    surplus = materialize(joined.where("row <> keeper").select(F.col("row").alias("_row")).distinct(), "pipeline-surplus")
-    kept = docs.withColumn("_row", doc_key()).join(small(surplus, surplus.count()), "_row", "left_anti")
+    joined = materialize(jaccard_join.keyed(docs).select("row", "keeper"), "pipeline-groups")
+    surplus = materialize(joined.where("row <> keeper").select("row").distinct(), "pipeline-surplus")
+    kept = held(docs, doc_key().alias("row")).join(small(surplus, surplus.count()), "row", "left_anti")
     # Rows alike in id and text have one key, so those that stay are reduced to one.
-    twice = joined.where("row = keeper").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_row")
-    twice = materialize(twice, "pipeline-twice")
+    twice = materialize(joined.where("row = keeper").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "pipeline-twice")
     n = twice.count()
     if n:
         twice = small(twice, n)
-        kept = kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(twice, "row", "left_anti").unionByName(kept.join(twice, "row", "left_semi").dropDuplicates(["row"]))
+    return kept.select(f"{HELD}.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
