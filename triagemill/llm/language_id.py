@@ -3,34 +3,36 @@
 A text's features are byte n-grams of its letters (A-Z lower-cased, everything that is no letter made one gap), hashed into
 a fixed number of cells, weighted by sublinear TF and IDF and normalised. A language has several centroids, the means of
 clusters found by spherical k-means in its sample, so that registers of one language need not share a mean. The nearest
-centroid by cosine names the language; a text further than the rejection distance from all of them is flagged.
-
-The classifier is fitted on a bounded sample: of each language the `SAMPLE` labelled rows with the smallest digests. All
-rows are predicted, from their whole text; language, source and id are no inputs.
-
-Defined cases: a null text, or one without a letter, is `und` with score 0; rows with a null language aren't learned from;
-with no labelled row at all every text is `und`; repeated rows are predicted alike; a null id counts as held in (crc32 of
-nothing), an empty table gives an empty result; columns not named here are ignored.
+centroid by cosine names the language. A text is flagged as rejected if it is further from that centroid's language than all but
+a hundredth of the language's own sample is.
+
+The classifier is fitted on a bounded sample: of each language the `SAMPLE` distinct labelled rows with the smallest digests; there
+is no bound on the number of languages. Samples are featurised and clustered on the executors, a language a task; the driver
+receives centroids and document frequencies alone. All rows are predicted, from their whole text; language, source and id are no
+inputs.
+
+Defined cases: a null text, or one without a letter, is `und` with score 0 (and not rejected); rows with a null language aren't
+learned from; with no labelled row at all every text is `und`; of languages that tie the first by code point is named; repeated
+rows are learned from once and predicted alike; a null id counts as held in (crc32 of nothing); an empty table gives an empty
+result; a text of any length is read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import arrow_map, documents
+from triagemill.llm.common import arrow_map, doc_key, documents, materialize, release, small
 
-#: Labelled rows of a language, and languages (the most frequent), that the fit may use; so it is bounded.
+#: Labelled rows of a language that the fit may use; so it is bounded.
 SAMPLE = 400
-LANGUAGES = 200
 CENTROIDS = 3
 CELLS = 1 << 14
-#: A text whose cosine distance to every centroid is larger is flagged as rejected.
-REJECT_DISTANCE = 0.85
+#: The share of a language's own sample that lies beyond its rejection distance.
+REJECT_SHARE = 0.01
 UNDETERMINED = "und"
 ROUNDS = 8
 
@@ -59,51 +61,50 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return cells, total[cells]
 
 
+def weigh(cells: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = (1 + np.log(n)) * idf[cells]
+    norm = np.sqrt((v * v).sum())
+    return v / norm if norm else v
+
+
+def cluster(sample: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, centroids: int) -> tuple[np.ndarray, float]:
+    """The centroids of one language's sample (cells, counts), and the least cosine that is not rejected."""
+    rows = np.zeros((len(sample), CELLS), np.float32)
+    for row, (cells, n) in zip(rows, sample):
+        row[cells] = weigh(cells, n, idf)
+    # Start from spread-out rows, each the furthest from those chosen so far; then move to the means.
+    chosen = [0]
+    while len(chosen) < min(centroids, len(rows)):
+        chosen.append(int((rows @ rows[chosen].T).max(axis=1).argmin()))
+    centres = rows[chosen].copy()
+    for _ in range(ROUNDS):
+        nearest = (rows @ centres.T).argmax(axis=1)
+        for k in range(len(centres)):
+            if (nearest == k).any():
+                mean = rows[nearest == k].mean(axis=0)
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-12)
+    return centres, float(np.quantile((rows @ centres.T).max(axis=1), REJECT_SHARE))
+
+
 class Classifier:
-    """IDF and centroids, as arrays of a fixed size for each language."""
-
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, languages: list[str]):
-        self.idf, self.centroids, self.languages = idf.astype(np.float32), centroids.astype(np.float32), languages
-
-    @staticmethod
-    def weigh(cells: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(n)) * idf[cells]
-        norm = np.sqrt((v * v).sum())
-        return v / norm if norm else v
-
-    @classmethod
-    def fit(cls, sample: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = CENTROIDS) -> Classifier:
-        df = np.zeros(CELLS)
-        for _, cells, _ in sample:
-            df[cells] += 1
-        idf = np.log((1 + len(sample)) / (1 + df)) + 1
-        found, names = [], []
-        for lang in sorted({x[0] for x in sample}):
-            rows = np.zeros((sum(x[0] == lang for x in sample), CELLS), np.float32)
-            for row, (_, cells, n) in zip(rows, (x for x in sample if x[0] == lang)):
-                row[cells] = cls.weigh(cells, n, idf)
-            # Start from spread-out rows, each the furthest from those chosen so far; then move to the means.
-            chosen = [0]
-            while len(chosen) < min(centroids, len(rows)):
-                chosen.append(int((rows @ rows[chosen].T).max(axis=1).argmin()))
-            centres = rows[chosen].copy()
-            for _ in range(ROUNDS):
-                nearest = (rows @ centres.T).argmax(axis=1)
-                for k in range(len(centres)):
-                    if (nearest == k).any():
-                        mean = rows[nearest == k].mean(axis=0)
-                        centres[k] = mean / max(np.linalg.norm(mean), 1e-12)
-            found.append(centres)
-            names += [lang] * len(centres)
-        return cls(idf, np.vstack(found) if found else np.empty((0, CELLS)), names)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+    """IDF, centroids with their languages, and each language's least cosine; arrays of a fixed size for each language."""
+
+    def __init__(self, idf: np.ndarray, found: list[tuple[str, np.ndarray, float]]):
+        found = sorted(found, key=lambda x: x[0])
+        self.idf = idf.astype(np.float32)
+        self.centroids = np.vstack([c for _, c, _ in found]).astype(np.float32) if found else np.empty((0, CELLS), np.float32)
+        self.languages = [lang for lang, c, _ in found for _ in range(len(c))]
+        self.least = {lang: least for lang, _, least in found}
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, its cosine (0 to 1), and whether the text is rejected."""
         cells, n = counts(text or "")
         if not len(cells) or not self.languages:
-            return UNDETERMINED, 0.0
-        cosine = self.centroids[:, cells] @ self.weigh(cells, n, self.idf).astype(np.float32)
+            return UNDETERMINED, 0.0, False
+        cosine = self.centroids[:, cells] @ weigh(cells, n, self.idf).astype(np.float32)
         best = int(cosine.argmax())
-        return self.languages[best], float(min(1.0, max(0.0, cosine[best])))
+        lang, score = self.languages[best], float(min(1.0, max(0.0, cosine[best])))
+        return lang, score, score < self.least[lang]
 
 
 def held_out() -> Column:
@@ -111,37 +112,49 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Classifier:
-    """Learns from `text` and `lang` of a bounded sample of the labelled rows in `docs`, featurised on the executors."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", digest.alias("_digest"))
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    """Learns from `text` and `lang` of a bounded sample of the labelled rows in `docs`."""
+    spark = docs.sparkSession
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", doc_key().alias("key"))
     # The smallest digests of each language: ranked before the shuffle too, so a frequent language sends `sample` rows a task.
-    chosen = labelled.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_digest", "doc_id"))).where(F.col("_rank") <= sample)
-    chosen = chosen.join(F.broadcast(known.select("lang")), "lang", "left_semi").select("doc_id", "lang")
+    ranked = labelled.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= sample)
+    chosen = materialize(ranked.select("lang", "key"), "language-sample")
+    n = chosen.count()
+    texts = labelled.join(small(chosen, n), ["lang", "key"]).dropDuplicates(["lang", "key"])
 
     def featurise(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [counts(t) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("lang"), pa.array([c.astype(np.int32).tobytes() for c, _ in made], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in made], pa.binary())], ["lang", "cells", "n"])
+        return pa.record_batch([batch.column("lang"), batch.column("key"), pa.array([c.astype(np.int32) for c, _ in made], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in made], pa.list_(pa.int32()))], ["lang", "key", "cells", "n"])
+
+    rows = materialize(arrow_map(texts.select("lang", "key", "text"), featurise, "lang string, key binary, cells array<int>, n array<int>").where("size(cells) > 0"), "language-features")
+    # A row a cell: bounded by their number.
+    held_by = {r.cell: r.n for r in rows.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    df = np.zeros(CELLS)
+    df[list(held_by)] = list(held_by.values())
+    idf = np.log((1 + rows.count()) / (1 + df)) + 1
+
+    def learn(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("key")
+        centres, least = cluster([(np.asarray(c), np.asarray(n)) for c, n in zip(own["cells"], own["n"])], idf, centroids)
+        return pd.DataFrame([{"lang": key[0], "centres": centres.astype(np.float32).tobytes(), "least": least}])
 
-    texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    rows = arrow_map(texts.select("lang", "text"), featurise, "lang string, cells binary, n binary").collect()
-    rows = sorted((r.lang, bytes(r.cells), bytes(r.n)) for r in rows)
-    return Classifier.fit([(lang, np.frombuffer(c, np.int32), np.frombuffer(n, np.int32)) for lang, c, n in rows if c], centroids)
+    learned = rows.groupBy("lang").applyInPandas(learn, "lang string, centres binary, least double").collect()
+    release(chosen, rows)
+    return Classifier(idf, [(r.lang, np.frombuffer(bytes(r.centres), np.float32).reshape(-1, CELLS), r.least) for r in learned])
 
 
-def identify(docs: DataFrame, classifier: Classifier, reject: float = REJECT_DISTANCE) -> DataFrame:
-    """(doc_id, _held, _lang, _score, _rejected) of every row of `docs` (doc_id, text, _held)."""
+def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """(doc_id, held, lang, score, rejected) of every row of `docs` (doc_id, text, held)."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
-        score = pa.array([s for _, s in found], pa.float64())
-        return pa.record_batch([batch.column("doc_id"), batch.column("_held"), pa.array([x for x, _ in found], pa.string()), score, pc.less(score, 1 - reject)], ["doc_id", "_held", "_lang", "_score", "_rejected"])
+        made = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+        return pa.record_batch([batch.column("doc_id"), batch.column("held"), *made], ["doc_id", "held", "lang", "score", "rejected"])
 
-    return arrow_map(docs, work, "doc_id long, _held boolean, _lang string, _score double, _rejected boolean")
+    return arrow_map(docs, work, "doc_id long, held boolean, lang string, score double, rejected boolean")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text", "lang", held_out().alias("_held"))
-    found = identify(docs.select("doc_id", "text", "_held"), fit(docs.where("NOT _held")))
-    return found.select("doc_id", F.col("_held").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text", "lang", held_out().alias("held"))
+    found = identify(docs.select("doc_id", "text", "held"), fit(docs.where("NOT held")))
+    return found.select("doc_id", F.col("held").alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
