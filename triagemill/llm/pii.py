@@ -1,15 +1,24 @@
 """Operator 1, personal data and secrets replaced by surrogates.
 
-Detected entities are replaced by keyed surrogates of the same kind and format: digits for digits, letters for letters in
-the same case, separators kept, card numbers that pass the Luhn test still pass it, a name gets a name of the same gender
-and script. A name is the run of capitalised words and initials after a title; its words are replaced wherever they stand in the
-document with a capital letter. A given name has one gender in all documents: the one its titles tell, none if they tell both or neither.
-Initials turn by a key-given number of letters and take no part in the collision checks. The surrogate depends on the secret key and the entity's kind and canonical form alone, so an entity has one surrogate in
-all documents (coreference), however it is written. Over the table of distinct entities collision checks hold surrogates
-apart: none may be shared by two entities, nor be an entity that occurs; who loses tries again with a counter.
+Detected entities are replaced by keyed surrogates of the same kind and format: digits for digits, letters for letters of the same
+script and case, separators kept, card numbers that pass the Luhn test still pass it, a name gets a name of the same gender and
+script; a value with nothing to vary (a password of asterisks) gets one of its length out of letters and digits. A name is the run
+of capitalised words and initials after a title or after words that introduce a name, or a run that begins with a common given
+name; in scripts without capitals, the word beside a title. Its words are replaced wherever they stand in the document with a
+capital letter, titled or not (coreference). A given name has one gender in all documents: the one its titles tell, none if they
+tell both or neither. Initials turn by a key-given number of letters and take no part in the collision checks.
+
+The surrogate depends on the secret key and the entity's kind and canonical form alone, so an entity has one surrogate in all
+documents, however it is written. Over the table of distinct entities collision checks hold surrogates apart: none may be shared
+by two entities, nor be an entity that occurs; who loses tries again with a counter. After many tries the surrogate grows by a
+character; where a format is so short and so full that it can't, those left keep a surrogate that no other entity has, but which is
+an entity that occurs.
+
+The key is read from the setting `spark.triagemill.pii.key`; without it a key that anyone can read here is used, for tests.
 
 Defined cases: a null text stays null, an empty one empty; rows with a null id are rewritten like others; repeated rows are
-rewritten alike; an empty table gives an empty result; other columns are returned as they are. Texts are searched whole.
+rewritten alike; entities that overlap go to the earlier kind; an empty table gives an empty result. Texts are searched whole.
+Other columns, whatever their names, are returned as they are, but that one named like an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,16 +30,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagemill.llm.common import arrow_map, doc_key, documents, materialize
+from triagemill.llm.common import HELD, arrow_map, doc_key, documents, held, materialize, release, salted_join, unheld, with_text
 
+KEY_SETTING = "spark.triagemill.pii.key"
 KEY = b"surrogate-key-1"
-#: Entities with a counter above 0 or another kind over all documents (few) up to which they are broadcast.
-RETRIED_ROWS = 100_000
-MAX_TRIES = 64
+MAX_TRIES = 32
+#: Tries after which a surrogate is one character longer.
+GROW_AFTER = 8
 
 _L = r"[^\W\d_]"
 _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Г-н", "Κύριος")
@@ -50,11 +60,25 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("card", "", re.compile(r"(?<![\w.+-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])")),
     ("phone", "", re.compile(r"(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)")),
     ("ssn", "-", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    ("phone", "", re.compile(r"(?<![\w.+])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\w-])")),
+    ("ipv6", ":", re.compile(r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")),
     ("ip", ".", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)")),
 ]
 _SPACE = re.compile(r"[ \t\xa0]+")
 _TITLED = re.compile(rf"\b(?:(?:{_TITLES})\.?[ \t\xa0]+)+")
 _TITLE = re.compile(rf"\b(?:{_TITLES})\b")
+#: Words that a name follows.
+_INTRODUCED = re.compile(r"(?:\b(?i:my name is|my name's|mein name ist|ich heiße|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ \t\xa0]+)")
+#: Common given names that begin a name without a title: those of many men and women in English, German, French and Spanish.
+GIVEN = {name: sex for sex, listed in {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Paul Mark George Steven Kevin Hans Peter Klaus Wolfgang Jürgen Stefan Andreas Pierre Jean Michel Philippe Alain Antonio José Manuel Francisco Carlos Miguel Pedro Luis",
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Anna Ursula Monika Petra Sabine Renate Helga Marie Nathalie Isabelle Sylvie Catherine María Carmen Josefa Isabel Laura Lucía",
+}.items() for name in listed.split()}
+_GIVEN = re.compile(rf"(?<![\w'’-])(?:{'|'.join(GIVEN)})(?=[ \t\xa0]+{_L})(?![\w'’-])")
+#: Titles beside names in scripts without capitals: after the name, or before it.
+_AFTER = re.compile(r"(?P<v>[\u4e00-\u9fff]{1,4}|[\u30a0-\u30ff]{2,10}|[\uac00-\ud7af]{2,4}?)[ ]?(?P<t>さん|様|氏|先生|女士|小姐|씨|님)")
+_BEFORE = re.compile(r"(?P<t>\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?|السيدة|السيد|מר|גברת|श्रीमती|श्री)[ \t\xa0]+(?P<v>[^\W\d_A-Za-z\u00c0-\u052f]{1,20}(?:[ \t\xa0][^\W\d_A-Za-z\u00c0-\u052f]{1,20})?)")
+_SEXED = {"女士": "f", "小姐": "f", "先生": "m", "السيدة": "f", "السيد": "m", "מר": "m", "גברת": "f", "श्रीमती": "f", "श्री": "m"}
 _WORD = re.compile(rf"{_L}++(?:['’-]{_L}++)*+")
 #: Small words inside a name; they stay, and what follows them is still the name.
 _PARTICLES = frozenset("af al bin da de del della den der di do dos du el ibn la le ter van von y zu zum zur".split())
@@ -64,9 +88,23 @@ _DIGIT = re.compile(r"[0-9]")
 _NEEDS_DIGIT = {"iban", "card", "phone", "ssn", "ip"}
 
 
+#: Ranges of letters by script; small letters where the script has case.
+_RANGES = {
+    "latin": ("a", "z"), "cyrillic": ("а", "я"), "greek": ("α", "ω"), "han": ("\u4e00", "\u9fa5"), "hiragana": ("\u3042", "\u3093"), "katakana": ("\u30a2", "\u30f3"),
+    "hangul": ("\uac00", "\ud7a3"), "arabic": ("\u0627", "\u064a"), "hebrew": ("\u05d0", "\u05ea"), "devanagari": ("\u0915", "\u0939"), "armenian": ("\u0561", "\u0586"), "thai": ("\u0e01", "\u0e2e"), "georgian": ("\u10d0", "\u10f0"),
+}
+_BLOCKS = (
+    ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F),
+    ("georgian", 0x10A0, 0x10FF), ("hiragana", 0x3040, 0x309F), ("katakana", 0x30A0, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+)
+
+
+def script_of(c: str) -> str:
+    return next((name for name, low, high in _BLOCKS if low <= ord(c) <= high), "latin")
+
+
 def script(text: str) -> str:
-    first = next((c for c in text if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
+    return script_of(next((c for c in text if c.isalpha()), "a"))
 
 
 def gender(titles: str) -> str:
@@ -110,8 +148,17 @@ def names(text: str) -> list[tuple[int, int, str, str]]:
         at = run[-1][1] if run else m.end()
         if run:
             runs.append((gender(m[0]), run))
+    titled = {span for _, run in runs for span in run}
+    for pattern in (_INTRODUCED, _GIVEN):
+        for m in pattern.finditer(text):
+            run = name_run(text, m.end() if pattern is _INTRODUCED else m.start())
+            # A given name alone is a word like others.
+            if run and not titled & set(run) and (pattern is _INTRODUCED or len(run) > 1):
+                titled |= set(run)
+                runs.append((GIVEN.get(text[run[0][0] : run[0][1]], "n"), run))
+    uncased = caseless(text)
     if not runs:
-        return []
+        return uncased
     found: dict[tuple[int, int], tuple[str, str]] = {}
     sexes: dict[str, set[str]] = {}
     family: set[str] = set()
@@ -148,6 +195,27 @@ def names(text: str) -> list[tuple[int, int, str, str]]:
             one = sexes[word] - {"n"}
             part = f"given-{one.copy().pop() if len(one) == 1 else 'n'}"
         out.append((start, end, f"name-{part}-{script(word)}" if part != "initial" else f"initial-{script(word)}", word))
+    return out + uncased
+
+
+def caseless(text: str) -> list[tuple[int, int, str, str]]:
+    """Names in scripts without capitals, whole: beside a title, and wherever else the document has them."""
+    if text.isascii():
+        return []
+    sexes: dict[str, set[str]] = {}
+    for pattern in (_AFTER, _BEFORE):
+        for m in pattern.finditer(text):
+            sexes.setdefault(m["v"], set()).add(_SEXED.get(m["t"]) or gender(m["t"].rstrip(".")))
+    out: list[tuple[int, int, str, str]] = []
+    at = 0
+    if not sexes:
+        return out
+    for m in re.finditer("|".join(sorted(map(re.escape, sexes), key=len, reverse=True)), text):
+        # One character is a name beside its title alone.
+        if m.start() >= at and (len(m[0]) > 1 or _AFTER.match(text, m.start()) or any(x.span("v") == m.span() for x in _BEFORE.finditer(text, max(0, m.start() - 20)))):
+            told = sexes[m[0]] - {"n"}
+            out.append((m.start(), m.end(), f"name-given-{told.pop() if len(told) == 1 else 'n'}-{script(m[0])}", m[0]))
+            at = m.end()
     return out
 
 
@@ -165,9 +233,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             value = text[start:end]
             taken.append((start, end))
-            canon = value.lower() if kind == "email" else re.sub(r"\D", "", value) if kind in ("card", "phone", "ssn") else value.replace(" ", "") if kind == "iban" else value
+            canon = value.lower() if kind == "email" else re.sub(r"\D", "", value) if kind in ("card", "phone", "ssn") else value.replace(" ", "") if kind == "iban" else value.lower() if kind == "ipv6" else value
             found.append((start, end, kind, canon))
-    if any(c in text for c in " \t\xa0"):
+    if not text.isascii() or any(c in text for c in " \t"):
         taken.sort()
         for name in names(text):
             # Those taken stand apart, so only the last that begins before the word's end can meet it.
@@ -184,23 +252,27 @@ def stream(key: bytes, kind: str, canon: str, tries: int) -> Iterator[int]:
         block += 1
 
 
-def _like(text: str, numbers: Iterator[int]) -> str:
-    """Characters of the same class: lower-case hex for lower-case hex, digits, small and capital letters; the rest stays."""
+def _like(text: str, numbers: Iterator[int], longer: int = 0) -> str:
+    """Characters of the same class: lower-case hex for lower-case hex, digits for digits, letters for letters of their script and
+    case; the rest stays. A text without any of these gets letters and digits instead; `longer` adds as many."""
     hexed = re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", text)
+    draw = lambda n: (next(numbers) << 16 | next(numbers) << 8 | next(numbers)) % n
     out = []
     for c in text:
-        n = next(numbers) << 8 | next(numbers)
         if hexed:
-            out.append("0123456789abcdef"[n % 16])
-        elif "0" <= c <= "9":
-            out.append(str(n % 10))
-        elif "a" <= c <= "z":
-            out.append(chr(97 + n % 26))
-        elif "A" <= c <= "Z":
-            out.append(chr(65 + n % 26))
+            out.append("0123456789abcdef"[draw(16)])
+        elif c.isdigit():
+            # Digits of a script stand in tens.
+            out.append(chr(ord(c) - int(c) + draw(10)) if c.isdecimal() else str(draw(10)))
+        elif c.isalpha():
+            low, high = map(ord, _RANGES[script_of(c)])
+            made = chr(low + draw(high - low + 1))
+            out.append(made.upper() if c.isupper() and len(made.upper()) == 1 else made)
         else:
             out.append(c)
-    return "".join(out)
+    if not any(c.isalnum() for c in text):
+        out = ["abcdefghijklmnopqrstuvwxyz0123456789"[draw(36)] for _ in text]
+    return "".join(out) + "".join("abcdefghijklmnopqrstuvwxyz0123456789"[draw(36)] for _ in range(longer))
 
 
 def luhn(digits: str) -> bool:
@@ -215,32 +287,38 @@ SYLLABLES = {
 }
 
 
-def _name(kind: str, numbers: Iterator[int], tries: int) -> str:
+def _name(kind: str, canon: str, numbers: Iterator[int], tries: int) -> str:
     _, part, *rest = kind.split("-")
-    onsets, vowels, endings = SYLLABLES[rest[-1]]
     pick = lambda xs: xs[(next(numbers) << 8 | next(numbers)) % len(xs)]
-    return "".join(pick(onsets) + pick(vowels) for _ in range(3 + tries // 8)) + pick(endings["" if part == "family" else rest[0]])
+    if rest[-1] not in SYLLABLES:
+        # No invented names there: letters of the script, as many as the name has.
+        return _like(canon, numbers, 0) + "".join(_like(canon[-1], numbers) for _ in range(tries // GROW_AFTER))
+    onsets, vowels, endings = SYLLABLES[rest[-1]]
+    return "".join(pick(onsets) + pick(vowels) for _ in range(3 + tries // GROW_AFTER)) + pick(endings["" if part == "family" else rest[0]])
 
 
 def surrogate(key: bytes, kind: str, canon: str, tries: int = 0) -> str:
     """The canonical form of the entity's surrogate."""
     numbers = stream(key, kind, canon, tries)
+    longer = tries // GROW_AFTER
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         labels = domain.split(".")
         kept = 2 if domain.endswith(("example.com", "example.org", "example.net")) else 1
         # A domain's surrogate depends on the domain alone, so that addresses of one domain stay together.
         names = [_like(x, stream(key, "domain", x, 0)) for x in labels[:-kept]] + labels[-kept:]
-        return _like(local, numbers) + ("x" * (tries // 8)) + "@" + ".".join(names)
+        return _like(local, numbers, longer) + "@" + ".".join(names)
     if kind.startswith("name-"):
-        return _name(kind, numbers, tries)
+        return _name(kind, canon, numbers, tries)
     if kind.startswith("initial-"):
         # A turn of the alphabet by the key: one to one, and no letter stays.
-        letters = _ALPHABETS[kind[8:]]
-        turn = 1 + hmac.digest(key, kind.encode(), hashlib.sha256)[0] % (len(letters) - 1)
-        return letters[(letters.find(canon) + turn) % len(letters)] if canon in letters else letters[next(numbers) % len(letters)]
+        low, high = map(ord, _RANGES[kind[8:]])
+        turn = 1 + hmac.digest(key, kind.encode(), hashlib.sha256)[0] % (high - low)
+        return chr(low + (ord(canon) - low + turn) % (high - low + 1)) if low <= ord(canon) <= high else _like(canon, numbers)
     if kind == "ip":
         return ".".join(str((1 if i == 0 else 0) + (next(numbers) << 8 | next(numbers)) % (223 if i == 0 else 256)) for i in range(4))
+    if kind == "ipv6":
+        return ":".join(f"{next(numbers) << 8 | next(numbers):x}" for _ in range(8))
     if kind == "phone":
         # A fictional exchange stays one; the leading digit (the country) stays.
         out = canon[0] + _like(canon[1:], numbers)
@@ -250,7 +328,9 @@ def surrogate(key: bytes, kind: str, canon: str, tries: int = 0) -> str:
         return next(x for x in (out[:-1] + str(d) for d in range(10)) if luhn(x)) if luhn(canon) else out
     if kind == "iban":
         return canon[:2] + _like(canon[2:], numbers)
-    return _like(canon, numbers)
+    if kind == "ssn":
+        return _like(canon, numbers)
+    return _like(canon, numbers, longer)
 
 
 def shaped(kind: str, value: str, canon: str) -> str:
@@ -261,35 +341,42 @@ def shaped(kind: str, value: str, canon: str) -> str:
     if kind.startswith("initial-"):
         return canon.upper()
     if kind.startswith("name-"):
-        return canon.upper() if value.isupper() and len(value) > 1 else canon[:1].upper() + canon[1:]
+        return canon.upper() if value.isupper() and len(value) > 1 else canon[:1].upper() + canon[1:] if value[:1].isupper() else canon
     if kind == "email" and value.isupper():
         return canon.upper()
     return canon
 
 
-def replace(text: str, key: bytes, tries: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, int]:
-    """The rewritten text and its number of entities; tries: of (kind, canon) the kind over all documents and the counter, where not as found and 0."""
+def replace(text: str, key: bytes, given: dict[tuple[str, str], tuple[str, str]]) -> tuple[str, int]:
+    """The rewritten text and its number of entities; given: of (kind, canon) the kind over all documents and the surrogate, where
+    these aren't the kind as found and its first surrogate."""
     out, at = [], 0
     found = entities(text)
     for start, end, kind, canon in found:
-        settled, n = tries.get((kind, canon), (kind, 0))
-        out += [text[at:start], shaped(kind, text[start:end], surrogate(key, settled, canon, n))]
+        settled, made = given.get((kind, canon), (kind, None))
+        out += [text[at:start], shaped(kind, text[start:end], surrogate(key, settled, canon) if made is None else made)]
         at = end
     return ("".join(out) + text[at:] if found else text), len(found)
 
 
 def occurring(docs: DataFrame, rows: bool = False) -> DataFrame:
-    """The distinct entities (kind, canon) of all documents; with `rows`, of each document (by _key)."""
+    """The distinct entities (kind, canon) of all documents; with `rows`, of each document (by its key)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = []
-        for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
-            made += [(key if rows else 0, k, c) for k, c in {(k, c) for _, _, k, c in entities(text or "") if not k.startswith("initial-")}]
-        made = sorted(set(made))
-        return pa.record_batch([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["_key", "kind", "canon"])
-
-    found = arrow_map(docs.where("text IS NOT NULL").select(doc_key().alias("_key"), "text"), work, "_key long, kind string, canon string")
-    return found if rows else found.select("kind", "canon").distinct()
+        owner, made = [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            found = sorted({(k, c) for _, _, k, c in entities(text or "") if not k.startswith("initial-")})
+            owner += [i] * len(found)
+            made += found
+        if not rows:
+            made = sorted(set(made))
+        columns = [pa.array([m[i] for m in made], pa.string()) for i in (0, 1)]
+        return pa.record_batch([batch.column("key").take(pa.array(owner, pa.int64())), *columns], ["key", "kind", "canon"]) if rows else pa.record_batch(columns, ["kind", "canon"])
+
+    texts = docs.where("text IS NOT NULL")
+    if rows:
+        return arrow_map(texts.select(doc_key().alias("key"), "text"), work, "key binary, kind string, canon string")
+    return arrow_map(texts.select("text"), work, "kind string, canon string").distinct()
 
 
 def settled(found: DataFrame) -> DataFrame:
@@ -313,53 +400,65 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
     schema = "kind string, canon string, tries int, surrogate string"
     found = materialize(found, "pii-entities")
     current = materialize(arrow_map(found.withColumn("tries", F.lit(0)), propose, schema, "canon"), "pii-surrogates")
+    lost = None
     for _ in range(MAX_TRIES):
         # Of those that share a surrogate the one that has tried least, then the least, keeps it.
         owner = current.groupBy("kind", "surrogate").agg(F.min(F.struct("tries", "canon")).alias("_owner"), F.count("*").alias("_n"))
         shared = current.join(owner.where("_n > 1"), ["kind", "surrogate"]).where(F.struct("tries", "canon") != F.col("_owner")).select("kind", "canon")
         real = found.select("kind", F.col("canon").alias("surrogate"))
-        lost = materialize(shared.union(current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")).distinct(), "pii-collisions")
+        last, lost = lost, materialize(shared.union(current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")).distinct(), "pii-collisions")
+        release(last)
         if lost.isEmpty():
             return current
         kept = current.join(lost, ["kind", "canon"], "left_anti")
         again = current.join(lost, ["kind", "canon"], "left_semi").select("kind", "canon", F.col("tries") + 1)
-        current = materialize(kept.unionByName(arrow_map(again.toDF("kind", "canon", "tries"), propose, schema, "canon")), "pii-surrogates")
-    raise ValueError("surrogates still collide; the key space of a kind is too small for its entities")
-
-
-def pseudonymise(docs: DataFrame, key: bytes = KEY, retried_rows: int = RETRIED_ROWS) -> DataFrame:
+        before, current = current, materialize(kept.unionByName(arrow_map(again.toDF("kind", "canon", "tries"), propose, schema, "canon")), "pii-surrogates")
+        release(before)
+    return apart(current, schema)
+
+
+def apart(current: DataFrame, schema: str) -> DataFrame:
+    """What is left after the last try, in formats with hardly more values than entities. A kind's canonical forms of one length are
+    turned by one place in their order, which is one to one: a surrogate is another entity's form, and no two share it."""
+    shared = current.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind", "surrogate")
+    full = current.join(shared, ["kind", "surrogate"], "left_semi").select("kind", F.length("canon").alias("size")).distinct()
+    # Kinds with lengths: a few hundred rows at most.
+    turned = current.withColumn("size", F.length("canon")).join(F.broadcast(full), ["kind", "size"], "left_semi")
+    order = Window.partitionBy("kind", "size").orderBy("canon")
+    first = F.first("canon").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    turned = turned.withColumn("surrogate", F.coalesce(F.lead("canon").over(order), first)).withColumn("tries", F.lit(-1))
+    rest = current.withColumn("size", F.length("canon")).join(F.broadcast(full), ["kind", "size"], "left_anti")
+    return materialize(rest.unionByName(turned, True).select("kind", "canon", "tries", "surrogate"), "pii-surrogates")
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """The rows of `docs` with `text` rewritten and `_n_entities` added."""
-    kinds = materialize(settled(materialize(occurring(docs), "pii-occurring")), "pii-kinds")
-    retried = assign(kinds.select(F.col("settled").alias("kind"), "canon").distinct(), key).where("tries > 0").select(F.col("kind").alias("settled"), "canon", "tries")
-    retried = kinds.join(retried, ["settled", "canon"], "left").where("tries > 0 OR kind <> settled").select("kind", "canon", "settled", F.coalesce("tries", F.lit(0)).alias("tries"))
-    retried = materialize(retried, "pii-retried")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_entities", T.LongType())])
-
-    def output(batch: pa.RecordBatch, made: list[tuple[str | None, int]]) -> pa.RecordBatch:
-        columns = [pa.array([t for t, _ in made], pa.string()) if c == "text" else batch.column(c) for c in names]
-        return pa.record_batch([*columns, pa.array([n for _, n in made], pa.int64())], [*names, "_n_entities"])
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY.decode()).encode()
+    occur = materialize(occurring(docs), "pii-occurring")
+    kinds = materialize(settled(occur), "pii-kinds")
+    made = assign(kinds.select(F.col("settled").alias("kind"), "canon").distinct(), key).where("tries <> 0").select(F.col("kind").alias("settled"), "canon", "surrogate", F.lit(True).alias("tried"))
+    # Few entities have another kind over all documents or needed a second try: a document is joined with its own alone.
+    other = kinds.join(made, ["settled", "canon"], "left").where("tried OR kind <> settled").select("kind", "canon", "settled", "surrogate")
+    other = materialize(other, "pii-other")
+    release(occur, kinds)
+    rows = held(docs, doc_key().alias("key"))
+    if other.isEmpty():
+        given = rows.select(HELD, F.lit(None).cast("array<struct<kind:string,canon:string,settled:string,surrogate:string>>").alias("given"))
+    else:
+        found = occurring(docs, rows=True).distinct().withColumn("entity", F.struct("kind", "canon")).drop("kind", "canon")
+        found = materialize(found, "pii-found")
+        own = salted_join(found, other.select(F.struct("kind", "canon").alias("entity"), "settled", "surrogate"), "entity", found.count())
+        own = materialize(own.groupBy("key").agg(F.collect_list(F.struct("entity.kind", "entity.canon", "settled", "surrogate")).alias("given")), "pii-given")
+        release(found)
+        given = rows.join(own, "key", "left").select(HELD, "given")
 
-    if retried.count() <= retried_rows:
-        tries = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canon): (r.settled, r.tries) for r in retried.collect()})
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return output(batch, [(None, 0) if t is None else replace(t, key, tries.value) for t in batch.column("text").to_pylist()])
-
-        return arrow_map(docs, work, schema)
-
-    # Too many to broadcast: each document is joined with those of its own entities.
-    own = occurring(docs, rows=True).join(retried, ["kind", "canon"]).distinct().groupBy("_key").agg(F.collect_list(F.struct("kind", "canon", "settled", "tries")).alias("_tries"))
-    keyed = docs.withColumn("_row", doc_key())
-    joined = keyed.join(own, keyed["_row"] == own["_key"], "left").drop("_row", "_key")
-
-    def work_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = []
-        for text, tries in zip(batch.column("text").to_pylist(), batch.column("_tries").to_pylist()):
-            made.append((None, 0) if text is None else replace(text, key, {(t["kind"], t["canon"]): (t["settled"], t["tries"]) for t in tries or []}))
-        return output(batch, made)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.column(HELD)
+        made = [(None, 0) if t is None else replace(t, key, {(g["kind"], g["canon"]): (g["settled"], g["surrogate"]) for g in gs.as_py() or []}) for t, gs in zip(rows.field("text").to_pylist(), batch.column("given"))]
+        return pa.record_batch([with_text(rows, [t for t, _ in made]), pa.array([n for _, n in made], pa.int64())], [HELD, "n"])
 
-    return arrow_map(joined, work_joined, schema)
+    schema = T.StructType([given.schema[HELD], T.StructField("n", T.LongType())])
+    return unheld(arrow_map(given, work, schema), docs.columns, {"_n_entities": F.col("n")})
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
