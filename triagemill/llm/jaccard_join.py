@@ -208,7 +208,9 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
     postings = postings.select("node", "n", "sketch0", "sketch1", "grade", "pos", "gram", *before)
     total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
-    postings = materialize(postings.join(lists, "gram"), "join-postings")
+    # Kept by node, so that labels meet a row a node and not one a posting.
+    own = F.collect_list(F.struct("gram", "pos", *[f"before{i}" for i in range(1, BEFORE + 1)])).alias("own")
+    postings = materialize(postings.join(lists, "gram").groupBy("node", "n", "sketch0", "sketch1", "grade").agg(own), "join-postings")
     past: list[DataFrame] = [postings]
 
     def passes(x: str, y: str) -> Column:
@@ -225,6 +227,7 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
             at = postings.withColumn("component", F.col("node"))
         else:
             at = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        at = at.select("node", "n", "sketch0", "sketch1", "grade", "component", F.inline("own"))
         # Lists inside one component are done.
         apart = at.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("gram")
         at = materialize(at.join(apart, "gram", "left_semi"), "join-open")
