@@ -7,32 +7,41 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from triagemill.functions import text as X
+
 
 @dataclass(frozen=True)
 class LinkRule:
-    """A host's links: which are job links, and what they are written as (`$1` is the pattern's first group)."""
+    """A provider's links: what one holds, what a job link holds besides, and what it is written as: `$id` is the first group of
+    `number`, `$path` the link's path."""
 
     provider: str
-    host: str
-    accepts: str
+    named: tuple[str, ...]
+    job: tuple[str, ...]
     canonical: str | None = None
+    number: str | None = None
+
+    def holds(self, parts: tuple[str, ...]) -> str:
+        return "^" + "".join(f"(?=.*(?:{p}))" for p in parts)
 
 
-#: Hosts and paths of the providers.
+_RESULTS = r"(?:careers\.google\.com|google\.com)/.+/jobs/results/\d+"
+_CLOUD = r"\.fa\.ocs\.oraclecloud\.(?:com|eu)"
+#: Hosts, paths and names of the providers.
 RULES: tuple[LinkRule, ...] = (
-    LinkRule("LinkedIn", r"(^|\.)linkedin\.com$", r"/jobs/view/(\d+)", "https://www.linkedin.com/jobs/view/$1"),
-    LinkRule("The Hub", r"(^|\.)thehub\.io$", r"/jobs/([0-9a-f]{12,})", "https://thehub.io/jobs/$1"),
-    LinkRule("Google Careers", r"^(careers|www)\.google\.com$", r"(/.*jobs/results/\d+[^?#]*)", "https://careers.google.com$1"),
-    LinkRule("Jobindex", r"(^|\.)jobindex\.dk$", r"(?:jobannonce/|dine-job/|jobid=|[?&]t=)([hr]\d+)", "https://www.jobindex.dk/jobannonce/$1"),
-    LinkRule("Danfoss", r"(^|\.)danfoss\.com$", r"/job/"),
-    LinkRule("Demant", r"(^|\.)demant\.com$", r"/job/"),
-    LinkRule("Nordea", r"(^|\.)nordea\.com$", r"/job/"),
-    LinkRule("Novo Nordisk", r"(^|\.)novonordisk\.com$", r"/job/"),
-    LinkRule("Teradyne", r"(^|\.)teradyne\.com$", r"/job/"),
-    LinkRule("NTT DATA", r"(^|\.)nttdata(-solutions)?\.com$", r"/job/"),
-    LinkRule("Getinge", r"(^|\.)getinge\.com$", r"/job/"),
-    LinkRule("Tetra Pak", r"(^|\.)tetrapak\.com$", r"/job/[^/]+/\d+"),
-    LinkRule("Oracle", r"\.fa\.ocs\.oraclecloud\.(com|eu)$", r"/candidateexperience/.*/job/\d+"),
+    LinkRule("LinkedIn", (r"linkedin\.com",), (r"linkedin\.com/(?:comm/)?jobs/view/",), "https://www.linkedin.com/jobs/view/$id", r"linkedin\.com/(?:comm/)?jobs/view/(\d+)"),
+    LinkRule("The Hub", (r"thehub\.io",), (r"thehub\.io/jobs/[0-9a-f]{12,}",), "https://thehub.io/jobs/$id", r"thehub\.io/jobs/([0-9a-f]{12,})"),
+    LinkRule("Google Careers", (r"careers\.google\.com|google\.com/about/careers/applications/jobs/results/",), (_RESULTS,), "https://careers.google.com$path"),
+    LinkRule("Jobindex", (r"jobindex\.dk",), (r"jobindex\.dk", r"jobid=|/jobannonce/[hr]\d+|/bruger/dine-job/[hr]\d+")),
+    LinkRule("Nordea", (r"careers\.nordea\.com",), (r"careers\.nordea\.com", "/job/"), "https://careers.nordea.com$path"),
+    LinkRule("Novo Nordisk", (r"careers\.novonordisk\.com",), (r"careers\.novonordisk\.com", "/job/"), "https://careers.novonordisk.com$path"),
+    LinkRule("Oracle CX", (_CLOUD, "/candidateexperience/"), (_CLOUD, "/candidateexperience/", r"/job/\d+")),
+    LinkRule("Demant", (r"careers\.demant\.com",), (r"careers\.demant\.com", "/job/")),
+    LinkRule("Danfoss", (r"jobs\.danfoss\.com",), (r"jobs\.danfoss\.com", "/job/")),
+    LinkRule("Teradyne", (r"jobs\.teradyne\.com",), (r"jobs\.teradyne\.com", "/job/"), "https://jobs.teradyne.com$path"),
+    LinkRule("NTT DATA Business Solutions", (r"careers\.nttdata-solutions\.com",), (r"careers\.nttdata-solutions\.com", "/job/")),
+    LinkRule("Getinge", (r"careers\.getinge\.com",), (r"careers\.getinge\.com", "/job/")),
+    LinkRule("Tetra Pak", (r"jobs\.tetrapak\.com",), (r"jobs\.tetrapak\.com", r"/job/[^/]+/\d+"), "http://jobs.tetrapak.com$path"),
 )
 
 
@@ -40,30 +49,61 @@ def host(link: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(link, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#:]+)", 1))
 
 
+def path(link: Column) -> Column:
+    """The path, without the parameters of its last step."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce(link, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1), ";[^/]*$", "")
+
+
 def provider(link: Column, rules: tuple[LinkRule, ...] = RULES) -> Column:
-    out: Column = F.when(host(link) == "", "Unknown").otherwise(F.regexp_replace(host(link), r"^www\.", ""))
-    for rule in reversed(rules):
-        out = F.when(host(link).rlike(rule.host), rule.provider).otherwise(out)
-    return out
+    low = F.lower(F.coalesce(link, F.lit("")))
+    other = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(link, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), r"^www\.", "")
+    named = [F.when(low.rlike(rule.holds(rule.named)), rule.provider) for rule in rules]
+    return F.coalesce(*named, F.nullif(other, F.lit("")), F.lit("Unknown"))
 
 
 def is_job_link(link: Column, rules: tuple[LinkRule, ...] = RULES) -> Column:
-    out = F.lit(False)
-    for rule in rules:
-        out = out | (host(link).rlike(rule.host) & F.lower(link).rlike(rule.accepts))
-    return F.coalesce(out, F.lit(False))
+    """One pattern asks all rules, so that the link is looked at once."""
+    return F.coalesce(F.lower(link).rlike("|".join(rule.holds(rule.job) for rule in rules)), F.lit(False))
 
 
 def normalize(link: Column, rules: tuple[LinkRule, ...] = RULES) -> Column:
-    """A provider's canonical form; else scheme, host and path without a closing slash."""
-    link = F.trim(F.coalesce(link, F.lit("")))
-    out = F.rtrim(F.regexp_extract(link, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^?#]*)", 1), F.lit("/"))
-    for rule in reversed(rules):
-        if rule.canonical:
-            found = F.regexp_extract(F.lower(link), rule.accepts, 1)
-            before, after = rule.canonical.split("$1")
-            out = F.when(host(link).rlike(rule.host) & (found != ""), F.concat(F.lit(before), found, F.lit(after))).otherwise(out)
-    return out
+    """A provider's canonical form; else scheme, host and path without a closing slash. A Jobindex link that only tracks is empty."""
+
+    def written(v: Column) -> Column:
+        link, low, way = v["link"], v["low"], v["way"]
+        out: list[Column] = []
+        for rule in rules:
+            if rule.canonical and rule.number:
+                out.append(_numbered(rule, F.regexp_extract(low, rule.number, 1)))
+            elif rule.canonical:
+                out.append(F.when(low.rlike(rule.holds(rule.job)) & (way != ""), F.rtrim(F.concat(F.lit(rule.canonical.replace("$path", "")), way), F.lit("/"))))
+            elif rule.provider == "Jobindex":
+                number = F.nullif(jobindex_id(link), F.lit(""))
+                here = F.concat(F.lit("https://www.jobindex.dk/jobannonce/"), number)
+                out.append(F.when(low.contains("jobindex.dk"), F.coalesce(here, F.when(link.rlike(r"[?&]ttid=[^&#]"), ""))))
+            elif rule.provider == "Oracle CX":
+                fits = F.lower(v["site"]).rlike(_CLOUD) & F.lower(way).contains("/candidateexperience/") & F.lower(way).rlike(r"/job/\d+/?$")
+                out.append(F.when(fits, F.rtrim(F.concat(F.lit("https://"), F.regexp_replace(v["site"], ":(443|80)$", ""), way), F.lit("/"))))
+        plain = F.when((v["scheme"] != "") & (v["site"] != ""), F.concat(F.lower(v["scheme"]), F.lit("://"), v["site"], way)).otherwise(link)
+        return F.coalesce(*out, F.rtrim(plain, F.lit("/")))
+
+    form = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*)"
+    parts = lambda x: F.struct(x.alias("link"), F.lower(x).alias("low"), path(x).alias("way"), F.regexp_extract(x, form, 1).alias("scheme"), F.regexp_extract(x, form, 2).alias("site"))
+    return X.let(X.let(F.trim(F.coalesce(link, F.lit(""))), parts), written)
+
+
+def _numbered(rule: LinkRule, found: Column) -> Column:
+    return F.when(found != "", F.concat(F.lit(rule.canonical.replace("$id", "")), found))
+
+
+def query_value(link: Column, name: str) -> Column:
+    return F.trim(F.coalesce(F.try_url_decode(F.regexp_extract(F.coalesce(link, F.lit("")), rf"[?&]{name}=([^&#]*)", 1)), F.lit("")))
+
+
+def is_reference_link(raw: Column, normalized: Column) -> Column:
+    """A LinkedIn link that only refers to the mail's own posting: its reference number is that of its path."""
+    found = F.coalesce(F.nullif(query_value(raw, "referenceJobId"), F.lit("")), query_value(raw, "referencejobid"))
+    return F.lower(F.coalesce(raw, F.lit(""))).contains("linkedin.com") & found.rlike(r"^\d+$") & (F.regexp_extract(F.lower(normalized), r"linkedin\.com/(?:comm/)?jobs/view/(\d+)", 1) == found)
 
 
 def jobindex_id(link: Column) -> Column:
@@ -74,12 +114,14 @@ def jobindex_id(link: Column) -> Column:
 
 
 def unwrap_tracker(link: Column) -> Column:
-    """The target that a tracking link carries as base64 JSON in its query's `p`; the link itself if it carries none."""
-    code = F.translate(F.regexp_extract(F.coalesce(link, F.lit("")), r"[?&]p=([A-Za-z0-9_\-=%]+)", 1), "-_", "+/")
-    code = F.concat(F.rtrim(code, F.lit("=")), F.substring(F.lit("==="), F.lit(1), F.pmod(-F.length(F.rtrim(code, F.lit("="))), F.lit(4))))
-    outer = F.try_to_binary(code, F.lit("base64")).cast("string")
-    target = F.get_json_object(F.get_json_object(outer, "$.p"), "$.url")
-    return F.coalesce(F.try_url_decode(target), link)
+    """The target that a mail tracker's link carries as base64 JSON in its query's `p`; the link itself if it carries none."""
+    code = F.rtrim(F.translate(F.regexp_extract(F.coalesce(link, F.lit("")), r"[?&]p=([A-Za-z0-9_\-=%]+)", 1), "-_", "+/"), F.lit("="))
+    padded = X.let(code, lambda c: F.concat(c, F.substring(F.lit("==="), F.lit(1), F.pmod(-F.length(c), F.lit(4)))))
+    outer = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    target = F.try_url_decode(F.trim(F.get_json_object(F.get_json_object(outer, "$.p"), "$.url")))
+    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("\\/", "/")):
+        target = F.replace(target, F.lit(entity), F.lit(sign))
+    return F.when(F.lower(link).contains("mandrillapp.com/track/click/"), F.coalesce(F.nullif(target, F.lit("")), link)).otherwise(link)
 
 
 def links_in(text: Column) -> Column:

@@ -1,15 +1,15 @@
-"""Job entries out of pages: (key, link, title, company, place, work_type, raw_text, source), one row a link of a page."""
+"""Job entries out of pages and mails: (key, link, title, company, place, work_type, raw_text, source), one row a link of a document."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
+from triagemill.operators.triage import nearest_token
 from triagemill.sources.anchors import anchors
 
 FIELDS = ("title", "company", "place", "work_type", "raw_text")
@@ -21,6 +21,19 @@ AGO = r"\d+\s+(?:minutes?|hours?|days?|weeks?)\s+ago\b"
 #: What every job link holds, or a tracking link that may hide one.
 LIKELY = r"(?i)jobs?/|jobannonce/|jobid=|[?&][tp]="
 PUBLISHED = r"\s*(.*?)\s*PUBLISHED\s*:"
+#: What a mail's line of a posting holds, lines around it that are no part of the posting, words that tell titles,
+#: companies and places, and phrases of LinkedIn's own cards.
+TRIGGER = "view job:"
+STOP_PHRASES = ("this company is actively hiring", "apply with resume", "view job", "new jobs match your preferences", "job alert")
+TITLE_WORDS = ("developer", "engineer", "specialist", "manager", "scientist", "lead", "architect", "analyst", "consultant", ".net", "software")
+COMPANY_WORDS = ("group", "inc", "aps", "a/s", "ltd", "gmbh", "company", "danmark")
+PLACE_WORDS = ("aarhus", "copenhagen", "odense", "lystrup", "humleb", "denmark", "municipality")
+BOILERPLATE = ("jobs similar to", "new jobs match your preferences", "job alert", "viewed jobs")
+#: Lines before a posting's that may name it, and those around it that tell its work type and its text.
+BACK, AROUND, SNIPPET = 10, (20, 4), (4, 1)
+#: Words of the work types, those asked first first, and characters that they may be away from a link.
+WORK_WORDS = {"Hybrid": ("hybrid",), "Remote": ("remote",), "On-site": ("on-site", "onsite")}
+REACH = 6000
 
 
 def _short(c: Column) -> Column:
@@ -47,10 +60,12 @@ def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         )
 
     parsed = pages.select(key, anchors(html).alias("page"))
-    likely = F.filter("page.anchors", lambda a: a["href"].rlike(LIKELY))
-    rows = parsed.select(key, F.inline(F.transform(likely, lambda a: around(F.col("page"), a))))
-    rows = rows.withColumn("link", U.unwrap_tracker(F.col("href"))).withColumn("link", U.normalize(F.col("link")))
-    return rows.where(U.is_job_link(F.col("link")))
+    # Links are written anew inside the array, step by step, so that no later condition repeats the whole expression.
+    likely = F.transform(F.filter("page.anchors", lambda a: a["href"].rlike(LIKELY)), lambda a: F.struct(a.alias("a"), U.unwrap_tracker(a["href"]).alias("target")))
+    named = F.filter(F.transform(likely, lambda x: F.struct(x["a"].alias("a"), U.normalize(x["target"]).alias("link"))), lambda x: U.is_job_link(x["link"]))
+    rows = parsed.select(key, F.col("page.texts").alias("texts"), F.col("page.anchors").alias("anchors"), F.explode(named).alias("x"))
+    page = {"texts": F.col("texts"), "anchors": F.col("anchors")}
+    return rows.select(key, around(page, F.col("x.a")).alias("r"), F.col("x.link").alias("link")).select(key, "r.*", "link")
 
 
 def card_entries(found: DataFrame, key: str) -> DataFrame:
@@ -126,13 +141,97 @@ def google_entries(found: DataFrame, key: str) -> DataFrame:
 
 #: Extractors, whose fields count first first.
 EXTRACTORS = (google_entries, danfoss_entries, demant_entries, jobindex_entries, card_entries)
+_GOOGLE, _DANFOSS, _DEMANT, _JOBINDEX, _CARD = range(len(EXTRACTORS))
+
+
+def by_site(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The fields of all extractors, with `_rank`, the number of the extractor."""
+    found = links(pages, key, html)
+    return reduce(DataFrame.unionByName, [f(found, key).withColumn("_rank", F.lit(i)) for i, f in enumerate(EXTRACTORS)])
 
 
 def entries(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """One row a job link of a page: every field from the first extractor that fills it, by one aggregation."""
-    # Kept, so that the pages are parsed once for all extractors; a lost block is parsed again.
-    found = links(pages, key, html).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = [f(found, key).withColumn("_rank", F.lit(i)) for i, f in enumerate(EXTRACTORS)]
-    known = reduce(DataFrame.unionByName, parts)
+    known = by_site(pages, key, html)
     fill = [F.coalesce(F.min(F.when(~F.col(n).isin("", "Unknown"), F.struct("_rank", n)))[n], F.lit("Unknown" if n in ("place", "work_type") else "")).alias(n) for n in FIELDS]
     return known.groupBy(key, "link").agg(*fill).withColumn("source", U.provider(F.col("link")))
+
+
+def _score(line: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, [F.lower(line).contains(w).cast("int") for w in words])
+
+
+def text_entries(mails: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, link, title, company, place, work_type, raw_text) of each job link that a line of a mail's text offers to view; the last
+    line of a link counts. Fields are the lines before that score best, else those at fixed places, and no line stands twice."""
+    lines = F.transform(F.split(X.present(F.col(text)), "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), lambda x: F.trim(x))
+    offered = F.filter(F.transform("_lines", lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: F.lower(x["line"]).contains(TRIGGER))
+    target = lambda x: U.normalize(U.unwrap_tracker(F.regexp_extract(x["line"], r"https?://\S+", 0)))
+    linked = F.filter(F.transform(offered, lambda x: F.struct(x["at"].alias("at"), target(x).alias("link"))), lambda x: U.is_job_link(x["link"]))
+    rows = mails.select(key, lines.alias("_lines")).select(key, "_lines", F.explode(linked).alias("_x"))
+    rows = rows.select(key, "_lines", F.col("_x.at").alias("_at"), F.col("_x.link").alias("link"))
+    first = lambda back: F.greatest(F.lit(1), F.col("_at") + 1 - back)
+    span = lambda back, on: F.slice("_lines", first(back), F.col("_at") + 2 + on - first(back))
+    usable = lambda x: (x != "") & ~F.lower(x).contains("http") & ~X.holds_any(F.lower(x), STOP_PHRASES) & ~x.contains("----")
+    rows = rows.select(
+        key, "_at", "link", F.filter(span(BACK, -1), usable).alias("_some"), F.lower(F.array_join(span(*AROUND), " ")).alias("_near"),
+        F.array_join(F.filter(span(*SNIPPET), lambda x: x != ""), "\n").alias("raw_text"),
+    )
+    scored = lambda words, sign, more=None: F.array_max(F.transform("_some", lambda x, i: F.struct((_score(x, words) + (more(x) if more else 0)).alias("s"), (sign * F.length(x)).alias("n"), (-i).alias("i"), x.alias("x"))))
+    back = lambda n: F.element_at("_some", -n)
+    n = F.size("_some")
+    best = {"_t": scored(TITLE_WORDS, 1), "_c": scored(COMPANY_WORDS, 1), "_p": scored(PLACE_WORDS, -1, lambda x: x.contains(",").cast("int"))}
+    rows = rows.withColumns(best).withColumns({
+        "title": F.when(n == 0, "").when(F.col("_t.s") > 0, F.col("_t.x")).when(n >= 3, back(3)).otherwise(F.get("_some", F.lit(0))),
+        "company": F.when(n == 0, "").when(F.col("_c.s") > 0, F.col("_c.x")).when(n >= 2, back(2)).otherwise(""),
+        "place": F.when(n == 0, "").when(F.col("_p.s") > 0, F.col("_p.x")).when(n >= 3, back(1)).otherwise(""),
+    })
+    unused = lambda *names: F.get(F.filter("_some", lambda x: ~reduce(lambda a, b: a | b, [x == F.col(m) for m in names])), F.lit(0))
+    rows = rows.withColumn("company", F.when((n > 1) & (F.col("company") == F.col("title")), F.coalesce(unused("title"), "company")).otherwise(F.col("company")))
+    rows = rows.withColumn("place", F.when((n > 0) & ((F.col("place") == F.col("title")) | (F.col("place") == F.col("company"))), F.coalesce(unused("title", "company"), "place")).otherwise(F.col("place")))
+    near = F.col("_near")
+    work = F.when(near.contains("remote"), "Remote").when(near.contains("hybrid"), "Hybrid").when(near.rlike("on-?site") | (F.col("place") != ""), "On-site").otherwise("Unknown")
+    entry = F.struct(*[F.left(c, F.lit(180)).alias(c) for c in ("title", "company", "place")], work.alias("work_type"), "raw_text")
+    return rows.groupBy(key, "link").agg(F.max_by(entry, "_at").alias("e")).select(key, "link", "e.*")
+
+
+def boilerplate(source: Column, *fields: Column) -> Column:
+    """A card of LinkedIn's that is no posting."""
+    return (F.lower(source) == "linkedin") & reduce(lambda a, b: a | b, [X.holds_any(F.lower(X.present(f)), BOILERPLATE) for f in fields])
+
+
+def job_entries(docs: DataFrame, key: str) -> DataFrame:
+    """The entries of parsed files (key, title, text, links, html): those that the text offers, and those of all other links.
+
+    An entry of the text takes each field from the last extractor of the page that fills it, and keeps its own where none does; an
+    entry of a link alone takes it from the first one that fills it, or else from what subject and text say. The work type is that of
+    the card, or of the nearest word in the page."""
+    sites = by_site(docs.select(key, "html"), key).select(key, "link", "_rank", *FIELDS)
+    texts = text_entries(docs, key).withColumn("_rank", F.lit(-1)).select(key, "link", "_rank", *FIELDS)
+    targets = F.transform("links", lambda x: F.struct(x.alias("raw"), U.unwrap_tracker(x).alias("target")))
+    named = F.transform(targets, lambda x: F.struct(x["raw"].alias("raw"), U.normalize(x["target"]).alias("link")))
+    wanted = F.filter(named, lambda x: U.is_job_link(x["link"]) & ~U.is_reference_link(x["raw"], x["link"]))
+    none = [F.lit(None).cast("string").alias(n) for n in FIELDS]
+    raw = docs.select(key, F.explode(F.array_distinct(F.transform(wanted, lambda x: x["link"]))).alias("link")).select(key, "link", F.lit(-2).alias("_rank"), *none)
+    every = sites.unionByName(texts).unionByName(raw)
+    # One aggregation a document's link: what each extractor, the text and the links have.
+    given = F.struct(*FIELDS)
+    grouped = every.groupBy(key, "link").agg(
+        *[F.max(F.when(F.col("_rank") == i, given)).alias(f"_{i}") for i in range(len(EXTRACTORS))], F.max(F.when(F.col("_rank") == -1, given)).alias("_text"), F.max(F.when(F.col("_rank") == -2, 1)).alias("_listed"),
+    ).where("_text IS NOT NULL OR _listed = 1")
+    header = X.company_title(F.col("text"), F.col("title"))
+    grouped = grouped.join(docs.select(key, "html", header.alias("_header"), F.left(X.present(F.col("text")), F.lit(2500)).alias("_start")), key)
+    number = F.regexp_extract("link", r"(?i)/jobs/view/(\d+)", 1)
+    near = F.when(number != "", nearest_token(F.col("html"), F.concat(F.lit("/jobs/view/"), number), WORK_WORDS, REACH, (0, -len("/comm"))))
+    value = lambda i, n: F.nullif(F.col(f"_{i}.{n}"), F.lit(""))
+    seen = F.col("_text").isNotNull()
+    guess = {"title": F.col("_header.title"), "company": F.col("_header.company"), "place": F.lit(""), "raw_text": F.col("_start")}
+    order, out = range(len(EXTRACTORS)), {}
+    for n in ("title", "company", "place", "raw_text"):
+        out[n] = F.when(seen, F.coalesce(*[value(i, n) for i in reversed(order)], F.col(f"_text.{n}"))).otherwise(F.coalesce(*[value(i, n) for i in order], guess[n]))
+    sited = [value(i, "work_type") for i in (_GOOGLE, _DANFOSS, _DEMANT)]
+    card = F.coalesce(value(_CARD, "work_type"), near)
+    out["work_type"] = F.when(seen, F.coalesce(card, *reversed(sited), F.col("_text.work_type"))).otherwise(F.coalesce(*sited, card, F.lit("Unknown")))
+    rows = grouped.select(key, "link", *[c.alias(n) for n, c in out.items()], U.provider(F.col("link")).alias("source"))
+    rows = rows.withColumn("company", F.when(F.col("source") == "Getinge", "Getinge").otherwise(F.col("company")))
+    return rows.where(~boilerplate(F.col("source"), F.col("title"), F.col("company"), F.col("place")))

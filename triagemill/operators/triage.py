@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +14,13 @@ from triagemill.profile import Profile, skill_key, valid_pattern
 MANUAL = ("manual_feedback=relevant", "manual_feedback=not relevant")
 
 
-def hits(text: Column, keywords: tuple[str, ...]) -> Column:
-    """How many of the keywords a text holds."""
-    return reduce(lambda a, b: a + b, [F.lower(X.present(text)).contains(k.lower()).cast("int") for k in keywords], F.lit(0))
+def hits(low: Column, keywords: tuple[str, ...]) -> Column:
+    """How many of the keywords a text, in small letters, holds."""
+    return reduce(lambda a, b: a + b, [low.contains(k.lower()).cast("int") for k in keywords], F.lit(0))
+
+
+def found_keywords(low: Column, keywords: tuple[str, ...]) -> Column:
+    return F.filter(F.array(*[F.lit(k.lower()) for k in keywords]).cast("array<string>"), lambda k: low.contains(k))
 
 
 def required_skills(text: Column, patterns: list[tuple[str, str]], limit: int | None = None) -> Column:
@@ -29,44 +34,111 @@ def required_skills(text: Column, patterns: list[tuple[str, str]], limit: int |
 
 
 def score(text: Column, profile: Profile, easy: Column | None = None) -> Column:
-    user = [skill_key(s) for s in profile.user_skills]
-    out = profile.include_weight * hits(text, profile.include_keywords) - profile.exclude_weight * hits(text, profile.exclude_keywords)
+    """The score as one expression, for a text that is at hand; see scored."""
+    user, low = [skill_key(s) for s in profile.user_skills], F.lower(X.present(text))
+    out = profile.include_weight * hits(low, profile.include_keywords) - profile.exclude_weight * hits(low, profile.exclude_keywords)
     if user:
-        need = F.transform(required_skills(text, profile.patterns()), X.skill_key)
+        need = F.transform(required_skills(low, profile.patterns()), X.skill_key)
         matched = F.size(F.filter(need, lambda s: s.isin(*user)))
         out = out + profile.skill_match_weight * matched - profile.skill_missing_penalty * (F.size(need) - matched)
     return out if easy is None else out + profile.easy_apply_bonus * easy.cast("int")
 
 
-def apply_relevance(jobs: DataFrame, profile: Profile, text: Column) -> DataFrame:
-    """Adds relevance_score, relevant and category; rows judged by hand keep what they have."""
+def scored(rows: DataFrame, profile: Profile, text: Column, source: Column | None = None, link: Column | None = None, probe: Column | None = None) -> DataFrame:
+    """Adds relevance_score and relevance_reason. With source and link a LinkedIn posting that can be applied to with ease (by its
+    text, or else by what a `probe` of its page found) gets the bonus. The text is put in small letters, and its skills are looked
+    for, once a row."""
+    user = F.array(*[F.lit(skill_key(s)) for s in profile.user_skills]).cast("array<string>")
+    rows = rows.withColumn("_low", F.lower(X.present(text)))
+    rows = rows.withColumn("_need", required_skills(F.col("_low"), profile.patterns()))
+    low, need = F.col("_low"), F.col("_need")
+    matched = F.filter(need, lambda s: F.array_contains(user, X.skill_key(s)))
+    missing = F.filter(need, lambda s: ~F.array_contains(user, X.skill_key(s)))
+    points = profile.include_weight * hits(low, profile.include_keywords) - profile.exclude_weight * hits(low, profile.exclude_keywords)
+    if profile.user_skills:
+        points = points + profile.skill_match_weight * F.size(matched) - profile.skill_missing_penalty * F.size(missing)
+    easy = F.lit(False)
+    if source is not None and link is not None:
+        said = X.easy_apply(low) if probe is None else X.easy_apply(low) | F.coalesce(probe, F.lit(False))
+        easy = X.from_linkedin(source, link) & said
+        points = points + profile.easy_apply_bonus * easy.cast("int")
+    shown = lambda words, n: F.concat(F.lit("["), F.array_join(F.slice(words, 1, n), ", "), F.lit("]"))
+    rows = rows.withColumn("relevance_score", points)
+    reason = F.concat_ws(
+        "; ", F.concat(F.lit("score="), F.format_string("%.1f", F.col("relevance_score"))), F.concat(F.lit("include="), shown(found_keywords(low, profile.include_keywords), 6)), F.concat(F.lit("exclude="), shown(found_keywords(low, profile.exclude_keywords), 6)),
+        F.concat(F.lit("required_skills="), shown(F.array_sort(need), 8)), F.concat(F.lit("matched_skills="), shown(F.array_sort(matched), 8)), F.concat(F.lit("missing_skills="), shown(F.array_sort(missing), 8)),
+        F.concat(F.lit("easy_apply="), easy.cast("string")), F.concat(F.lit("easy_apply_bonus="), F.when(easy, F.lit(profile.easy_apply_bonus)).otherwise(0.0).cast("string")),
+    )
+    return rows.withColumn("relevance_reason", reason).drop("_low", "_need")
+
+
+def job_text() -> Column:
+    return F.concat_ws("\n", X.present(F.col("title")), X.present(F.col("company")), X.present(F.col("raw_text")))
+
+
+def apply_relevance(jobs: DataFrame, profile: Profile, prune: bool = False, probe: Column | None = None) -> DataFrame:
+    """Jobs scored anew by title, company and raw text; rows judged by hand keep what they have. With `prune` those that aren't
+    relevant go."""
     manual = X.present(F.col("relevance_reason")).isin(*MANUAL)
-    fresh = score(text, profile)
-    jobs = jobs.withColumn("relevance_score", F.when(manual, F.col("relevance_score")).otherwise(fresh))
-    jobs = jobs.withColumn("relevant", F.when(manual, F.col("relevant")).otherwise((F.col("relevance_score") >= profile.min_score).cast("int")))
-    return jobs.withColumn("category", F.when(F.col("relevant") == 1, "relevant").otherwise("not relevant"))
+    old = {c: F.col(c) for c in ("relevance_score", "relevant", "relevance_reason")}
+    kept = jobs.withColumn("_old", F.struct(*old.values())).withColumn("_manual", manual)
+    kept = scored(kept, profile, job_text(), F.col("source"), F.col("position_link"), probe)
+    kept = kept.withColumn("relevant", (F.col("relevance_score") >= profile.min_score).cast("int"))
+    for c in old:
+        kept = kept.withColumn(c, F.when(F.col("_manual"), F.col(f"_old.{c}")).otherwise(F.col(c)))
+    out = kept.withColumn("category", F.when(F.col("relevant") == 1, "relevant").otherwise("not relevant")).select(*jobs.columns, *[c for c in ("category",) if c not in jobs.columns])
+    return out.where("category <> 'not relevant'") if prune else out
+
+
+def rescore(jobs: DataFrame, profile: Profile, ids: Column) -> DataFrame:
+    """The jobs that `ids` holds for scored anew, whatever was judged by hand; one applied for is relevant."""
+    fresh = scored(jobs.where(ids), profile, job_text(), F.col("source"), F.col("position_link"))
+    relevant = ((F.col("relevance_score") >= profile.min_score) | (F.coalesce("applied", F.lit(0)) == 1)).cast("int")
+    fresh = fresh.withColumn("relevant", relevant).withColumn("category", F.when(F.col("relevant") == 1, "relevant").otherwise("not relevant"))
+    return jobs.where(~F.coalesce(ids, F.lit(False))).unionByName(fresh.select(*jobs.columns))
 
 
 def merge_duplicates(jobs: DataFrame, key: str, rank: Column) -> DataFrame:
-    """One row a key. The keeper is the best by rank, applied and least id; blanks are filled from the next best, raw_text is the
-    longest, viewed and applied the highest. Rows with an empty key pass."""
+    """One row a key, with all columns of `jobs` and `rows`, how many it was made of. The keeper is the best by rank, applied and least
+    id; a blank company and title, and a blank or unknown place and work type, are filled from the next best that has one, raw_text is
+    the longest, viewed and applied the highest. Rows with an empty key pass."""
     order = F.struct((-rank).alias("r"), (-F.coalesce("applied", F.lit(0))).alias("a"), "id")
 
     def first(column: str, usable: Column) -> Column:
         return F.min(F.when(usable, F.struct(order.alias("o"), F.col(column).alias("v"))))["v"]
 
-    def known(c: str) -> Column:
-        return (X.present(F.col(c)) != "") & (F.lower(X.present(F.col(c))) != "unknown")
+    def last(column: str, usable: Column) -> Column:
+        return F.max(F.when(usable, F.struct(order.alias("o"), F.col(column).alias("v"))))["v"]
 
-    merged = jobs.where(F.col(key) != "").groupBy(key).agg(
-        F.min(order)["id"].alias("id"), F.count("*").alias("rows"),
-        first("company", X.present(F.col("company")) != "").alias("company"), first("title", X.present(F.col("title")) != "").alias("title"),
-        F.coalesce(first("place", known("place")), F.max("place")).alias("place"),
-        F.max(F.struct(F.length(X.present(F.col("raw_text"))).alias("n"), rank.alias("r"), (-F.col("id")).alias("i"), F.col("raw_text").alias("v")))["v"].alias("raw_text"),
-        F.max("viewed").alias("viewed"), F.max("applied").alias("applied"),
-    )
-    alone = jobs.where(F.col(key) == "").select(key, "id", F.lit(1).cast("long").alias("rows"), "company", "title", "place", "raw_text", "viewed", "applied")
-    return merged.unionByName(alone)
+    def filled(c: str) -> Column:
+        some = X.present(F.col(c)) != ""
+        known = some & (F.lower(X.present(F.col(c))) != "unknown")
+        return F.coalesce(first(c, known), last(c, some), F.lit(""))
+
+    text = F.struct(F.length(X.present(F.col("raw_text"))).alias("n"), rank.alias("r"), F.coalesce("applied", F.lit(0)).alias("a"), (-F.col("id")).alias("i"), F.col("raw_text").alias("v"))
+    made = {
+        "company": first("company", X.present(F.col("company")) != ""), "title": X.clean_title(first("title", X.present(F.col("title")) != "")), "place": filled("place"), "work_type": F.coalesce(F.nullif(filled("work_type"), F.lit("")), F.lit("Unknown")),
+        "raw_text": F.max(text)["v"], "viewed": F.max("viewed"), "applied": F.max("applied"),
+    }
+    made = {c: v for c, v in made.items() if c in jobs.columns}
+    # What isn't merged is the keeper's.
+    rest = [c for c in jobs.columns if c not in made and c != key]
+    merged = jobs.where(F.col(key) != "").groupBy(key).agg(F.count("*").alias("rows"), F.min(F.struct(order.alias("o"), F.struct(*rest).alias("v")))["v"].alias("_keeper"), *[v.alias(c) for c, v in made.items()], *[F.min_by(F.col(c), order).alias(f"_own_{c}") for c in made])
+    # A row alone is left as it is.
+    kept = merged.select("rows", key, *[F.when(F.col("rows") == 1, F.col(f"_own_{c}")).otherwise(F.col(c)).alias(c) for c in made], "_keeper.*")
+    alone = jobs.where(F.col(key) == "").withColumn("rows", F.lit(1).cast("long"))
+    return kept.select("rows", *jobs.columns).unionByName(alone.select("rows", *jobs.columns))
+
+
+def merge_cross_source(jobs: DataFrame) -> DataFrame:
+    """Postings that stand in several sources made one each; `rows` says of how many."""
+    keyed = jobs.withColumn("_key", X.cross_source_key(F.col("source"), F.col("company"), F.col("title")))
+    return merge_duplicates(keyed, "_key", X.source_rank(F.col("source"))).drop("_key")
+
+
+def merge_counters(merged: DataFrame) -> DataFrame:
+    many = F.col("rows") > 1
+    return merged.agg(F.count_if(many).alias("groups_merged"), F.coalesce(F.sum(F.when(many, F.col("rows") - 1)), F.lit(0)).alias("rows_deleted"), F.count_if(many).alias("rows_updated"))
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -84,8 +156,10 @@ def learn_keywords(labelled: DataFrame, stop: tuple[str, ...], limit: int = 20)
     totals = tokens.groupBy().agg(F.countDistinct(F.when(F.col("relevant") == 1, F.col("id"))).alias("nr"), F.countDistinct(F.when(F.col("relevant") == 0, F.col("id"))).alias("nn"))
     counts = tokens.groupBy("token").agg(F.sum((F.col("relevant") == 1).cast("long")).alias("r"), F.sum((F.col("relevant") == 0).cast("long")).alias("n")).where("r + n >= 2")
     # The totals are one row.
-    rated = counts.join(F.broadcast(totals)).where("nr > 0 AND nn > 0").withColumn("delta", F.col("r") / F.col("nr") - F.col("n") / F.col("nn")).withColumn("df", F.col("r") + F.col("n"))
+    rated = counts.join(F.broadcast(totals)).where("nr > 0 AND nn > 0").withColumn("delta", F.col("r") / F.col("nr") - F.col("n") / F.col("nn"))
     kinds = rated.withColumn("kind", F.when((F.col("delta") >= 0.2) & (F.col("r") >= 2), "include").when((F.col("delta") <= -0.2) & (F.col("n") >= 2), "exclude")).where("kind IS NOT NULL")
+    # A token is rated by the documents of its own class.
+    kinds = kinds.withColumn("df", F.when(F.col("kind") == "include", F.col("r")).otherwise(F.col("n")))
     order = Window.partitionBy("kind").orderBy(F.desc(F.abs("delta")), F.desc("df"), F.desc("token"))
     return kinds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("kind", "rank", "token", "delta", "df")
 
@@ -109,19 +183,25 @@ def merge_patterns(old: DataFrame, change: DataFrame) -> DataFrame:
     )
 
 
-#: What each feedback event does to (viewed, applied, relevant); null leaves a register alone.
-EFFECTS: dict[str, tuple[int | None, int | None, int | None]] = {
-    "viewed_on": (1, None, None), "viewed_off": (0, 0, None), "applied_on": (1, 1, 1), "applied_off": (None, 0, None), "relevant": (None, None, 1), "not_relevant": (None, 0, 0),
+#: What each feedback event does to (viewed, applied, relevant, judged by hand); null leaves a register alone.
+EFFECTS: dict[str, tuple[int | None, int | None, int | None, int | None]] = {
+    "viewed_on": (1, None, None, None), "viewed_off": (0, 0, None, None), "applied_on": (1, 1, 1, 1), "applied_off": (None, 0, None, None), "relevant": (None, None, 1, 1), "not_relevant": (None, 0, 0, 1),
 }
+REGISTERS = ("viewed", "applied", "relevant", "manual")
 
 
 def fold_feedback(log: DataFrame, key: str = "job_id") -> DataFrame:
-    """The last value of every register for each key; `log`: key, ts, event_id, event."""
+    """The last value of every register for each key, and the category and reason that follow; `log`: key, ts, event_id, event."""
     out = []
-    for i, register in enumerate(("viewed", "applied", "relevant")):
+    for i, register in enumerate(REGISTERS):
         value = reduce(lambda c, kv: c.when(F.col("event") == kv[0], kv[1]), [(e, v[i]) for e, v in EFFECTS.items() if v[i] is not None], F.when(F.lit(False), 0))
         out.append(F.coalesce(F.max(F.when(value.isNotNull(), F.struct("ts", "event_id", value.alias("v"))))["v"], F.lit(0)).alias(register))
-    return log.groupBy(key).agg(*out)
+    return judged(log.groupBy(key).agg(*out))
+
+
+def judged(registers: DataFrame) -> DataFrame:
+    category = F.when(F.col("relevant") == 1, "relevant").otherwise("not relevant")
+    return registers.withColumn("category", category).withColumn("relevance_reason", F.when(F.col("manual") == 1, F.concat(F.lit("manual_feedback="), category)).otherwise("")).drop("manual")
 
 
 def ranked(jobs: DataFrame, *, limit: int = 0, offset: int = 0, where: Column | None = None, order: tuple[Column, ...] = ()) -> DataFrame:
@@ -146,8 +226,27 @@ def line_candidates(docs: DataFrame, back: int = 10) -> DataFrame:
     return lines.withColumn("candidates", F.array_join(F.collect_list(usable).over(frame), "|"))
 
 
-def nearest_token(text: Column, needle: Column, tokens: tuple[str, ...], reach: int = 6000) -> Column:
-    """The token whose first place is nearest to the needle's; of equally near ones the first named; null beyond reach."""
-    low, at = F.lower(X.present(text)), F.call_function("locate", needle, F.lower(X.present(text)))
-    spots = F.array(*[F.struct(F.abs(F.instr(low, t) - at).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t"), F.instr(low, t).alias("p")) for i, t in enumerate(tokens)])
-    return F.when(at > 0, F.array_min(F.filter(spots, lambda s: (s["p"] > 0) & (s["d"] <= reach)))["t"])
+def positions(low: Column, pattern: str | Column, width: int | Column) -> Column:
+    """The places, from 0, where a pattern of fixed width stands in a text."""
+    parts = F.split(low, pattern, -1)
+    sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x) + width)
+    none = F.array().cast("array<int>")
+    return F.transform(F.aggregate(sizes, none, lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + n))), lambda end: end - width)
+
+
+def nearest_token(text: Column, needle: Column, tokens: dict[str, tuple[str, ...]], reach: int = 6000, shifts: tuple[int, ...] = (0,)) -> Column:
+    """Which token has a word that stands nearest to a place of the needle (all places of both count; a place may count with `shifts`);
+    of equally near ones the first named; null beyond reach."""
+    low = F.lower(X.present(text))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    at = F.when(needle != "", positions(low, quoted, F.length(needle)))
+    at = F.flatten(F.transform(at, lambda a: F.array(*[a + d for d in shifts])))
+
+    def nearest(places: Column) -> Column:
+        return F.array_min(F.transform(at, lambda a: F.array_min(F.transform(places, lambda t: F.abs(t - a)))))
+
+    spots = []
+    for i, (name, words) in enumerate(tokens.items()):
+        places = F.concat(*[positions(low, rf"\b{re.escape(w)}\b", len(w)) for w in words])
+        spots.append(F.struct(nearest(places).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("t")))
+    return F.array_min(F.filter(F.array(*spots), lambda s: s["d"] <= reach))["t"]

@@ -5,8 +5,6 @@ from pages, paging runs over orders and the feedback log is the event stream."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +12,16 @@ from triagemill.functions import text as X
 from triagemill.functions import urls as U
 from triagemill.operators import extract
 from triagemill.operators import triage as T
+from triagemill.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from triagemill.profile import Profile
 from triagemill.sources.mail import parse_file
 
-PROFILE = Profile()
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+#: Words that the test tables hold.
+PROFILE = Profile(include_keywords=("data", "license", "rest"), exclude_keywords=("thre", "###"), user_skills=("data", "license"), known_skill_patterns=(("data", "data"), ("rest", "rest"), ("license", "license")))
 TOKEN = r"[a-z][a-z0-9+#.\-]{2,}"
 STOP = ", ".join(f"'{w}'" for w in PROFILE.stop_words)
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as job rows, with the state that their labels stand for."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -45,7 +29,11 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("id"), "source", "text", F.col("text").alias("raw_text"), F.concat_ws(" ", "lang", "source").alias("company"), F.left(X.first_line(F.col("text")), F.lit(180)).alias("title"),
         F.col("lang").alias("place"), F.coalesce("toxic", F.lit(0)).alias("applied"), (F.col("doc_id") % 3 == 0).cast("int").alias("viewed"), "quality",
     )
-    return rows.withColumn("score", T.score(F.col("text"), PROFILE))
+    return rows
+
+
+def with_score(rows: DataFrame) -> DataFrame:
+    return T.scored(rows, PROFILE, F.col("text")).withColumnRenamed("relevance_score", "score").drop("relevance_reason")
 
 
 _HITS = lambda words: " + ".join(f"(contains(lower(text), '{w}'))::INT" for w in words)
@@ -61,13 +49,14 @@ _SIX = lambda c: F.round(c, 6)
 @query("score_relevance", f"SELECT doc_id AS id, round({_SCORE}, 6) AS score, (round({_SCORE}, 6) >= 2.0) AS relevant FROM documents")
 def score_relevance(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select(F.col("doc_id").alias("id"), _SIX(T.score(F.col("text"), PROFILE)).alias("score")).withColumn("relevant", F.col("score") >= PROFILE.min_score)
+    return T.scored(docs, PROFILE, F.col("text")).select(F.col("doc_id").alias("id"), _SIX(F.col("relevance_score")).alias("score")).withColumn("relevant", F.col("score") >= PROFILE.min_score)
 
 
 @query("flagship_top_relevant", f"WITH {_JOBS} SELECT id, title, round(score, 6) AS score FROM jobs WHERE quality = 1 AND round(score, 6) >= 2.0 ORDER BY score DESC, id LIMIT 7")
 def flagship_top_relevant(spark, sf):
-    rows = jobs(spark, sf).select("id", "title", _SIX(F.col("score")).alias("score"), "quality")
-    return T.ranked(rows, where=(F.col("quality") == 1) & (F.col("score") >= PROFILE.min_score), order=(F.desc("score"), F.asc("id")), limit=PROFILE.report_max_relevant).drop("quality")
+    # Only those judged good are scored.
+    rows = with_score(jobs(spark, sf).where("quality = 1").select("id", "title", "text")).select("id", "title", _SIX(F.col("score")).alias("score"))
+    return T.ranked(rows, where=(F.col("score") >= PROFILE.min_score), order=(F.desc("score"), F.asc("id")), limit=PROFILE.report_max_relevant_positions)
 
 
 _RELEVANCE = f"WITH {_JOBS}, scored AS (SELECT id, CASE WHEN quality IS NOT NULL THEN 0 ELSE round(score, 6) END AS score, CASE WHEN quality IS NOT NULL THEN quality ELSE (round(score, 6) >= 2.0)::INT END AS relevant FROM jobs)"
@@ -75,8 +64,8 @@ _RELEVANCE = f"WITH {_JOBS}, scored AS (SELECT id, CASE WHEN quality IS NOT NULL
 
 def _relevance(spark, sf):
     reason = F.when(F.col("quality") == 1, T.MANUAL[0]).when(F.col("quality") == 0, T.MANUAL[1])
-    rows = jobs(spark, sf).withColumn("relevance_reason", reason).withColumn("relevance_score", F.lit(0.0)).withColumn("relevant", F.col("quality"))
-    return T.apply_relevance(rows, PROFILE, F.col("text")).select("id", _SIX(F.col("relevance_score")).alias("score"), F.col("relevant").cast("int").alias("relevant"), "category")
+    rows = jobs(spark, sf).withColumns({"relevance_reason": reason, "relevance_score": F.lit(0.0), "relevant": F.col("quality"), "title": F.lit(""), "company": F.lit(""), "position_link": F.lit("")})
+    return T.apply_relevance(rows, PROFILE).select("id", _SIX(F.col("relevance_score")).alias("score"), F.col("relevant").cast("int").alias("relevant"), "category")
 
 
 @query("apply_relevance_manual_override", _RELEVANCE + " SELECT id, score::DOUBLE AS score, relevant, CASE WHEN relevant = 1 THEN 'relevant' ELSE 'not relevant' END AS category FROM scored")
@@ -107,27 +96,18 @@ def category_paged(spark, sf):
 
 @query("company_view", f"WITH {_JOBS} SELECT id, applied, round(score, 6) AS score FROM jobs WHERE lower(trim(company)) = 'en src1'")
 def company_view(spark, sf):
-    return T.ranked(jobs(spark, sf), where=F.lower(F.trim("company")) == " EN src1 ".strip().lower(), order=(F.desc("applied"), F.desc("score"), F.asc("id"))).select("id", "applied", _SIX(F.col("score")).alias("score"))
+    return T.ranked(with_score(jobs(spark, sf).where(F.lower(F.trim("company")) == "en src1")), where=F.lower(F.trim("company")) == " EN src1 ".strip().lower(), order=(F.desc("applied"), F.desc("score"), F.asc("id"))).select("id", "applied", _SIX(F.col("score")).alias("score"))
 
 
 @query("applied_view", f"WITH {_JOBS} SELECT id, viewed, round(score, 6) AS score FROM jobs WHERE applied = 1")
 def applied_view(spark, sf):
-    return T.ranked(jobs(spark, sf), where=F.col("applied") == 1, order=(F.asc("viewed"), F.desc("score"), F.asc("id"))).select("id", "viewed", _SIX(F.col("score")).alias("score"))
+    return T.ranked(with_score(jobs(spark, sf).where("applied = 1")), where=F.col("applied") == 1, order=(F.asc("viewed"), F.desc("score"), F.asc("id"))).select("id", "viewed", _SIX(F.col("score")).alias("score"))
 
 
 @query("unviewed_then_score", f"WITH {_JOBS} SELECT id, viewed, round(score, 6) AS score FROM jobs ORDER BY viewed, score DESC, id LIMIT 42")
 def unviewed_then_score(spark, sf):
-    rows = jobs(spark, sf).select("id", "viewed", _SIX(F.col("score")).alias("score"))
-    return T.ranked(rows, order=(F.asc("viewed"), F.desc("score"), F.asc("id")), limit=PROFILE.report_max_not_relevant)
-
-
-@query("refresh_candidates", f"WITH {_JOBS} SELECT id FROM jobs WHERE applied = 0 AND lower(source) = 'src2' AND viewed = 0 AND quality IS NULL")
-def refresh_candidates(spark, sf):
-    conditions = [F.coalesce("applied", F.lit(0)) == 0, F.lower("source") == "src2", F.col("viewed") == 0, F.col("quality").isNull()]
-    rows = jobs(spark, sf)
-    for c in conditions:
-        rows = rows.where(c)
-    return rows.select("id")
+    rows = with_score(jobs(spark, sf)).select("id", "viewed", _SIX(F.col("score")).alias("score"))
+    return T.ranked(rows, order=(F.asc("viewed"), F.desc("score"), F.asc("id")), limit=PROFILE.report_max_not_relevant_positions)
 
 
 @query("union_first_wins", f"WITH {_JOBS}, u AS (SELECT id, 0 AS part FROM jobs WHERE applied = 1 UNION ALL SELECT id, 1 FROM jobs WHERE quality = 1 UNION ALL SELECT id, 2 FROM jobs WHERE quality = 0) SELECT id, min(part)::INT AS part FROM u GROUP BY id")
@@ -151,16 +131,6 @@ def company_key(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.company_key(F.concat("c_name", F.lit(" A/S Group"))).alias("company_key"))
 
 
-@query("split_skills")
-def split_skills(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.split_skills(F.col("text")).alias("skills"))
-
-
-@query("sanitize_title")
-def sanitize_title(spark, sf):
-    return jobs(spark, sf).select("id", X.clean_title(F.concat("title", F.lit(" ("), "title", F.lit(")"))).alias("title"))
-
-
 @query("token_document_frequency", f"SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, trim(unnest(regexp_extract_all(lower(text), '{TOKEN}')), '.-') AS token FROM documents) WHERE length(token) >= 3 AND token NOT IN ({STOP}) GROUP BY token")
 def token_document_frequency(spark, sf):
     docs = table(spark, sf, "documents")
@@ -172,8 +142,8 @@ def token_document_frequency(spark, sf):
     f"""WITH tok AS (SELECT DISTINCT doc_id, quality, token FROM (SELECT doc_id, quality, trim(unnest(regexp_extract_all(lower(text), '{TOKEN}')), '.-') AS token FROM documents JOIN labels USING (doc_id)) WHERE length(token) >= 3 AND token NOT IN ({STOP})),
     tot AS (SELECT count(DISTINCT doc_id) FILTER (quality = 1) AS nr, count(DISTINCT doc_id) FILTER (quality = 0) AS nn FROM tok),
     c AS (SELECT token, count(*) FILTER (quality = 1) AS r, count(*) FILTER (quality = 0) AS n FROM tok GROUP BY token HAVING count(*) >= 2),
-    d AS (SELECT token, r, n, r::DOUBLE / nr - n::DOUBLE / nn AS delta, r + n AS df FROM c, tot WHERE nr > 0 AND nn > 0),
-    k AS (SELECT *, CASE WHEN delta >= 0.2 AND r >= 2 THEN 'include' WHEN delta <= -0.2 AND n >= 2 THEN 'exclude' END AS kind FROM d)
+    d AS (SELECT token, r, n, r::DOUBLE / nr - n::DOUBLE / nn AS delta FROM c, tot WHERE nr > 0 AND nn > 0),
+    k0 AS (SELECT *, CASE WHEN delta >= 0.2 AND r >= 2 THEN 'include' WHEN delta <= -0.2 AND n >= 2 THEN 'exclude' END AS kind FROM d), k AS (SELECT *, CASE kind WHEN 'include' THEN r ELSE n END AS df FROM k0)
     SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY abs(delta) DESC, df DESC, token DESC)::INT AS rank, token, round(delta, 6) AS delta, df FROM k WHERE kind IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY kind ORDER BY abs(delta) DESC, df DESC, token DESC) <= 20""",
 )
@@ -254,21 +224,6 @@ def report_links(spark, sf):
     return found.groupBy("link").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "link").limit(200)
 
 
-@query("link_provider", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#:]+)', 1)), '^www\.', '') AS provider FROM pages")
-def link_provider(spark, sf):
-    return table(spark, sf, "pages").select("page_id", U.provider(F.col("url")).alias("provider"))
-
-
-@query("normalize_link", r"SELECT page_id, rtrim(regexp_extract(url || '?utm=1#top', '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^?#]*)', 1), '/') AS link FROM pages")
-def normalize_link(spark, sf):
-    return table(spark, sf, "pages").select("page_id", U.normalize(F.concat("url", F.lit("?utm=1#top"))).alias("link"))
-
-
-@query("job_link_filter", "SELECT page_id, false AS job FROM pages")
-def job_link_filter(spark, sf):
-    return table(spark, sf, "pages").select("page_id", U.is_job_link(F.col("url")).alias("job"))
-
-
 @query("page_titles", "SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
 def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"))
@@ -308,24 +263,20 @@ def line_candidates(spark, sf):
     return T.line_candidates(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "pos", "candidates")
 
 
-@query("work_type_by_text", "SELECT doc_id, CASE WHEN contains(lower(text), 'hybrid') THEN 'Hybrid' WHEN contains(lower(text), 'remote') THEN 'Remote' WHEN regexp_matches(lower(text), 'on[- ]?site') THEN 'On-site' ELSE '' END AS work_type FROM documents")
+@query("work_type_by_text", "SELECT doc_id, CASE WHEN contains(lower(text), 'hybrid') THEN 'Hybrid' WHEN contains(lower(text), 'remote') THEN 'Remote' WHEN regexp_matches(lower(text), 'on-?site') THEN 'On-site' ELSE '' END AS work_type FROM documents")
 def work_type_by_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.work_type(F.col("text")).alias("work_type"))
 
 
 @query(
     "nearest_token",
-    """WITH p AS (SELECT doc_id, strpos(lower(text), 'license') AS a, strpos(lower(text), 'the') AS t0, strpos(lower(text), 'and') AS t1 FROM documents)
-    SELECT doc_id, CASE WHEN a = 0 THEN NULL WHEN t0 > 0 AND abs(t0 - a) <= 6000 AND (t1 = 0 OR abs(t1 - a) > 6000 OR abs(t0 - a) <= abs(t1 - a)) THEN 'the' WHEN t1 > 0 AND abs(t1 - a) <= 6000 THEN 'and' END AS token FROM p""",
+    r"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT doc_id, string_split(t, 'license') AS a, string_split_regex(t, '\bthe\b') AS b, string_split_regex(t, '\band\b') AS c FROM d),
+    s AS (SELECT doc_id, list_transform(range(1, len(a)), lambda i: length(array_to_string(a[1:i], 'license'))) AS a, list_transform(range(1, len(b)), lambda i: length(array_to_string(b[1:i], 'the'))) AS b, list_transform(range(1, len(c)), lambda i: length(array_to_string(c[1:i], 'and'))) AS c FROM p),
+    m AS (SELECT doc_id, list_min(flatten(list_transform(a, lambda x: list_transform(b, lambda y: abs(x - y))))) AS d0, list_min(flatten(list_transform(a, lambda x: list_transform(c, lambda y: abs(x - y))))) AS d1 FROM s)
+    SELECT doc_id, CASE WHEN d0 <= 40 AND d0 <= coalesce(d1, d0) THEN 'the' WHEN d1 <= 40 THEN 'and' END AS token FROM m""",
 )
 def nearest_token(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.nearest_token(F.col("text"), F.lit("license"), ("the", "and")).alias("token"))
-
-
-@query("low_quality_text")
-def low_quality_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.low_quality(F.col("text")).alias("low_quality"))
-
+    return table(spark, sf, "documents").select("doc_id", T.nearest_token(F.col("text"), F.lit("license"), {"the": ("the",), "and": ("and",)}, 40).alias("token"))
 
 @query("unique_word_ratio", "SELECT doc_id, round(len(list_distinct(w))::DOUBLE / len(w), 6) AS ratio FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+') AS w FROM documents) WHERE len(w) >= 45")
 def unique_word_ratio(spark, sf):
@@ -350,7 +301,9 @@ _EVENT = {"view": "viewed_on", "click": "viewed_off", "purchase": "applied_on",
 @query(
     "feedback_fold",
     """WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 END AS v, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 0 END AS a, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN 0 END AS r FROM events)
-    SELECT user_id, coalesce(arg_max(v, (ts, event_id)) FILTER (v IS NOT NULL), 0)::INT AS viewed, coalesce(arg_max(a, (ts, event_id)) FILTER (a IS NOT NULL), 0)::INT AS applied, coalesce(arg_max(r, (ts, event_id)) FILTER (r IS NOT NULL), 0)::INT AS relevant FROM e GROUP BY user_id""",
+    SELECT user_id, coalesce(arg_max(v, (ts, event_id)) FILTER (v IS NOT NULL), 0)::INT AS viewed, coalesce(arg_max(a, (ts, event_id)) FILTER (a IS NOT NULL), 0)::INT AS applied, coalesce(arg_max(r, (ts, event_id)) FILTER (r IS NOT NULL), 0)::INT AS relevant,
+      CASE WHEN coalesce(arg_max(r, (ts, event_id)) FILTER (r IS NOT NULL), 0) = 1 THEN 'relevant' ELSE 'not relevant' END AS category,
+      CASE arg_max(r, (ts, event_id)) FILTER (r IS NOT NULL) WHEN 1 THEN 'manual_feedback=relevant' WHEN 0 THEN 'manual_feedback=not relevant' ELSE '' END AS relevance_reason FROM e GROUP BY user_id""",
 )
 def feedback_fold(spark, sf):
     mapping = F.create_map(*[F.lit(x) for kv in _EVENT.items() for x in kv])
@@ -363,6 +316,4 @@ def json_skill_items(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("ingest_counters", "SELECT source AS file, count(*) AS found, count(DISTINCT text) AS distinct_texts FROM documents GROUP BY source")
-def ingest_counters(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("found"), F.countDistinct("text").alias("distinct_texts"))
+from triagemill.plans import state_queries  # noqa: E402,F401 - registers its queries beside these

@@ -26,16 +26,18 @@ class _Page(HTMLParser):
         self.lines: list[str] = []
         self.titles: dict[str, str] = {}
         self.open: list[str] = []
+        self.closed: set[str] = set()
 
     def handle_starttag(self, tag, attrs):
         href = dict(attrs).get("href")
         if tag == "a" and href:
             self.links.append(href)
-        if tag in (*self.HIDDEN, "title", "h1"):
+        if tag in (*self.HIDDEN, "title", "h1") and tag not in self.closed - set(self.HIDDEN):
             self.open.append(tag)
 
     def handle_endtag(self, tag):
         if tag in self.open:
+            self.closed.add(tag)
             del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
 
     def handle_data(self, data):
@@ -43,7 +45,9 @@ class _Page(HTMLParser):
             return
         self.lines.append(data.strip())
         for tag in self.open:
-            self.titles.setdefault(tag, data.strip())
+            # A heading is all its pieces, up to its end.
+            if tag not in self.closed:
+                self.titles[tag] = f"{self.titles.get(tag, '')} {data.strip()}".strip()
 
 
 def parse_html(html: str) -> dict:

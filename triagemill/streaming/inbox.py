@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.operators.triage import EFFECTS
+from triagemill.operators.triage import EFFECTS, REGISTERS, judged
 from triagemill.sources.mail import parse_file
 
 
@@ -25,13 +25,13 @@ def fold_state(log: DataFrame, key: str = "job_id") -> DataFrame:
     """The feedback fold as a running aggregate (output mode update or complete): each register is the value of its latest event,
     so that the order of arrival doesn't matter."""
     registers = []
-    for i, name in enumerate(("viewed", "applied", "relevant")):
+    for i, name in enumerate(REGISTERS):
         value = F.when(F.lit(False), 0)
         for event, effect in EFFECTS.items():
             if effect[i] is not None:
                 value = value.when(F.col("event") == event, effect[i])
         registers.append(F.coalesce(F.max_by(value, F.when(value.isNotNull(), F.struct("ts", "event_id"))), F.lit(0)).alias(name))
-    return log.groupBy(key).agg(*registers)
+    return judged(log.groupBy(key).agg(*registers))
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
