@@ -164,6 +164,12 @@ class Index:
         norm = K1 * (1 - B + B * length / corpus.mean)
         self.doc, self.weight = doc, corpus.idf[term] * n * (K1 + 1) / (n + norm[doc])
 
+    def keep(self, unused: np.ndarray) -> None:
+        """Drops the postings of what is used; no later seed may take it."""
+        kept = unused[self.doc]
+        self.bounds = np.concatenate(([0], np.cumsum(kept)))[self.bounds]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
     def scores(self, ids: np.ndarray) -> np.ndarray:
         spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in np.unique(ids).tolist()]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.count)
@@ -172,8 +178,12 @@ class Index:
 def fill(rests: list[np.ndarray], window: int = WINDOW, corpus: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start in its rest, length) that hold every id once; each but the last is full."""
     index, unused, out = Index(rests, corpus or Statistics.of(rests)), np.array([len(r) > 0 for r in rests], bool), []
-    at, seed, start = 0, -1, 0
+    at, seed, start, held = 0, -1, 0, len(rests)
     while True:
+        left = int(unused.sum())
+        if left < 0.75 * held:
+            index.keep(unused)
+            held = left
         if seed < 0:
             while at < len(rests) and not unused[at]:
                 at += 1
