@@ -208,7 +208,10 @@ _FIELDS = {
     "raw_text": "text", "description": "CASE WHEN doc_id % 6 = 0 THEN 'given' ELSE '' END", "viewed": "CAST(doc_id % 2 AS INT)", "applied": "CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END", "relevance_score": "CAST(doc_id % 10 AS DOUBLE)",
     "relevant": "CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END", "category": "CASE WHEN doc_id % 4 = 1 THEN 'relevant' ELSE 'not relevant' END", "relevance_reason": "''", "summary": "''",
 }
-_NOW = F.lit("2024-06-01").cast("timestamp")
+def _now():
+    return F.lit("2024-06-01").cast("timestamp")
+
+
 _JOBS_SQL = "jobs AS (SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in _FIELDS.items()) + ", TIMESTAMP '2024-01-01' + to_days((doc_id % 200)::INT) AS created_at FROM documents)"
 
 
@@ -255,7 +258,7 @@ _UPSERT_SQL = f"""{_JOBS_SQL}, k AS (SELECT *, {_KEY} AS mkey FROM jobs), e AS (
       CASE WHEN s IS NULL THEN work_type WHEN work_type IN ('', 'Unknown') THEN coalesce(w0, 'Unknown') ELSE work_type END AS work_type, greatest(length(raw_text), coalesce(n, 0)) AS n_raw, viewed, applied FROM j""",
 )
 def upsert_jobs(spark, sf):
-    after, _ = state.upsert(*_batch(spark, sf), _NOW)
+    after, _ = state.upsert(*_batch(spark, sf), _now())
     return after.select("id", "source", "title_english", "place", "work_type", F.length("raw_text").cast("long").alias("n_raw"), "viewed", "applied")
 
 
@@ -266,7 +269,7 @@ def _batch(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query("ingest_counters", f"WITH {_UPSERT_SQL} SELECT k.id % 9 AS file, count(*) AS found, count(*) FILTER (o.outcome = 'inserted') AS inserted_new, count(*) FILTER (o.outcome IS NULL OR o.outcome <> 'inserted') AS skipped_existing FROM k LEFT JOIN o ON k.id = o.id WHERE k.id % 4 <> 0 GROUP BY 1")
 def ingest_counters(spark, sf):
-    return state.ingest(*_batch(spark, sf), _NOW)[1]
+    return state.ingest(*_batch(spark, sf), _now())[1]
 
 
 @query(
@@ -276,23 +279,23 @@ def ingest_counters(spark, sf):
 )
 def clean_jobs(spark, sf):
     rows = job_table(spark, sf).withColumns({"title": F.concat(F.lit('"'), "title", F.lit("\" - note: x")), "position_link": F.concat("position_link", F.lit("?trk=1")), "source": F.lit(None).cast("string")})
-    return state.clean(rows, _NOW).select("id", "position_link", "source", "title", "title_english", "work_type")
+    return state.clean(rows, _now()).select("id", "position_link", "source", "title", "title_english", "work_type")
 
 
 @query("append_job_text", f"WITH {_JOBS_SQL} SELECT id, length(CASE WHEN applied = 1 AND id % 2 = 0 THEN right(CASE WHEN trim(raw_text) = '' THEN '' ELSE trim(raw_text) || chr(10) || chr(10) END || '[MANUAL_APPLIED_DESCRIPTION]' || chr(10) || 'added ' || id, 500) ELSE raw_text END) AS n_raw FROM jobs")
 def append_job_text(spark, sf):
     rows = job_table(spark, sf)
     changes = rows.where("id % 2 = 0").select("id", F.concat(F.lit(" added "), "id").alias("text"))
-    once = state.append_text(rows, changes, _NOW, limit=500)
+    once = state.append_text(rows, changes, _now(), limit=500)
     # A second time changes nothing.
-    return state.append_text(once, changes, _NOW, limit=500).select("id", F.length("raw_text").cast("long").alias("n_raw"))
+    return state.append_text(once, changes, _now(), limit=500).select("id", F.length("raw_text").cast("long").alias("n_raw"))
 
 
 @query("set_job_fields", f"WITH {_JOBS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE summary END AS summary, CASE WHEN id % 6 = 0 THEN 'also' ELSE description END AS description FROM jobs")
 def set_job_fields(spark, sf):
     rows = job_table(spark, sf)
     changes = rows.where("id % 3 = 0").select("id", F.lit("new").alias("summary"), F.when(F.col("id") % 6 == 0, "also").alias("description"))
-    return state.set_fields(rows, changes, _NOW).select("id", "summary", "description")
+    return state.set_fields(rows, changes, _now()).select("id", "summary", "description")
 
 
 @query(
@@ -303,7 +306,7 @@ def set_job_fields(spark, sf):
 def job_feedback(spark, sf):
     event = F.when(F.col("event_type") == "view", "viewed_on").when(F.col("event_type") == "purchase", "applied_on").when(F.col("event_type") == "error", "not_relevant")
     log = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", event.alias("event")).where("event IS NOT NULL")
-    return state.set_feedback(job_table(spark, sf), log, _NOW).select("id", "viewed", "applied", "relevant", "category", "relevance_reason")
+    return state.set_feedback(job_table(spark, sf), log, _now()).select("id", "viewed", "applied", "relevant", "category", "relevance_reason")
 
 
 @query("refresh_candidates", f"WITH {_JOBS_SQL} SELECT id, row_number() OVER (ORDER BY relevance_score DESC, created_at DESC, id) AS place FROM jobs WHERE applied = 0 AND category = 'not relevant' AND source = 'LinkedIn' AND trim(description) = '' AND viewed = 0 ORDER BY relevance_score DESC, created_at DESC, id LIMIT 25")
@@ -315,7 +318,7 @@ def refresh_candidates(spark, sf):
 def _stored(spark, sf) -> DataFrame:
     """Skill patterns of the parts' names, the first of each."""
     rows = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.sum("p_size").cast("long").alias("occurrences"), F.round(F.sum("p_retailprice"), 2).alias("weight"))
-    return rows.select("id", "name", F.col("name").alias("name_key"), F.concat(F.lit(r"\b"), "name", F.lit(r"\b")).alias("pattern"), F.lit("seed").alias("source"), "occurrences", "weight", F.lit(1).alias("enabled"), _NOW.alias("created_at"), _NOW.alias("updated_at"), _NOW.alias("last_seen_at"))
+    return rows.select("id", "name", F.col("name").alias("name_key"), F.concat(F.lit(r"\b"), "name", F.lit(r"\b")).alias("pattern"), F.lit("seed").alias("source"), "occurrences", "weight", F.lit(1).alias("enabled"), _now().alias("created_at"), _now().alias("updated_at"), _now().alias("last_seen_at"))
 
 
 _STORED_SQL = "stored AS (SELECT p_name AS name, min(p_partkey) AS id, sum(p_size)::BIGINT AS occurrences, round(sum(p_retailprice), 2) AS weight FROM part GROUP BY p_name)"
@@ -328,7 +331,7 @@ def _linked(spark, sf) -> tuple[DataFrame, DataFrame]:
     known = docs.join(names, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("job_id"), F.initcap("name").alias("name"))
     new = docs.select(F.col("doc_id").alias("job_id"), F.concat(F.lit("skill no"), (F.col("doc_id") % 5).cast("string")).alias("name"))
     none = spark.createDataFrame([], state.JOB_SKILLS)
-    return state.set_job_skills(patterns, none, known.unionByName(new).unionByName(new), _NOW)
+    return state.set_job_skills(patterns, none, known.unionByName(new).unionByName(new), _now())
 
 
 _LINKED_SQL = f"{_STORED_SQL}, linked AS (SELECT doc_id AS job_id, name FROM documents JOIN stored ON doc_id = id UNION ALL SELECT doc_id, 'skill no' || (doc_id % 5) FROM documents)"
@@ -371,7 +374,7 @@ def learn_patterns(spark, sf):
     part = table(spark, sf, "part")
     counts = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("skill")).distinct().withColumn("weight", F.lit(5).cast("long"))
     counts = counts.unionByName(part.groupBy(F.concat(F.lit("new "), "p_type").alias("skill")).agg(F.count("*").alias("weight"))).unionByName(spark.range(1).select(F.lit("rare thing").alias("skill"), F.lit(2).cast("long").alias("weight")))
-    return state.learn_patterns(_stored(spark, sf), counts, _NOW, 3, 2).select("name_key", "occurrences", "source")
+    return state.learn_patterns(_stored(spark, sf), counts, _now(), 3, 2).select("name_key", "occurrences", "source")
 
 
 @query("patterns_in_order", f"WITH {_STORED_SQL} SELECT name, row_number() OVER (ORDER BY weight DESC, occurrences DESC, name) AS place FROM stored")
