@@ -231,11 +231,11 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
         # Lists inside one component are done.
         apart = at.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("gram")
         at = materialize(at.join(apart, "gram", "left_semi"), "join-open")
-        past.append(at)
         # Pairs of a list across components, by size class: of one class, and at most twice as many of two neighbouring ones.
         counted = at.groupBy("gram", "grade", "component").agg(F.count("*").alias("k")).groupBy("gram", "grade").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rows, across = counted.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) * 1.5), F.lit(0.0))).first()
         if not rows:
+            release(at)
             break
         every = across <= pairs_a_row * total or turn == rounds
         if every:
@@ -263,6 +263,7 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs
         bound = F.aggregate(F.zip_with("pa", "pb", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
         pairs = materialize(met.where(bound >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b"), "join-pairs")
         tested = pairs if tested is None else tested.union(pairs)
+        release(at)
         new = compare(pairs, nodes, docs, shingle, percent)
         past += [pairs, new]
         if not new.isEmpty():

@@ -140,16 +140,18 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     plan = mix_sources(docs, **options).select(F.col("doc_key").alias("key"), name.alias("name"), "size", "copies", "taken")
     once = materialize(plan.groupBy("key", "name").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("copies").alias("copies"), F.sum("taken").alias("taken")), "mix-plan")
-    rows = held(docs, doc_key().alias("key"), name.alias("name"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    single = rows.join(once.where("rows = 1 AND taken > 0"), ["key", "name"]).select(HELD, "id", "text", "size", "copies")
+    rows = held(docs, doc_key().alias("key"), name.alias("name"), F.col("doc_id").alias("id"))
+    placed = rows.join(once.where("rows = 1 AND taken > 0"), ["key", "name"]).select(HELD, "id", "size", "copies")
     repeated = once.where("rows > 1 AND taken > 0").select("key", "name")
     many = materialize(plan.join(repeated, ["key", "name"], "left_semi"), "mix-alike")
-    several = alike(rows.join(repeated, ["key", "name"], "left_semi")).join(alike(many).drop("taken"), ["key", "name", "same"]).select(HELD, "id", "text", "size", "copies")
-    each = single.unionByName(several).select(HELD, "id", "text", "size", F.explode("copies").alias("copy"))
-    partial = F.col("copy.words") < F.col("size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
-    each = each.withColumn("cut", F.when(partial, cut)).orderBy("copy.position", "id")
-    given = lambda c: F.col(f"{HELD}.`{c}`")
+    if not many.isEmpty():
+        several = alike(rows.join(repeated, ["key", "name"], "left_semi")).join(alike(many).drop("taken"), ["key", "name", "same"])
+        placed = placed.unionByName(several.select(HELD, "id", "size", "copies"))
+    each = placed.select(HELD, "id", "size", F.explode("copies").alias("copy"))
+    partial, given = F.col("copy.words") < F.col("size"), lambda c: F.col(f"{HELD}.`{c}`")
+    cut = F.array_join(F.slice(F.regexp_extract_all(given("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
+    # Cut after the sort, so that no text travels twice.
+    each = each.orderBy("copy.position", "id").withColumn("cut", F.when(partial, cut))
     whole = {"text": F.coalesce("cut", given("text")), "n_chars": F.coalesce(F.length("cut"), given("n_chars")) if "n_chars" in docs.columns else None}
     return each.select(*[(whole[c].cast(docs.schema[c].dataType) if c in whole else given(c)).alias(c) for c in docs.columns])
 
