@@ -61,20 +61,24 @@ PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("phone", "", re.compile(r"(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)")),
     ("ssn", "-", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", "", re.compile(r"(?<![\w.+])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\w-])")),
-    ("ipv6", ":", re.compile(r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")),
+    ("ipv6", ":", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")),
     ("ip", ".", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)")),
 ]
 _SPACE = re.compile(r"[ \t\xa0]+")
 _TITLED = re.compile(rf"\b(?:(?:{_TITLES})\.?[ \t\xa0]+)+")
 _TITLE = re.compile(rf"\b(?:{_TITLES})\b")
 #: Words that a name follows.
-_INTRODUCED = re.compile(r"(?:\b(?i:my name is|my name's|mein name ist|ich heiße|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ \t\xa0]+)")
+_INTRODUCTIONS = ("my name is", "my name's", "mein name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε")
+_INTRODUCED = re.compile(rf"\b(?i:{'|'.join(_INTRODUCTIONS)})[ \t\xa0]+")
 #: Common given names that begin a name without a title: those of many men and women in English, German, French and Spanish.
 GIVEN = {name: sex for sex, listed in {
     "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Paul Mark George Steven Kevin Hans Peter Klaus Wolfgang Jürgen Stefan Andreas Pierre Jean Michel Philippe Alain Antonio José Manuel Francisco Carlos Miguel Pedro Luis",
     "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Anna Ursula Monika Petra Sabine Renate Helga Marie Nathalie Isabelle Sylvie Catherine María Carmen Josefa Isabel Laura Lucía",
 }.items() for name in listed.split()}
-_GIVEN = re.compile(rf"(?<![\w'’-])(?:{'|'.join(GIVEN)})(?=[ \t\xa0]+{_L})(?![\w'’-])")
+#: A word that may be one of them, before another word.
+_GIVEN = re.compile(rf"(?<![\w'’-])[A-Z][a-zà-ÿ]{{2,10}}(?=[ \t\xa0]+{_L})")
+#: Letters of scripts without capitals.
+_CASELESS = re.compile(r"[\u0590-\u1fff\u3040-\ud7af]")
 #: Titles beside names in scripts without capitals: after the name, or before it.
 _AFTER = re.compile(r"(?P<v>[\u4e00-\u9fff]{1,4}|[\u30a0-\u30ff]{2,10}|[\uac00-\ud7af]{2,4}?)[ ]?(?P<t>さん|様|氏|先生|女士|小姐|씨|님)")
 _BEFORE = re.compile(r"(?P<t>\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?|السيدة|السيد|מר|גברת|श्रीमती|श्री)[ \t\xa0]+(?P<v>[^\W\d_A-Za-z\u00c0-\u052f]{1,20}(?:[ \t\xa0][^\W\d_A-Za-z\u00c0-\u052f]{1,20})?)")
@@ -149,13 +153,15 @@ def names(text: str) -> list[tuple[int, int, str, str]]:
         if run:
             runs.append((gender(m[0]), run))
     titled = {span for _, run in runs for span in run}
-    for pattern in (_INTRODUCED, _GIVEN):
-        for m in pattern.finditer(text):
-            run = name_run(text, m.end() if pattern is _INTRODUCED else m.start())
-            # A given name alone is a word like others.
-            if run and not titled & set(run) and (pattern is _INTRODUCED or len(run) > 1):
-                titled |= set(run)
-                runs.append((GIVEN.get(text[run[0][0] : run[0][1]], "n"), run))
+    low = text.lower()
+    begun = [(m.end(), False) for m in _INTRODUCED.finditer(text)] if any(x in low for x in _INTRODUCTIONS) else []
+    begun += [(m.start(), True) for m in _GIVEN.finditer(text) if m[0] in GIVEN]
+    for at, given in begun:
+        run = name_run(text, at)
+        # A given name alone is a word like others.
+        if run and not titled & set(run) and (not given or len(run) > 1):
+            titled |= set(run)
+            runs.append((GIVEN.get(text[run[0][0] : run[0][1]], "n"), run))
     uncased = caseless(text)
     if not runs:
         return uncased
@@ -200,7 +206,7 @@ def names(text: str) -> list[tuple[int, int, str, str]]:
 
 def caseless(text: str) -> list[tuple[int, int, str, str]]:
     """Names in scripts without capitals, whole: beside a title, and wherever else the document has them."""
-    if text.isascii():
+    if text.isascii() or not _CASELESS.search(text):
         return []
     sexes: dict[str, set[str]] = {}
     for pattern in (_AFTER, _BEFORE):
