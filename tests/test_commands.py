@@ -3,6 +3,7 @@
 import json
 import threading
 import urllib.request
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,20 @@ def test_skills_of_answers(spark):
     model = lambda: lambda texts: [answer if "Rust" in t else "no" for t in texts]
     found = {r.id: r.skills for r in skills.skills_of(rows, "text", profile, model, cached).collect()}
     assert found[1] == ["python", "rust"] and found[3] == ["kept"] and "sql" not in found[2]
+
+
+def test_the_rest_stands_without_the_corpus_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    for pipeline in (True, False):
+        copy = tmp_path / str(pipeline)
+        shutil.copytree(root / "triagemill", copy / "triagemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", copy)
+        if pipeline:
+            shutil.copy(root / "corpus_pipeline.py", copy)
+        said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(x.startswith('op') for x in e.queries()), 'pipeline' in e.queries())"], cwd=copy, capture_output=True, text=True)
+        n, n_sql, corpus, there = said.stdout.split()
+        assert int(n) >= 71 and int(n_sql) >= 60 and corpus == "0" and there == "False", said.stderr
