@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagemill.llm import jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, sharding, substring_dedup, topk
+from triagemill.llm import jaccard_join, language_id, line_dedup, merkle, mixing, packing, pii, quality, sharding, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_topk": topk.OP6_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op10_quality": quality.OP10_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }
