@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagemill.llm import conversation_trie, jaccard_join, language_id, line_dedup, merkle, mixing, packing, pii, quality, sharding, substring_dedup, topk
+from triagemill.llm import conversation_trie, jaccard_join, language_id, line_dedup, merkle, mixing, packing, pii, quality, sharding, substring_dedup, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_merkle": merkle.op12_merkle,
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
@@ -30,6 +31,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_topk": topk.OP6_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op10_quality": quality.OP10_SQL,
+    "op11_suffix_dedup": suffix_dedup.OP11_SQL,
     "op12_merkle": merkle.OP12_SQL,
     "op13_conversation_trie": conversation_trie.OP13_SQL,
 }
