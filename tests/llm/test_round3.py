@@ -5,10 +5,11 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triagemill.llm import conversation_trie, merkle
+from triagemill.llm import conversation_trie, merkle, suffix_array, suffix_dedup
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, idx int, digest string, _leaf string"
 
@@ -136,3 +137,68 @@ def test_conversation_trie_of_no_rows(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     sequences, lengths = conversation_trie.rebuilt(conversation_trie.turns_of(frame))
     assert conversation_trie.trie(sequences, lengths).count() == 0
+
+
+def suffix_rows():
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghij é") for _ in range(900))
+    texts = [None, "", "x" * 99, "x" * 100, "x" * 101, "x" * 700, "ab" * 400, "é" * 300, base, base, base[:300] + "Z" + base[300:], "q" + base[100:420] + "rs", "z" * 60 + base[50:149] + "y"]
+    line = "one line that very many of all the documents share among words of their own, and more"
+    texts += ["".join(rng.choice("klmnop ") for _ in range(70)) + line + "".join(rng.choice("klmnop ") for _ in range(70)) for _ in range(40)]
+    texts += ["".join(rng.choice("klmnop ") for _ in range(70)) + line * 2 + "tail" for _ in range(10)]
+    for _ in range(40):
+        at = rng.randrange(700)
+        texts.append("".join(rng.choice("stuvw ") for _ in range(rng.randrange(200))) + base[at : at + rng.randrange(80, 200)] + rng.choice(texts[1:8])[:300] if rng.random() < 0.7 else base[at:] + base[:at])
+    rng.shuffle(texts)
+    rows = [(i, t, "clash", 1, "clash") for i, t in enumerate(texts)]
+    return rows + [(3, base[5:500], "clash", 1, "same id"), (3, base[5:500], "clash", 2, "same row")] + [(None, t, "clash", 1, "no id") for t in (base, base, line * 4, None)]
+
+
+def brute_suffix(rows, xxhash):
+    order = {}
+    for i, r in enumerate(rows):
+        order.setdefault(xxhash[i], (r[1] or "").encode())
+    first, gone = {}, {}
+    for k in sorted(order):
+        t = order[k]
+        cut = bytearray(len(t))
+        for i in range(len(t) - 99):
+            if first.setdefault(t[i : i + 100], (k, i)) != (k, i):
+                cut[i : i + 100] = b"\1" * 100
+        gone[k] = cut
+    out = collections.Counter()
+    for i, r in enumerate(rows):
+        t, cut = (r[1] or "").encode(), gone[xxhash[i]]
+        runs = sum(1 for j, c in enumerate(cut) if c and (j == 0 or not cut[j - 1]))
+        out[(r[0], len(t), sum(cut), runs, bytes(b for b, c in zip(t, cut) if not c).hex().upper())] += 1
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 4000, "anchor_bytes": 400}, {"shard_bytes": 1, "anchor_bytes": 0, "anchors": (20, 99, 100)}])
+@pytest.mark.parametrize("block", [1 << 19, 150])
+def test_suffix_dedup(spark, sizes, block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rows = suffix_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, start int, _held string").repartition(3)
+    keys = suffix_dedup.keyed(docs).select(f"{suffix_dedup.HELD}.doc_id", f"{suffix_dedup.HELD}.text", "none", "id", "tie").collect()
+    of = {(r[0], r[1]): tuple(r[2:]) for r in keys}
+    expected = brute_suffix(rows, [of[(r[0], r[1])] for r in rows])
+    done = suffix_dedup.drop_repeats(docs, **sizes)
+    assert bag(done.select("doc_id", "_n_bytes", "_n_removed", "_n_spans", F.hex("_kept"))) == expected
+    assert done.where("h = 'clash' AND size(_spans) = _n_spans").count() == len(rows)
+    assert suffix_dedup.drop_repeats(docs.limit(0), **sizes).count() == 0
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(300):
+        symbols = [rng.randrange(1, rng.choice([3, 4, 60])) for _ in range(rng.randrange(0, 150))] * rng.choice([1, 1, 3])
+        t = np.array([*symbols, 0], rng.choice([np.uint16, np.int32]))
+        order = suffix_array.suffix_array(t, 61)
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        before, shared = suffix_array.permuted_common_prefixes(t, order, 1)
+        for r in range(1, len(t)):
+            a, b, k = int(order[r]), int(order[r - 1]), 0
+            while t[a + k] == t[b + k] and t[a + k] > 1:
+                k += 1
+            assert before[a] == b and shared[a] == k
