@@ -89,6 +89,16 @@ def release(*tables: DataFrame | None) -> None:
             _delete(_written.pop(path), path)
 
 
+def written() -> set[str]:
+    """The paths of the tables that stand now."""
+    return set(_written)
+
+
+def release_paths(paths: set[str]) -> None:
+    for path in paths & set(_written):
+        _delete(_written.pop(path), path)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of `df`, known to hold `rows` narrow rows, only below the limit; else the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
