@@ -13,19 +13,43 @@ names, reach the last stage unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.llm import jaccard_join, line_dedup, mixing, packing
 from triagemill.llm import quality as rules
-from triagemill.llm.common import HELD, doc_key, documents, held, materialize, release, small
+from triagemill.llm.common import HELD, doc_key, documents, held, materialize, release, release_paths, small, written
+
+#: Scratch tables that the result of the last stage called reads.
+_left: set[str] = set()
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage; when the next one is called the result of this one has been written, so that what it reads is freed."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_paths(_left)
+        _left.clear()
+        before = written()
+        out = work(spark, docs, sf_dir)
+        _left.update(written() - before)
+        return out
+
+    return run_stage
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     judged = rules.judge(docs.select(F.struct("*").alias("given"), "text", "lang"), ["given"])
     return judged.where("kept").select("given.*")
 
 
+@stage
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay in one of them."""
     done = line_dedup.dedup_lines(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("given"), "doc_id", "text"))
@@ -34,6 +58,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return done.select(*[changed.get(c, F.col(f"given.`{c}`")).alias(c) for c in docs.columns])
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents stays, that with the least id; all rows of a group without ids stay."""
     joined = materialize(jaccard_join.keyed(docs).select("row", "keeper"), "pipeline-groups")
@@ -48,11 +73,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(f"{HELD}.*")
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their targets, documents repeated as the mix says, in training order."""
     return mixing.training_order(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are tokenized and packed beside their lexical neighbours."""
     return packing.pack(docs)
