@@ -68,7 +68,7 @@ def process_inbox(spark: SparkSession, store: Store, folder: str, profile: Profi
     entries = entries.withColumn("ord", F.xxhash64("file", "position_link").bitwiseAND(F.lit((1 << 52) - 1)) + 1)
     jobs, counted = state.ingest(state.clean(store.read("jobs"), now), entries, now)
     patterns = state.seed_patterns(store.read("skill_patterns"), profile, now)
-    jobs = T.apply_relevance(state.clean(jobs, now), state.profile_with_patterns(profile, patterns), prune)
+    jobs = T.apply_relevance(state.clean(jobs, now), profile, prune, patterns=state.pattern_table(patterns, profile))
     jobs = describe(jobs, now)
     counted = spark.createDataFrame(counted.collect(), counted.schema)
     store.commit({"jobs": jobs, "skill_patterns": patterns}, base)
@@ -187,7 +187,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             done.write.mode("overwrite").json(a.out)
     elif a.command == "process-inbox":
         counted = process_inbox(spark, store, a.inbox, profile, prune=a.prune_irrelevant, limit=a.limit)
-        save_profile(a.profile, state.learned_profile(profile, store.read("jobs")))
+        save_profile(a.profile, state.learned_profile(profile, store.read("jobs"), patterns=state.pattern_table(store.read("skill_patterns"), profile)))
         if a.report_dir:
             print(write_report(store, load_profile(a.profile), a.report_dir))
         if a.delete_processed:
@@ -209,8 +209,8 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         wanted = state.refresh_candidates(jobs, a.category, a.source, links(spark, a.link), tuple(a.job_id), a.limit, not a.overwrite)
         store.commit({"jobs": describe(jobs, now, candidates=wanted)}, base)
     elif a.command == "sync-user-skills":
-        with_table = state.profile_with_patterns(profile, store.read("skill_patterns"))
-        found = skills.skills_of_cv(pages.cv_text(spark, a.cv, a.max_chars), spark, with_table, a.limit)
+        table = state.pattern_table(store.read("skill_patterns"), profile)
+        found = skills.skills_of_cv(pages.cv_text(spark, a.cv, a.max_chars), spark, profile, a.limit, table, MODELS.get("skills"))
         own = unique(found) if a.replace else unique([*profile.user_skills, *found])
         save_profile(a.profile, replace(profile, user_skills=own))
         print(", ".join(own))

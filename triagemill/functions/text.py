@@ -116,6 +116,25 @@ def _quoted(mark: str) -> str:
     return "".join(f"\\{x}" if x in ".:" else x for x in mark)
 
 
+def quoted(c: Column) -> Column:
+    """A text between quotes, as a list shows it: single ones, or double ones where it holds single ones alone."""
+    escaped = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    double = c.contains("'") & ~c.contains('"')
+    return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def one_decimal(x: Column) -> Column:
+    """A number to one decimal, by its exact value; ties go to the even digit."""
+    a, b = x * 8, x * 2
+    ten = a + b
+    # What the sum lost to rounding tells on which side of a tie the number is.
+    lost = (a - (ten - (ten - a))) + (b - (ten - a))
+    low = F.floor(ten).cast("double")
+    tenths = F.when(ten - low == 0.5, F.when(lost > 0, low + 1).when(lost < 0, low).otherwise(F.rint(ten))).otherwise(F.rint(ten))
+    whole = F.abs(tenths).cast("long")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"))
+
+
 def skill_key(c: Column) -> Column:
     return F.lower(compact(c))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,14 +114,33 @@ def jobindex_id(link: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in forms], F.lit(""))
 
 
+def unescape(c: Column) -> Column:
+    """A text with its HTML entities resolved, once: numbers, and the names of HTML 4."""
+    # The names and signs come from Python's table.
+    names = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))])
+
+    def resolved(part: Column) -> Column:
+        code, rest = F.regexp_extract(part, r"(?s)^([^;]{1,10});(.*)$", 1), F.regexp_extract(part, r"(?s)^([^;]{1,10});(.*)$", 2)
+        digits = F.regexp_extract(code, r"^#([0-9]{1,7})$", 1)
+        hexed = F.when(digits != "", F.conv(digits, 10, 16)).otherwise(F.regexp_extract(code, r"^#[xX]([0-9A-Fa-f]{1,6})$", 1))
+        number = F.conv(hexed, 16, 10).cast("long")
+        fits = (hexed != "") & number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(fits, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")).otherwise(F.try_element_at(names, code))
+        return F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&", -1)
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolved), ""))
+    return F.when(c.contains("&"), joined).otherwise(c)
+
+
 def unwrap_tracker(link: Column) -> Column:
     """The target that a mail tracker's link carries as base64 JSON in its query's `p`; the link itself if it carries none."""
-    code = F.rtrim(F.translate(F.regexp_extract(F.coalesce(link, F.lit("")), r"[?&]p=([A-Za-z0-9_\-=%]+)", 1), "-_", "+/"), F.lit("="))
+    code = F.rtrim(F.translate(F.regexp_extract(F.coalesce(link, F.lit("")), r"[?&]p=([A-Za-z0-9_\-=%/]+)", 1), "-_", "+/"), F.lit("="))
     padded = X.let(code, lambda c: F.concat(c, F.substring(F.lit("==="), F.lit(1), F.pmod(-F.length(c), F.lit(4)))))
     outer = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    target = F.try_url_decode(F.trim(F.get_json_object(F.get_json_object(outer, "$.p"), "$.url")))
-    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("\\/", "/")):
-        target = F.replace(target, F.lit(entity), F.lit(sign))
+    # Signs that stand for themselves, to a decoder of forms: a plus, and a percent sign before no number.
+    written = F.regexp_replace(F.replace(F.trim(F.get_json_object(F.get_json_object(outer, "$.p"), "$.url")), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    target = F.replace(unescape(F.try_url_decode(written)), F.lit("\\/"), F.lit("/"))
     return F.when(F.lower(link).contains("mandrillapp.com/track/click/"), F.coalesce(F.nullif(target, F.lit("")), link)).otherwise(link)
 
 

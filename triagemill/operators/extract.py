@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
-from triagemill.operators.triage import nearest_token
+from triagemill.operators.offsets import work_types
 from triagemill.sources.anchors import anchors
 
 FIELDS = ("title", "company", "place", "work_type", "raw_text")
@@ -220,9 +220,11 @@ def job_entries(docs: DataFrame, key: str) -> DataFrame:
         *[F.max(F.when(F.col("_rank") == i, given)).alias(f"_{i}") for i in range(len(EXTRACTORS))], F.max(F.when(F.col("_rank") == -1, given)).alias("_text"), F.max(F.when(F.col("_rank") == -2, 1)).alias("_listed"),
     ).where("_text IS NOT NULL OR _listed = 1")
     header = X.company_title(F.col("text"), F.col("title"))
-    grouped = grouped.join(docs.select(key, "html", header.alias("_header"), F.left(X.present(F.col("text")), F.lit(2500)).alias("_start")), key)
-    number = F.regexp_extract("link", r"(?i)/jobs/view/(\d+)", 1)
-    near = F.when(number != "", nearest_token(F.col("html"), F.concat(F.lit("/jobs/view/"), number), WORK_WORDS, REACH, (0, -len("/comm"))))
+    grouped = grouped.join(docs.select(key, header.alias("_header"), F.left(X.present(F.col("text")), F.lit(2500)).alias("_start")), key)
+    grouped = grouped.withColumn("_number", F.regexp_extract("link", r"(?i)/jobs/view/(\d+)", 1))
+    around = work_types(docs, key, F.col("html"), grouped.where("_number <> ''").select(key, F.col("_number").alias("number")), WORK_WORDS, REACH)
+    grouped = grouped.join(around.withColumnsRenamed({"number": "_number", "work_type": "_near"}), [key, "_number"], "left")
+    near = F.col("_near")
     value = lambda i, n: F.nullif(F.col(f"_{i}.{n}"), F.lit(""))
     seen = F.col("_text").isNotNull()
     guess = {"title": F.col("_header.title"), "company": F.col("_header.company"), "place": F.lit(""), "raw_text": F.col("_start")}

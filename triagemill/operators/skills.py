@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
+from triagemill.operators import patterns as P
 from triagemill.operators import triage as T
 from triagemill.operators.models import Factory, ask
 from triagemill.profile import Profile
@@ -92,19 +93,27 @@ def json_object(text: Column) -> Column:
 
 
 def json_items(text: Column, field: str) -> Column:
-    """The items of a list in a model's answer, as (name, confidence, evidence): a bare text is the name of an item that is sure. No
-    item if the answer can't be read."""
-    listed = F.from_json(F.get_json_object(json_object(text), f"$.{field}"), "array<string>")
-    item = lambda x: F.when(
-        F.startswith(F.trim(x), F.lit("{")), F.struct(F.get_json_object(x, "$.name").alias("name"), F.expr("CAST(NULL AS DOUBLE)").alias("confidence"), X.present(F.get_json_object(x, "$.evidence")).alias("evidence")).withField("confidence", F.coalesce(F.get_json_object(x, "$.confidence").try_cast("double"), F.lit(0.0)))
-    ).otherwise(F.struct(x.alias("name"), F.lit(1.0).alias("confidence"), F.lit("").alias("evidence")))
-    return F.coalesce(F.filter(F.transform(listed, item), lambda x: X.present(x["name"]) != ""), F.array().cast("array<struct<name:string,confidence:double,evidence:string>>"))
+    """The items of a list in a model's answer, as (name, confidence, evidence): a bare text is the name of an item that is sure; what is
+    neither a text nor an object is none. No item if the answer can't be read."""
+    listed = F.try_variant_get(F.try_parse_json(json_object(text)), f"$.{field}", "array<variant>")
+    is_text, is_object = (lambda x: F.schema_of_variant(x) == "STRING"), (lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    told = lambda x, name, kind: F.try_variant_get(x, f"$.{name}", kind)
+    item = lambda x: F.struct(
+        F.when(is_text(x), x.cast("string")).otherwise(told(x, "name", "string")).alias("name"), F.when(is_text(x), F.lit(1.0)).otherwise(F.coalesce(told(x, "confidence", "double"), F.lit(0.0))).alias("confidence"),
+        F.when(is_text(x), "").otherwise(X.present(told(x, "evidence", "string"))).alias("evidence"),
+    )
+    kept = F.transform(F.filter(listed, lambda x: is_text(x) | is_object(x)), item)
+    return F.coalesce(F.filter(kept, lambda x: X.present(x["name"]) != ""), F.array().cast("array<struct<name:string,confidence:double,evidence:string>>"))
 
 
 def mined_skills(text: Column, patterns: list[tuple[str, str]], limit: int = 10) -> Column:
     """The patterns' names by place; if there are fewer than the limit, what sentences with a cue ask for, too."""
+    return with_cued(text, T.required_skills(F.lower(X.compact(text)), patterns), limit)
+
+
+def with_cued(text: Column, known: Column, limit: int = 10) -> Column:
+    """The skills known to be in a text; if there are fewer than the limit, what its sentences with a cue ask for, too."""
     source = X.compact(text)
-    known = T.required_skills(F.lower(source), patterns)
     cued = F.filter(F.split(source, r"(?<=[.!?])\s+"), lambda s: s.rlike(CUES))
     phrases = F.flatten(F.transform(cued, lambda s: F.transform(F.split(F.regexp_replace(s, CUE_START, ""), r"(?i),|\band\b|\bor\b"), X.skill_name)))
     keys = F.transform(known, lambda x: F.lower(x))
@@ -119,12 +128,17 @@ def unblocked(names: Column, blocked: tuple[str, ...], limit: int | None = None)
     return F.slice(out, 1, limit) if limit else out
 
 
-def skills_of(rows: DataFrame, text: str, profile: Profile, model: Factory | None = None, cached: DataFrame | None = None, key: str = "id", limit: int = 10) -> DataFrame:
+def skills_of(rows: DataFrame, text: str, profile: Profile, model: Factory | None = None, cached: DataFrame | None = None, key: str = "id", limit: int = 10, table: DataFrame | None = None) -> DataFrame:
     """Adds skills: those `cached` (key, skills) has; else those of a model's JSON answer (known ones it matched, and new ones that are
-    strong and well put, a few); else those its text or the row's holds."""
+    strong and well put, a few); else those its text or the row's holds. With a `table` of patterns texts are matched with that; the known
+    skills of an answer are the profile's in either case."""
     patterns = profile.patterns()
     known = keys_of(tuple(n for n, _ in patterns))
-    found = mined_skills(F.col(text), patterns, limit)
+    if table is None:
+        found = mined_skills(F.col(text), patterns, limit)
+    else:
+        rows = P.with_skills(rows, key, F.lower(X.compact(F.col(text))), table, "_known")
+        found = with_cued(F.col(text), F.col("_known"), limit)
     if model is not None:
         rows = ask(rows, text, "_answer", model)
         matched = F.filter(F.transform(json_items(F.col("_answer"), "matched_known"), lambda x: X.skill_name(x["name"])), lambda n: F.array_contains(known, n))
@@ -135,14 +149,14 @@ def skills_of(rows: DataFrame, text: str, profile: Profile, model: Factory | Non
         named = F.filter(X.split_skills(X.clean_answer_skills(F.col("_answer"))), lambda n: F.array_contains(known, n))
         told = F.when(json_object(F.col("_answer")) != "", told).otherwise(named)
         found = F.when(F.size(F.coalesce(told, F.array().cast("array<string>"))) > 0, told).otherwise(found)
-    rows = rows.withColumn("skills", unblocked(found, profile.blocked_skills, limit)).drop("_answer")
+    rows = rows.withColumn("skills", unblocked(found, profile.blocked_skills, limit)).drop("_answer", "_known")
     if cached is None:
         return rows
     kept = cached.select(F.col(key).alias("_of"), F.col("skills").alias("_cached"))
     return rows.join(kept, F.col(key) == F.col("_of"), "left").withColumn("skills", F.coalesce(F.when(F.size("_cached") > 0, F.col("_cached")), "skills")).drop("_of", "_cached")
 
 
-def skills_of_cv(text: str, spark, profile: Profile, limit: int = 40) -> tuple[str, ...]:
-    """The skills of one CV (a driver's text)."""
-    row = spark.createDataFrame([(text,)], "text string").select(unblocked(mined_skills(F.col("text"), profile.patterns(), max(20, limit)), profile.blocked_skills, limit).alias("s")).first()
-    return tuple(row.s)
+def skills_of_cv(text: str, spark, profile: Profile, limit: int = 40, table: DataFrame | None = None, model: Factory | None = None) -> tuple[str, ...]:
+    """The skills of one CV (a driver's text), by a model where there is one."""
+    rows = spark.createDataFrame([(0, text)], "id long, text string")
+    return tuple(skills_of(rows, "text", profile, model, limit=max(20, limit), table=table).first().skills[:limit])

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
 from triagemill.operators import triage as T
-from triagemill.profile import Profile, unique
+from triagemill.profile import Profile, skill_key, unique
+from triagemill.scratch import cut, numbered
 
 JOBS = """id long, source string, company string, title string, title_english string, place string, work_type string, position_link string, raw_text string, description string, viewed int, applied int,
     relevance_score double, relevant int, category string, relevance_reason string, summary string, created_at timestamp, updated_at timestamp"""
@@ -22,6 +23,8 @@ DEFAULTS = {"title_english": "", "description": "", "viewed": 0, "applied": 0, "
 KEPT_LINKS = r"linkedin\.com/.*jobs/view/|^(?=.*jobindex\.dk)(?=.*(?:jobid=|/jobannonce/[hr]))|^(?=.*jobs\.danfoss\.com)(?=.*/job/)"
 ALERT_TITLES, ALERT_TEXTS = ("jobs similar to", "new jobs match your preferences", "job alert"), ("jobs similar to", "new jobs match your preferences")
 RETENTION_DAYS = 90
+#: Folders that a table of jobs is dealt into by its links.
+BUCKETS = 4096
 MANUAL_MARK = "[MANUAL_APPLIED_DESCRIPTION]"
 
 
@@ -43,49 +46,96 @@ def clean(jobs: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame
     return T.first_by(rows, ["position_link"], "id")
 
 
-def upsert(jobs: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The jobs after a batch, and (ord, outcome) of its rows: `inserted`, `merged` or `known`.
+def upsert_changes(jobs: DataFrame, incoming: DataFrame, now: Column, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a batch changes: jobs that are new or differ, whole rows; and (ord, outcome) of the batch's rows, `inserted`, `merged` or `known`.
 
     `incoming`: ord (unique, the order of arrival), source, company, title, place, work_type, position_link, raw_text. A known link
     changes nothing. Else a row that is another source's posting of a job (the first such job, or else the first such row of the
     batch) is merged into it: its source counts, it fills a blank or unknown place and work type, the longer text stays, the translated title
-    goes. Else it is inserted; ids follow the order of arrival, not without gaps."""
+    goes. Else it is inserted; ids go on after the largest in the order of arrival, without gaps. `near`: jobs among which all known links
+    of the batch are, if not all need be asked. No task gets all rows of a link, of a key, or without a key."""
     rows = incoming.withColumns({
         "source": F.coalesce(F.nullif("source", F.lit("")), U.provider(F.col("position_link"))), "title": X.clean_title(F.col("title")), "work_type": F.coalesce("work_type", F.lit("Unknown")),
         **{c: X.present(F.col(c)) for c in ("company", "place", "raw_text")},
     }).withColumn("_key", X.cross_source_key(F.col("source"), F.col("company"), F.col("title")))
-    once = T.first_by(rows, ["position_link"], "ord").join(jobs.select("position_link"), "position_link", "left_anti")
+    rows = cut(rows)
+    earliest = rows.groupBy("position_link").agg(F.min("ord").alias("ord")).join((jobs if near is None else near).select("position_link"), "position_link", "left_anti")
+    once = cut(rows.join(earliest.select("ord"), "ord", "left_semi"))
     owner = F.coalesce(F.nullif("source", F.lit("")), U.provider(F.col("position_link")))
-    have = jobs.withColumn("_key", X.cross_source_key(owner, F.col("company"), F.col("title")))
-    targets = have.where("_key <> ''").groupBy("_key").agg(F.min("id").alias("_id"))
-    placed = once.join(targets, "_key", "left")
+    keys = once.where("_key <> ''").select("_key").distinct()
+    # Of the jobs that stand only those with a key of the batch go on.
+    have = jobs.select("id", X.cross_source_key(owner, F.col("company"), F.col("title")).alias("_key")).where("_key <> ''").join(keys, "_key", "left_semi")
+    targets = cut(have.groupBy("_key").agg(F.min("id").alias("_id")))
     # Of a key that no job has, the first row of the batch is inserted and the others are merged into it.
-    first = Window.partitionBy("_key").orderBy("ord")
-    placed = placed.withColumn("_turn", F.when(F.col("_key") != "", F.row_number().over(first)).otherwise(1))
-    start = F.coalesce(F.max("id"), F.lit(0)).alias("_start")
-    # One row.
-    new = placed.where("_id IS NULL AND _turn = 1").join(F.broadcast(jobs.agg(start))).withColumn("id", F.col("_start") + F.col("ord"))
-    made = {**{c: F.lit(v) for c, v in DEFAULTS.items()}, "created_at": now, "updated_at": now}
-    base = have.unionByName(new.select("_key", *[made.get(c, F.col(c) if c in new.columns else F.lit(None)).cast(jobs.schema[c].dataType).alias(c) for c in jobs.columns]))
-    more = placed.where("_id IS NOT NULL OR _turn > 1")
+    heads = once.where("_key <> ''").groupBy("_key").agg(F.min("ord").alias("ord")).join(targets, "_key", "left_anti")
+    fresh = once.where("_key = ''").select("ord").unionByName(heads.select("ord"))
+    start = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    ids = cut(numbered(fresh, [F.col("ord")], "_place").select("ord", (F.col("_place") + start).alias("id")))
+    new, more = once.join(ids, "ord"), once.where("_key <> ''").join(ids, "ord", "left_anti")
 
     def first_of(column: str, usable: Column) -> Column:
         return F.min(F.when(usable, F.struct("ord", F.col(column).alias("v"))))["v"]
 
     fill = {c: (first_of(c, (F.col(c) != "") & (F.lower(F.col(c)) != "unknown")), F.max(F.when(F.col(c) != "", F.struct("ord", F.col(c).alias("v"))))["v"]) for c in ("place", "work_type")}
     change = more.groupBy("_key").agg(F.max(F.struct("ord", "source"))["source"].alias("_source"), *[x.alias(f"_{c}{i}") for c, xs in fill.items() for i, x in enumerate(xs)], F.max(F.struct(F.length("raw_text").alias("n"), (-F.col("ord")).alias("o"), F.col("raw_text").alias("v")))["v"].alias("_raw"))
-    goal = base.where("_key <> ''").groupBy("_key").agg(F.min("id").alias("_goal"))
-    joined = base.join(change.join(goal, "_key"), (base["id"] == F.col("_goal")), "left").drop(change["_key"])
+    goals = targets.select("_key", F.col("_id").alias("_goal")).unionByName(new.where("_key <> ''").select("_key", F.col("id").alias("_goal")))
+    change = change.join(goals, "_key").drop("_key")
+    made = {**{c: F.lit(v) for c, v in DEFAULTS.items()}, "created_at": now, "updated_at": now}
+    inserted = new.select(*[made.get(c, F.col(c) if c in new.columns else F.lit(None)).cast(jobs.schema[c].dataType).alias(c) for c in jobs.columns])
+    joined = jobs.join(change, F.col("id") == F.col("_goal")).unionByName(inserted.join(change, F.col("id") == F.col("_goal"), "left"))
     known = lambda c: (X.present(F.col(c)) != "") & (F.lower(X.present(F.col(c))) != "unknown")
     hit = F.col("_goal").isNotNull()
     filled = lambda c: F.when(hit & ~known(c), F.coalesce(f"_{c}0", f"_{c}1", c)).otherwise(F.col(c))
-    out = joined.withColumns({
+    changed = joined.withColumns({
         "source": F.when(hit, F.coalesce(F.nullif("_source", F.lit("")), "source")).otherwise(F.col("source")), "title": F.when(hit, X.clean_title(F.col("title"))).otherwise(F.col("title")),
         "title_english": F.when(hit, "").otherwise(F.col("title_english")), "place": filled("place"), "work_type": F.when(hit, F.coalesce(F.nullif(filled("work_type"), F.lit("")), F.lit("Unknown"))).otherwise(F.col("work_type")),
         "raw_text": F.when(hit & (F.length("_raw") > F.length(X.present(F.col("raw_text")))), F.col("_raw")).otherwise(F.col("raw_text")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
     }).select(*jobs.columns)
-    outcomes = rows.select("ord").join(placed.select("ord", F.when((F.col("_id").isNull()) & (F.col("_turn") == 1), "inserted").otherwise("merged").alias("outcome")), "ord", "left")
-    return out, outcomes.withColumn("outcome", F.coalesce("outcome", F.lit("known")))
+    told = ids.select("ord", F.lit("inserted").alias("outcome")).unionByName(more.select("ord", F.lit("merged").alias("outcome")))
+    outcomes = rows.select("ord").join(told, "ord", "left").withColumn("outcome", F.coalesce("outcome", F.lit("known")))
+    return changed, outcomes
+
+
+def upsert(jobs: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The jobs after a batch, and (ord, outcome) of its rows; see upsert_changes."""
+    changed, outcomes = upsert_changes(jobs, incoming, now)
+    changed = cut(changed)
+    return jobs.join(changed.select("id"), "id", "left_anti").select(*jobs.columns).unionByName(changed), outcomes
+
+
+def link_bucket(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("position_link"), F.lit(buckets)).cast("int")
+
+
+def write_buckets(jobs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Jobs as a table with a folder for each bucket of links; folders without rows here are left alone. Large buckets get several files."""
+    rows = jobs.withColumn("bucket", link_bucket(buckets)).hint("rebalance", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JOBS + ", bucket int").parquet(path)
+
+
+def apply_changes(spark: SparkSession, path: str, changed: DataFrame, buckets: int = BUCKETS) -> int:
+    """Writes changed jobs into a table of buckets: only the buckets that they are in are read and written again, which gives one result
+    however often it is done. Returns their number."""
+    touched = [r.bucket for r in changed.select(link_bucket(buckets).alias("bucket")).distinct().collect()]
+    if touched:
+        stay = read_buckets(spark, path).where(F.col("bucket").isin(touched)).join(changed.select("id"), "id", "left_anti")
+        write_buckets(stay.select(*changed.columns).unionByName(changed), path, buckets)
+    return len(touched)
+
+
+def upsert_buckets(spark: SparkSession, path: str, incoming: DataFrame, now: Column, buckets: int = BUCKETS) -> tuple[int, DataFrame]:
+    """A batch taken into a table of buckets; its links are looked up in their own buckets. Returns how many buckets were written anew, and
+    the outcomes."""
+    incoming = cut(incoming)
+    asked = [r.bucket for r in incoming.select(link_bucket(buckets).alias("bucket")).distinct().collect()]
+    table = read_buckets(spark, path)
+    changed, outcomes = upsert_changes(table.drop("bucket"), incoming, now, table.where(F.col("bucket").isin(asked)))
+    changed, outcomes = cut(changed), cut(outcomes)
+    return apply_changes(spark, path, changed, buckets), outcomes
 
 
 def ingest(jobs: DataFrame, entries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -163,20 +213,30 @@ def patterns_in_order(patterns: DataFrame, enabled_only: bool = True) -> DataFra
     return rows.orderBy(F.desc("weight"), F.desc("occurrences"), "name", "id")
 
 
-def profile_with_patterns(profile: Profile, patterns: DataFrame, limit: int = 10_000) -> Profile:
-    """The profile with the table's enabled patterns, where it has any (the vocabulary of skills, at most `limit`)."""
-    rows = [(r.name, r.pattern) for r in patterns_in_order(patterns).where("trim(name) <> '' AND trim(pattern) <> ''").select("name", "pattern").limit(limit + 1).collect()]
-    if len(rows) > limit:
-        raise ValueError("more patterns than are matched one by one")
-    return replace(profile, known_skill_patterns=tuple(rows)) if rows else profile
+def pattern_table(patterns: DataFrame, profile: Profile) -> DataFrame:
+    """What texts are matched with, for operators/patterns.py: the enabled patterns, or where there are none those of the profile; blocked
+    skills are left out. Matches at one place follow the order of patterns_in_order."""
+    spark = patterns.sparkSession
+    order = F.struct((-F.col("weight")).alias("w"), (-F.col("occurrences")).alias("o"), F.col("name").alias("n"))
+    rows = patterns.where("enabled = 1 AND trim(name) <> '' AND trim(pattern) <> ''").select(F.col("id").alias("pid"), F.trim("name").alias("name"), F.trim("pattern").alias("pattern"), order.alias("ord"))
+    if not patterns.where("enabled = 1").head(1):
+        given = [(i, n, p, (0.0, 0, f"{i:09d}")) for i, (n, p) in enumerate(profile.known_skill_patterns)]
+        rows = spark.createDataFrame(given, "pid long, name string, pattern string, ord struct<w:double,o:long,n:string>")
+    blocked = [skill_key(x) for x in profile.blocked_skills]
+    return rows.where(~X.skill_key(F.col("name")).isin(*blocked)) if blocked else rows
+
+
+def word_pattern(name: Column) -> Column:
+    """A pattern for a plain name: its words in order, any white space between, at word boundaries; read alike by Java, `re` and RE2."""
+    words = F.transform(F.split(name, r"\s+"), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_\s])", r"\\$1"))
+    return F.concat(F.lit(r"\b"), F.array_join(words, r"\s+"), F.lit(r"\b"))
 
 
 def set_job_skills(patterns: DataFrame, links: DataFrame, skills: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Patterns and links after skills (job_id, name) were found: a pattern is made for a new one, with counts of 0; links are added once."""
     named = skills.select("job_id", X.skill_name(F.col("name")).alias("name")).where("name <> ''").withColumn("name_key", X.skill_key(F.col("name")))
-    words = F.transform(F.split("name", " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
     new = named.select("name", "name_key").dropDuplicates(["name_key"]).join(patterns.select("name_key"), "name_key", "left_anti")
-    new = new.select("name", F.concat(F.lit(r"\b"), F.array_join(words, r"\s+"), F.lit(r"\b")).alias("pattern"), F.lit("detected").alias("source"), F.lit(0).alias("occurrences"), F.lit(0.0).alias("weight"), F.lit(1).alias("enabled"))
+    new = new.select("name", word_pattern(F.col("name")).alias("pattern"), F.lit("detected").alias("source"), F.lit(0).alias("occurrences"), F.lit(0.0).alias("weight"), F.lit(1).alias("enabled"))
     after = upsert_patterns(patterns, new, now)
     found = named.join(after.select("name_key", F.col("id").alias("skill_id")), "name_key").select("job_id", "skill_id")
     return after, links.select("job_id", "skill_id").unionByName(found).distinct()
@@ -200,7 +260,7 @@ def clear_job(links: DataFrame, job_id: int) -> DataFrame:
 def delete_skill(patterns: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     gone = X.skill_key(F.col("name")) == " ".join(name.lower().split())
     ids = patterns.where(gone).select(F.col("id").alias("skill_id"))
-    return patterns.where(~gone), links.join(F.broadcast(ids.limit(10_000)), "skill_id", "left_anti").select(*links.columns)
+    return patterns.where(~gone), links.join(ids, "skill_id", "left_anti").select(*links.columns)
 
 
 def skills_tab(patterns: DataFrame, profile: Profile) -> DataFrame:
@@ -224,21 +284,20 @@ def learn_patterns(patterns: DataFrame, counts: DataFrame, now: Column, least: i
     counts = counts.withColumn("name_key", X.skill_key(F.col("skill")))
     known = counts.join(patterns.select("name_key", "pattern"), "name_key").select(F.col("skill").alias("name"), "pattern", "weight")
     fresh = counts.join(patterns.select("name_key"), "name_key", "left_anti").where(F.col("weight") >= least).orderBy(F.desc("weight"), "name_key").limit(limit)
-    words = F.transform(F.split("name_key", " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    fresh = fresh.select(F.col("skill").alias("name"), F.concat(F.lit(r"\b"), F.array_join(words, r"\s+"), F.lit(r"\b")).alias("pattern"), "weight")
+    fresh = fresh.select(F.col("skill").alias("name"), word_pattern(F.col("name_key")).alias("pattern"), "weight")
     change = known.unionByName(fresh).select("name", "pattern", F.lit("learned").alias("source"), F.col("weight").cast("long").alias("occurrences"), F.col("weight").cast("double").alias("weight"), F.lit(1).alias("enabled"))
     return upsert_patterns(patterns, change, now)
 
 
-def learned_profile(profile: Profile, jobs: DataFrame, keywords: int = 20) -> Profile:
+def learned_profile(profile: Profile, jobs: DataFrame, keywords: int = 20, patterns: DataFrame | None = None) -> Profile:
     """The profile with the keywords that the jobs' categories tell and the skills that jobs applied for ask and the user lacks; both
     replace what was learned before. The driver gets at most 40 keywords and the skills' limit."""
     labelled = jobs.where("category IN ('relevant', 'not relevant')").select("id", F.concat_ws("\n", *[X.present(F.col(c)) for c in ("title", "company", "place", "work_type", "raw_text")]).alias("text"), (F.col("category") == "relevant").cast("int").alias("relevant"))
     found = T.learn_keywords(labelled, profile.stop_words, keywords).collect()
     include = [r.token for r in sorted(found, key=lambda r: r["rank"]) if r.kind == "include"]
     exclude = [r.token for r in sorted(found, key=lambda r: r["rank"]) if r.kind == "exclude" and r.token not in include]
-    asked = jobs.where("applied = 1").select(F.concat_ws("\n", *[X.present(F.col(c)) for c in ("title", "summary", "raw_text")]).alias("text"))
-    missing = T.skill_counts(asked, profile, F.lit(1), profile.missing_skills_max_items, (*profile.user_skills, *profile.blocked_skills)).collect()
+    asked = jobs.where("applied = 1").select("id", F.concat_ws("\n", *[X.present(F.col(c)) for c in ("title", "summary", "raw_text")]).alias("text"))
+    missing = T.skill_counts(asked, profile, F.lit(1), profile.missing_skills_max_items, (*profile.user_skills, *profile.blocked_skills), patterns).collect()
     return replace(profile, learned_include_keywords=unique(include), learned_exclude_keywords=unique(exclude), missing_skills_suggestions=unique(r.skill for r in missing))
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
+from triagemill.operators import patterns as P
 from triagemill.profile import Profile, skill_key, valid_pattern
 
+#: A pattern that is a plain string.
+PLAIN = re.compile(r"[a-z0-9 _#/,;:=@&!<>'\"-]+", re.I)
 MANUAL = ("manual_feedback=relevant", "manual_feedback=not relevant")
 
 
@@ -24,13 +27,20 @@ def found_keywords(low: Column, keywords: tuple[str, ...]) -> Column:
 
 
 def required_skills(text: Column, patterns: list[tuple[str, str]], limit: int | None = None) -> Column:
-    """The names of the patterns that match, by place of the first match, then by pattern order; one of each key."""
+    """The names of a profile's few patterns that match, whatever the case, by place of the first match, then by pattern order; one of
+    each key. For a table of patterns see operators/patterns.py."""
     low = F.lower(X.present(text))
-    found = [F.struct(F.regexp_instr(low, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(patterns) if valid_pattern(p)]
+
+    def place(pattern: str) -> Column:
+        if PLAIN.fullmatch(pattern):
+            return F.instr(low, pattern.lower())
+        # Letters of all scripts count for word bounds where the pattern asks for any.
+        return F.regexp_instr(low, F.lit(("(?iU)" if "\\" in pattern or not pattern.isascii() else "(?i)") + pattern))
+
+    found = [F.struct(place(p).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(patterns) if valid_pattern(p)]
     if not found:
         return F.array().cast("array<string>")
-    names = F.array_distinct(F.transform(F.sort_array(F.filter(F.array(*found), lambda x: x["at"] > 0)), lambda x: x["name"]))
-    return F.slice(names, 1, limit) if limit else names
+    return P.names_found(P.firsts(F.sort_array(F.filter(F.array(*found), lambda x: x["at"] > 0))), limit)
 
 
 def score(text: Column, profile: Profile, easy: Column | None = None) -> Column:
@@ -44,13 +54,13 @@ def score(text: Column, profile: Profile, easy: Column | None = None) -> Column:
     return out if easy is None else out + profile.easy_apply_bonus * easy.cast("int")
 
 
-def scored(rows: DataFrame, profile: Profile, text: Column, source: Column | None = None, link: Column | None = None, probe: Column | None = None) -> DataFrame:
+def scored(rows: DataFrame, profile: Profile, text: Column, source: Column | None = None, link: Column | None = None, probe: Column | None = None, patterns: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Adds relevance_score and relevance_reason. With source and link a LinkedIn posting that can be applied to with ease (by its
     text, or else by what a `probe` of its page found) gets the bonus. The text is put in small letters, and its skills are looked
-    for, once a row."""
+    for, once a row: by the profile's patterns, or those of a table (see operators/patterns.py; `key` tells rows apart)."""
     user = F.array(*[F.lit(skill_key(s)) for s in profile.user_skills]).cast("array<string>")
     rows = rows.withColumn("_low", F.lower(X.present(text)))
-    rows = rows.withColumn("_need", required_skills(F.col("_low"), profile.patterns()))
+    rows = rows.withColumn("_need", required_skills(F.col("_low"), profile.patterns())) if patterns is None else P.with_skills(rows, key, F.col("_low"), patterns, "_need")
     low, need = F.col("_low"), F.col("_need")
     matched = F.filter(need, lambda s: F.array_contains(user, X.skill_key(s)))
     missing = F.filter(need, lambda s: ~F.array_contains(user, X.skill_key(s)))
@@ -62,12 +72,13 @@ def scored(rows: DataFrame, profile: Profile, text: Column, source: Column | Non
         said = X.easy_apply(low) if probe is None else X.easy_apply(low) | F.coalesce(probe, F.lit(False))
         easy = X.from_linkedin(source, link) & said
         points = points + profile.easy_apply_bonus * easy.cast("int")
-    shown = lambda words, n: F.concat(F.lit("["), F.array_join(F.slice(words, 1, n), ", "), F.lit("]"))
+    shown = lambda words, n: F.concat(F.lit("["), F.array_join(F.transform(F.slice(words, 1, n), X.quoted), ", "), F.lit("]"))
     rows = rows.withColumn("relevance_score", points)
+    bonus = repr(profile.easy_apply_bonus)
     reason = F.concat_ws(
-        "; ", F.concat(F.lit("score="), F.format_string("%.1f", F.col("relevance_score"))), F.concat(F.lit("include="), shown(found_keywords(low, profile.include_keywords), 6)), F.concat(F.lit("exclude="), shown(found_keywords(low, profile.exclude_keywords), 6)),
-        F.concat(F.lit("required_skills="), shown(F.array_sort(need), 8)), F.concat(F.lit("matched_skills="), shown(F.array_sort(matched), 8)), F.concat(F.lit("missing_skills="), shown(F.array_sort(missing), 8)),
-        F.concat(F.lit("easy_apply="), easy.cast("string")), F.concat(F.lit("easy_apply_bonus="), F.when(easy, F.lit(profile.easy_apply_bonus)).otherwise(0.0).cast("string")),
+        "; ", F.concat(F.lit("score="), X.one_decimal(F.col("relevance_score"))), F.concat(F.lit("include="), shown(found_keywords(low, profile.include_keywords), 6)), F.concat(F.lit("exclude="), shown(found_keywords(low, profile.exclude_keywords), 6)),
+        F.concat(F.lit("required_skills="), shown(F.array_sort(F.transform(need, X.skill_key)), 8)), F.concat(F.lit("matched_skills="), shown(F.array_sort(matched), 8)), F.concat(F.lit("missing_skills="), shown(F.array_sort(missing), 8)),
+        F.concat(F.lit("easy_apply="), F.when(easy, "True").otherwise("False")), F.concat(F.lit("easy_apply_bonus="), F.when(easy, bonus).otherwise("0")),
     )
     return rows.withColumn("relevance_reason", reason).drop("_low", "_need")
 
@@ -76,13 +87,13 @@ def job_text() -> Column:
     return F.concat_ws("\n", X.present(F.col("title")), X.present(F.col("company")), X.present(F.col("raw_text")))
 
 
-def apply_relevance(jobs: DataFrame, profile: Profile, prune: bool = False, probe: Column | None = None) -> DataFrame:
+def apply_relevance(jobs: DataFrame, profile: Profile, prune: bool = False, probe: Column | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """Jobs scored anew by title, company and raw text; rows judged by hand keep what they have. With `prune` those that aren't
     relevant go."""
     manual = X.present(F.col("relevance_reason")).isin(*MANUAL)
     old = {c: F.col(c) for c in ("relevance_score", "relevant", "relevance_reason")}
     kept = jobs.withColumn("_old", F.struct(*old.values())).withColumn("_manual", manual)
-    kept = scored(kept, profile, job_text(), F.col("source"), F.col("position_link"), probe)
+    kept = scored(kept, profile, job_text(), F.col("source"), F.col("position_link"), probe, patterns)
     kept = kept.withColumn("relevant", (F.col("relevance_score") >= profile.min_score).cast("int"))
     for c in old:
         kept = kept.withColumn(c, F.when(F.col("_manual"), F.col(f"_old.{c}")).otherwise(F.col(c)))
@@ -90,9 +101,9 @@ def apply_relevance(jobs: DataFrame, profile: Profile, prune: bool = False, prob
     return out.where("category <> 'not relevant'") if prune else out
 
 
-def rescore(jobs: DataFrame, profile: Profile, ids: Column) -> DataFrame:
+def rescore(jobs: DataFrame, profile: Profile, ids: Column, patterns: DataFrame | None = None) -> DataFrame:
     """The jobs that `ids` holds for scored anew, whatever was judged by hand; one applied for is relevant."""
-    fresh = scored(jobs.where(ids), profile, job_text(), F.col("source"), F.col("position_link"))
+    fresh = scored(jobs.where(ids), profile, job_text(), F.col("source"), F.col("position_link"), patterns=patterns)
     relevant = ((F.col("relevance_score") >= profile.min_score) | (F.coalesce("applied", F.lit(0)) == 1)).cast("int")
     fresh = fresh.withColumn("relevant", relevant).withColumn("category", F.when(F.col("relevant") == 1, "relevant").otherwise("not relevant"))
     return jobs.where(~F.coalesce(ids, F.lit(False))).unionByName(fresh.select(*jobs.columns))
@@ -101,7 +112,7 @@ def rescore(jobs: DataFrame, profile: Profile, ids: Column) -> DataFrame:
 def merge_duplicates(jobs: DataFrame, key: str, rank: Column) -> DataFrame:
     """One row a key, with all columns of `jobs` and `rows`, how many it was made of. The keeper is the best by rank, applied and least
     id; a blank company and title, and a blank or unknown place and work type, are filled from the next best that has one, raw_text is
-    the longest, viewed and applied the highest. Rows with an empty key pass."""
+    the longest, viewed and applied the highest. Rows with an empty key or none pass."""
     order = F.struct((-rank).alias("r"), (-F.coalesce("applied", F.lit(0))).alias("a"), "id")
 
     def first(column: str, usable: Column) -> Column:
@@ -123,10 +134,10 @@ def merge_duplicates(jobs: DataFrame, key: str, rank: Column) -> DataFrame:
     made = {c: v for c, v in made.items() if c in jobs.columns}
     # What isn't merged is the keeper's.
     rest = [c for c in jobs.columns if c not in made and c != key]
-    merged = jobs.where(F.col(key) != "").groupBy(key).agg(F.count("*").alias("rows"), F.min(F.struct(order.alias("o"), F.struct(*rest).alias("v")))["v"].alias("_keeper"), *[v.alias(c) for c, v in made.items()], *[F.min_by(F.col(c), order).alias(f"_own_{c}") for c in made])
+    merged = jobs.where(X.present(F.col(key)) != "").groupBy(key).agg(F.count("*").alias("rows"), F.min(F.struct(order.alias("o"), F.struct(*rest).alias("v")))["v"].alias("_keeper"), *[v.alias(c) for c, v in made.items()], *[F.min_by(F.col(c), order).alias(f"_own_{c}") for c in made])
     # A row alone is left as it is.
     kept = merged.select("rows", key, *[F.when(F.col("rows") == 1, F.col(f"_own_{c}")).otherwise(F.col(c)).alias(c) for c in made], "_keeper.*")
-    alone = jobs.where(F.col(key) == "").withColumn("rows", F.lit(1).cast("long"))
+    alone = jobs.where(X.present(F.col(key)) == "").withColumn("rows", F.lit(1).cast("long"))
     return kept.select("rows", *jobs.columns).unionByName(alone.select("rows", *jobs.columns))
 
 
@@ -164,11 +175,14 @@ def learn_keywords(labelled: DataFrame, stop: tuple[str, ...], limit: int = 20)
     return kinds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("kind", "rank", "token", "delta", "df")
 
 
-def skill_counts(jobs: DataFrame, profile: Profile, weight: Column, limit: int = 20, without: tuple[str, ...] = ()) -> DataFrame:
+def skill_counts(jobs: DataFrame, profile: Profile, weight: Column, limit: int = 20, without: tuple[str, ...] = (), patterns: DataFrame | None = None) -> DataFrame:
     """(skill, occurrences, weight), the most first; ties by name. Skills of the keys of `without` go before the limit."""
-    keys = {skill_key(x) for x in without}
-    found = jobs.select(weight.alias("w"), F.explode(required_skills(F.col("text"), profile.patterns())).alias("skill"))
-    found = found.where(~F.col("skill").isin(*[n for n, _ in profile.patterns() if skill_key(n) in keys]))
+    keys = sorted({skill_key(x) for x in without})
+    if patterns is None:
+        found = jobs.select(weight.alias("w"), F.explode(required_skills(F.col("text"), profile.patterns())).alias("skill"))
+    else:
+        found = P.with_skills(jobs.select("id", "text", weight.alias("w")), "id", F.col("text"), patterns, "_skills").select("w", F.explode("_skills").alias("skill"))
+    found = found.where(~X.skill_key(F.col("skill")).isin(*keys)) if keys else found
     return found.groupBy("skill").agg(F.count("*").alias("occurrences"), F.sum("w").alias("weight")).orderBy(F.desc("weight"), "skill").limit(limit)
 
 
@@ -224,29 +238,3 @@ def line_candidates(docs: DataFrame, back: int = 10) -> DataFrame:
     usable = F.when((F.trim("line") != "") & ~F.lower("line").contains("http"), F.trim("line"))
     frame = Window.partitionBy("id").orderBy("pos").rowsBetween(-back, -1)
     return lines.withColumn("candidates", F.array_join(F.collect_list(usable).over(frame), "|"))
-
-
-def positions(low: Column, pattern: str | Column, width: int | Column) -> Column:
-    """The places, from 0, where a pattern of fixed width stands in a text."""
-    parts = F.split(low, pattern, -1)
-    sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x) + width)
-    none = F.array().cast("array<int>")
-    return F.transform(F.aggregate(sizes, none, lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + n))), lambda end: end - width)
-
-
-def nearest_token(text: Column, needle: Column, tokens: dict[str, tuple[str, ...]], reach: int = 6000, shifts: tuple[int, ...] = (0,)) -> Column:
-    """Which token has a word that stands nearest to a place of the needle (all places of both count; a place may count with `shifts`);
-    of equally near ones the first named; null beyond reach."""
-    low = F.lower(X.present(text))
-    quoted = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    at = F.when(needle != "", positions(low, quoted, F.length(needle)))
-    at = F.flatten(F.transform(at, lambda a: F.array(*[a + d for d in shifts])))
-
-    def nearest(places: Column) -> Column:
-        return F.array_min(F.transform(at, lambda a: F.array_min(F.transform(places, lambda t: F.abs(t - a)))))
-
-    spots = []
-    for i, (name, words) in enumerate(tokens.items()):
-        places = F.concat(*[positions(low, rf"\b{re.escape(w)}\b", len(w)) for w in words])
-        spots.append(F.struct(nearest(places).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("t")))
-    return F.array_min(F.filter(F.array(*spots), lambda s: s["d"] <= reach))["t"]

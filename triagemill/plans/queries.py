@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
-from triagemill.operators import extract
+from triagemill.operators import extract, offsets
 from triagemill.operators import triage as T
 from triagemill.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from triagemill.profile import Profile
@@ -276,7 +276,10 @@ def work_type_by_text(spark, sf):
     SELECT doc_id, CASE WHEN d0 <= 40 AND d0 <= coalesce(d1, d0) THEN 'the' WHEN d1 <= 40 THEN 'and' END AS token FROM m""",
 )
 def nearest_token(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.nearest_token(F.col("text"), F.lit("license"), {"the": ("the",), "and": ("and",)}, 40).alias("token"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = offsets.nearest_token(docs, "doc_id", F.col("text"), F.lit("license"), {"the": ("the",), "and": ("and",)}, 40)
+    return docs.select("doc_id").join(found, "doc_id", "left")
+
 
 @query("unique_word_ratio", "SELECT doc_id, round(len(list_distinct(w))::DOUBLE / len(w), 6) AS ratio FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+') AS w FROM documents) WHERE len(w) >= 45")
 def unique_word_ratio(spark, sf):
@@ -316,4 +319,4 @@ def json_skill_items(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-from triagemill.plans import state_queries  # noqa: E402,F401 - registers its queries beside these
+from triagemill.plans import state_queries, table_queries  # noqa: E402,F401 - register their queries beside these

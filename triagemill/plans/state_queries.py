@@ -5,6 +5,8 @@ with fields made of its id, by expressions that both engines read."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from triagemill.operators import extract, skills, state
 from triagemill.operators import triage as T
 from triagemill.plans.registry import query, table
 from triagemill.profile import Profile
+from triagemill.scratch import shared_folder
 
 #: (link, written anew, provider, is a job link); # is a number of 12 digits.
 LINKS = (
@@ -250,7 +253,7 @@ _UPSERT_SQL = f"""{_JOBS_SQL}, k AS (SELECT *, {_KEY} AS mkey FROM jobs), e AS (
 
 @query(
     "upsert_jobs",
-    f"""WITH {_UPSERT_SQL}, b AS (SELECT id, source, title_english, place, work_type, raw_text, viewed, applied, mkey FROM e UNION ALL SELECT id + (SELECT max(id) FROM e), source, '', place, work_type, raw_text, 0, 0, mkey FROM p WHERE target IS NULL AND turn = 1),
+    _AFTER := f"""WITH {_UPSERT_SQL}, b AS (SELECT id, source, title_english, place, work_type, raw_text, viewed, applied, mkey FROM e UNION ALL SELECT row_number() OVER (ORDER BY id) + (SELECT max(id) FROM e), source, '', place, work_type, raw_text, 0, 0, mkey FROM p WHERE target IS NULL AND turn = 1),
     g AS (SELECT mkey, min(id) AS goal FROM b WHERE mkey <> '' GROUP BY mkey),
     c AS (SELECT mkey, arg_max(source, id) AS s, arg_min(place, id) FILTER (place NOT IN ('', 'Unknown')) AS p0, arg_max(place, id) FILTER (place <> '') AS p1, arg_min(work_type, id) FILTER (work_type NOT IN ('', 'Unknown')) AS w0, max(length(raw_text)) AS n FROM p WHERE target IS NOT NULL OR turn > 1 GROUP BY mkey),
     j AS (SELECT b.*, c.*, g.goal FROM b LEFT JOIN g ON b.id = g.goal LEFT JOIN c ON g.mkey = c.mkey)
@@ -262,6 +265,17 @@ def upsert_jobs(spark, sf):
     return after.select("id", "source", "title_english", "place", "work_type", F.length("raw_text").cast("long").alias("n_raw"), "viewed", "applied")
 
 
+@query("upsert_buckets", _AFTER)
+def upsert_buckets(spark, sf):
+    """The same by a table of 64 buckets, of which the batch's alone are written again."""
+    jobs, incoming = _batch(spark, sf)
+    path = f"{shared_folder(spark)}/triagemill/jobs-{uuid.uuid4().hex}"
+    state.write_buckets(jobs, path, 64)
+    state.upsert_buckets(spark, path, incoming, _now(), 64)
+    after = state.read_buckets(spark, path)
+    return after.select("id", "source", "title_english", "place", "work_type", F.length("raw_text").cast("long").alias("n_raw"), "viewed", "applied")
+
+
 def _batch(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows = job_table(spark, sf)
     return rows.where("id % 4 = 0"), rows.where("id % 4 <> 0").select(F.col("id").alias("ord"), (F.col("id") % 9).alias("file"), "source", "company", "title", "place", "work_type", "position_link", "raw_text")
@@ -392,7 +406,7 @@ def rescore_jobs(spark, sf):
     return T.rescore(job_table(spark, sf), profile, F.col("id") % 2 == 0).select("id", F.round("relevance_score", 6).alias("score"), "relevant")
 
 
-@query("relevance_reason", "SELECT c_custkey, 'score=' || CASE WHEN c_custkey % 2 = 0 THEN '2.9' ELSE '1.6' END || '; include=[' || CASE WHEN c_custkey % 2 = 0 THEN 'data, engineer' ELSE 'data' END || ']; exclude=[]; required_skills=[data, sql]; matched_skills=[sql]; missing_skills=[data]; easy_apply=' || CASE WHEN c_custkey % 2 = 0 THEN 'true; easy_apply_bonus=0.75' ELSE 'false; easy_apply_bonus=0.0' END AS reason FROM customer")
+@query("relevance_reason", "SELECT c_custkey, 'score=' || CASE WHEN c_custkey % 2 = 0 THEN '2.9' ELSE '1.6' END || '; include=[' || CASE WHEN c_custkey % 2 = 0 THEN '''data'', ''engineer''' ELSE '''data''' END || ']; exclude=[]; required_skills=[''data'', ''sql'']; matched_skills=[''sql'']; missing_skills=[''data'']; easy_apply=' || CASE WHEN c_custkey % 2 = 0 THEN 'True; easy_apply_bonus=0.75' ELSE 'False; easy_apply_bonus=0' END AS reason FROM customer")
 def relevance_reason(spark, sf):
     profile = Profile(include_keywords=("data", "engineer"), exclude_keywords=("###",), user_skills=("sql",), known_skill_patterns=(("sql", "sql"), ("data", "data")), include_weight=0.55)
     even = F.col("c_custkey") % 2 == 0

@@ -15,6 +15,32 @@ STOP_WORDS = (
 )
 
 
+#: The skills that are known from the start, and what tells each of them in a text.
+KNOWN_SKILL_PATTERNS = (
+    ("Python", r"\bpython\b"),
+    ("SQL", r"\bsql\b|\bpostgres(?:ql)?\b|\bmysql\b|\bsqlite\b"),
+    ("Java", r"\bjava\b"),
+    ("JavaScript", r"\bjavascript\b|\bjs\b"),
+    ("TypeScript", r"\btypescript\b|\bts\b"),
+    ("C#", r"\bc#\b|\bdotnet\b|\.net\b"),
+    ("C++", r"\bc\+\+\b"),
+    ("Go", r"\bgolang\b|\bgo\b"),
+    ("Rust", r"\brust\b"),
+    ("Docker", r"\bdocker\b"),
+    ("Kubernetes", r"\bkubernetes\b|\bk8s\b"),
+    ("AWS", r"\baws\b|\bamazon web services\b"),
+    ("Azure", r"\bazure\b"),
+    ("Git", r"\bgit\b"),
+    ("Linux", r"\blinux\b|\bunix\b"),
+    ("REST APIs", r"\brest\b|\bapi(?:s)?\b"),
+    ("CI/CD", r"\bci/cd\b|\bcicd\b|\bcontinuous integration\b|\bcontinuous delivery\b"),
+    ("Data Engineering", r"\bdata engineering\b|\betl\b|\belt\b"),
+    ("Machine Learning", r"\bmachine learning\b|\bml\b|\bai\b"),
+    ("Communication", r"\bcommunication\b|\bcommunicate\b"),
+    ("Team Collaboration", r"\bcollaboration\b|\bteam player\b|\bteamwork\b"),
+)
+
+
 @dataclass(frozen=True)
 class Profile:
     """The fixed default values, overlaid by `load` with a caller's. A pattern of the profile is (name, regular expression)."""
@@ -26,7 +52,7 @@ class Profile:
     user_skills: tuple[str, ...] = ()
     blocked_skills: tuple[str, ...] = ()
     missing_skills_suggestions: tuple[str, ...] = ()
-    known_skill_patterns: tuple[tuple[str, str], ...] = ()
+    known_skill_patterns: tuple[tuple[str, str], ...] = KNOWN_SKILL_PATTERNS
     min_score: float = 2.0
     skill_match_weight: float = 1.2
     skill_missing_penalty: float = 0.15

@@ -137,8 +137,9 @@ class App:
             raise LookupError("job id not found or job is not applied")
         jobs = state.append_text(jobs, self.store.spark.createDataFrame([(number, text)], "id long, text string"), now)
         jobs = commands.describe(jobs, now, candidates=jobs.where(own))
-        profile = state.profile_with_patterns(self.profile(), self.store.read("skill_patterns"))
-        self.store.commit({"jobs": T.rescore(jobs, profile, own), "job_skills": state.clear_job(self.store.read("job_skills"), number)}, base)
+        profile = self.profile()
+        patterns = state.pattern_table(self.store.read("skill_patterns"), profile)
+        self.store.commit({"jobs": T.rescore(jobs, profile, own, patterns), "job_skills": state.clear_job(self.store.read("job_skills"), number)}, base)
         self._learn()
         return {"job_id": number, "manual_text_added": True}
 
