@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
 from triagemill.operators.offsets import work_types
+from triagemill.scratch import cut
 from triagemill.sources.anchors import anchors
 
 FIELDS = ("title", "company", "place", "work_type", "raw_text")
@@ -146,7 +147,8 @@ _GOOGLE, _DANFOSS, _DEMANT, _JOBINDEX, _CARD = range(len(EXTRACTORS))
 
 def by_site(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """The fields of all extractors, with `_rank`, the number of the extractor."""
-    found = links(pages, key, html)
+    # Pages are parsed once for all extractors.
+    found = cut(links(pages, key, html))
     return reduce(DataFrame.unionByName, [f(found, key).withColumn("_rank", F.lit(i)) for i, f in enumerate(EXTRACTORS)])
 
 

@@ -5,6 +5,7 @@ the library; a caller passes one (a summariser, a translator, a language detecto
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,18 +36,37 @@ def letters(c: Column) -> Column:
     return F.length(F.regexp_replace(X.present(c), r"[^\p{L}]", ""))
 
 
-def pieces(text: str, limit: int = CHUNK) -> list[str]:
-    """Paragraphs, sentences and words put together up to the limit; a longer word stands alone. Order is kept."""
+def _packed(parts: list[str], limit: int) -> list[str]:
+    """Parts put together up to the limit; a longer one stands alone."""
     out: list[str] = []
-    for paragraph in filter(None, (p.strip() for p in text.split("\n"))):
-        held = ""
-        for word in paragraph.split():
-            if held and (len(held) + 1 + len(word) > limit or (len(held) > limit // 2 and held[-1] in ".!?")):
-                out.append(held)
-                held = ""
-            held = f"{held} {word}" if held else word
-        if held:
-            out.append(held)
+    for part in parts:
+        if out and len(out[-1]) + 1 + len(part) <= limit:
+            out[-1] += " " + part
+        else:
+            out.append(part)
+    return out
+
+
+def pieces(text: str, limit: int = CHUNK) -> list[str]:
+    """What a translator gets of a text: its paragraphs; of longer ones their sentences, put together up to the limit; of longer sentences
+    their words. Words that fill a piece come before the sentences that were being put together, which come before the last words."""
+    text, out = text.replace("\r\n", "\n").replace("\r", "\n").strip(), []
+    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n+", text))):
+        if len(paragraph) <= limit:
+            out.append(paragraph)
+            continue
+        waiting: list[str] = []
+        for sentence in filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", paragraph))):
+            if len(sentence) <= limit:
+                waiting.append(sentence)
+                *full, last = _packed(waiting, limit)
+                out += full
+                waiting = [last]
+                continue
+            *full, last = _packed(sentence.split(), limit)
+            out += [*full, *waiting, last]
+            waiting = []
+        out += waiting
     return out
 
 
@@ -59,7 +79,7 @@ def translated(factory: Factory, limit: int = CHUNK) -> Factory:
         def run(texts: list[str]) -> list[str]:
             parts = [pieces(t, limit) for t in texts]
             answers = iter(model([p for ps in parts for p in ps]))
-            return [" ".join(next(answers) for _ in ps) for ps in parts]
+            return ["\n\n".join(next(answers) for _ in ps).strip() for ps in parts]
 
         return run
 

@@ -10,6 +10,7 @@ on the text in small letters, without regard to case; a pattern that it can't re
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -175,10 +176,10 @@ class Matcher:
         return sorted(out)
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
-def _shared(number: int, patterns: list[str]) -> Matcher:
+def _shared(number: str, patterns: list[str]) -> Matcher:
     """One automaton a worker and broadcast."""
     if number not in _matchers:
         _matchers.clear()
@@ -195,7 +196,7 @@ def _by_broadcast(rows: DataFrame, text: Column, patterns: DataFrame) -> DataFra
     # As many as the caller has checked.
     listed = [(r.name, r.pattern) for r in patterns.orderBy("ord", "pid").select("name", "pattern").collect()]
     shared = spark.sparkContext.broadcast(listed)
-    number = shared.id if hasattr(shared, "id") else id(shared)
+    number = uuid.uuid4().hex
     inside = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,9 +143,13 @@ def ingest(jobs: DataFrame, entries: DataFrame, now: Column) -> tuple[DataFrame,
     without a link are neither found nor taken."""
     entries = entries.where(X.present(F.col("position_link")) != "")
     out, outcomes = upsert(jobs, entries, now)
+    return out, counted(entries, outcomes)
+
+
+def counted(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(file, found, inserted_new, skipped_existing) of a batch's entries (file, ord) and what became of them."""
     new = F.col("outcome") == "inserted"
-    counted = entries.select("file", "ord").join(outcomes, "ord").groupBy("file").agg(F.count("*").alias("found"), F.count_if(new).alias("inserted_new"), F.count_if(~new).alias("skipped_existing"))
-    return out, counted
+    return entries.select("file", "ord").join(outcomes, "ord").groupBy("file").agg(F.count("*").alias("found"), F.count_if(new).alias("inserted_new"), F.count_if(~new).alias("skipped_existing"))
 
 
 def set_fields(jobs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

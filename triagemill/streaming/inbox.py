@@ -9,9 +9,10 @@ from triagemill.operators.triage import EFFECTS, REGISTERS, judged
 from triagemill.sources.mail import parse_file
 
 
-def inbox(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of parsed files."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
+def inbox(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """A stream of parsed files, so many of them a batch at most."""
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files)
+    files = source.load(folder)
     files = files.where(F.lower("path").rlike(r"\.(html|htm|eml)$"))
     return files.select("path", "modificationTime", parse_file("path", "content").alias("p")).select("path", "modificationTime", "p.*").where("text IS NOT NULL")
 
