@@ -53,7 +53,7 @@ def jobs_of(spark, folder):
 def test_process_inbox(spark, folder):
     found = jobs_of(spark, folder)
     assert (found["7"].title, found["7"].company, found["7"].place, found["7"].work_type, found["7"].source) == ("Data Engineer 7", "Acme Group", "Aarhus, Denmark", "Remote", "LinkedIn")
-    assert found["7"].relevant == 1 and found["7"].relevance_score == pytest.approx(1.5 * 2 + 1.2) and "matched_skills=[python]" in found["7"].relevance_reason
+    assert found["7"].relevant == 1 and found["7"].relevance_score == pytest.approx(1.5 * 2 + 1.2) and "matched_skills=['python']" in found["7"].relevance_reason
     assert (found["9"].title, found["9"].company, found["9"].category) == ("Nurse", "Danfoss", "not relevant") and found["7"].description
     assert not (folder / "inbox" / "a.eml").exists()
     page = (folder / "out" / "report.html").read_text()
@@ -170,3 +170,26 @@ def test_the_rest_stands_without_the_corpus_folders(tmp_path):
         said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(x.startswith('op') for x in e.queries()), 'pipeline' in e.queries())"], cwd=copy, capture_output=True, text=True)
         n, n_sql, corpus, there = said.stdout.split()
         assert int(n) >= 71 and int(n_sql) >= 60 and corpus == "0" and there == "False", said.stderr
+
+
+def test_one_run_learns_skills_titles_and_patterns(spark, tmp_path, monkeypatch):
+    (tmp_path / "inbox").mkdir()
+    for i, name in enumerate(("Sygeplejerske", "Pilot", "Kok")):
+        (tmp_path / "inbox" / f"{i}.eml").write_bytes(f'Subject: Jobs\nContent-Type: text/html\n\n<p><a href="https://jobs.danfoss.com/job/{i}">{name}</a></p>'.encode())
+    answer = '{"matched_known": ["Python"], "new_candidates": []}'
+    # Of the skills' model every job asks for Python and for something new.
+    monkeypatch.setitem(commands.MODELS, "skills", lambda: lambda texts: [answer if "Kok" in t else "Python, COBOL" for t in texts])
+    monkeypatch.setitem(commands.MODELS, "translate", lambda: lambda texts: ["Nurse" if "Syge" in t else t for t in texts])
+    store, profile = Store(spark, str(tmp_path / "db")), Profile(include_keywords=("sygeplejerske", "pilot", "kok"), exclude_keywords=(), min_score=1.0)
+    counted = commands.process_inbox(spark, store, str(tmp_path / "inbox"), profile)
+    assert counted.count() == 3
+    jobs = {r.title: r for r in store.read("jobs").collect()}
+    assert {t: r.title_english for t, r in jobs.items()} == {"Sygeplejerske": "Nurse", "Pilot": "", "Kok": ""} and all(r.relevant for r in jobs.values())
+    assert sorted(r.id for r in jobs.values()) == [1, 2, 3]
+    found = {r.job_id: r.skills for r in state.job_skills(store.read("job_skills"), store.read("skill_patterns")).collect()}
+    assert all("python" in [s.lower() for s in found[r.id]] for r in jobs.values())
+    python = store.read("skill_patterns").where("name_key = 'python'").first()
+    assert (python.occurrences, python.weight, python.enabled) == (3, 3.0, 1)
+    # Blocked or unwanted ones go by one join.
+    patterns, links = state.delete_skills(store.read("skill_patterns"), store.read("job_skills"), spark.createDataFrame([("PYTHON",), ("none",)], "name string"))
+    assert patterns.where("name_key = 'python'").count() == 0 and links.count() == store.read("job_skills").count() - 3

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
-from triagemill.operators import extract, models, skills, state
+from triagemill.operators import extract, learning, models, skills, state
 from triagemill.operators import triage as T
 from triagemill.plans import report
 from triagemill.profile import Profile, unique
+from triagemill.scratch import cut, numbered
 from triagemill.sources import mail, pages
 from triagemill.store import Store
 
@@ -58,20 +59,23 @@ def save_profile(path: str, profile: Profile) -> None:
 
 def process_inbox(spark: SparkSession, store: Store, folder: str, profile: Profile, now=None, prune: bool = False, limit: int = 0, entry_transform: Callable[[DataFrame], DataFrame] | None = None, progress: Callable[[str], None] = print) -> DataFrame:
     """Files of a folder taken into the store: parsed, read for postings, changed by `entry_transform`, merged, cleaned, scored and
-    described. Returns (file, found, inserted_new, skipped_existing). One commit holds all of it."""
+    described; their skills, English titles and new patterns are learned. Returns (file, found, inserted_new, skipped_existing). One commit holds all of it."""
     now, base = F.current_timestamp() if now is None else now, store.version()
     docs = mail.load_files(spark, folder)
-    docs = docs.orderBy("path").limit(limit) if limit else docs
+    docs = cut(docs.orderBy("path").limit(limit) if limit else docs)
     entries = extract.job_entries(docs, "path").withColumnsRenamed({"link": "position_link", "path": "file"})
     entries = entry_transform(entries) if entry_transform else entries
-    # The order of arrival is that of digests, which no task has to count; 52 bits leave room for ids after the largest.
-    entries = entries.withColumn("ord", F.xxhash64("file", "position_link").bitwiseAND(F.lit((1 << 52) - 1)) + 1)
-    jobs, counted = state.ingest(state.clean(store.read("jobs"), now), entries, now)
-    patterns = state.seed_patterns(store.read("skill_patterns"), profile, now)
-    jobs = T.apply_relevance(state.clean(jobs, now), profile, prune, patterns=state.pattern_table(patterns, profile))
-    jobs = describe(jobs, now)
-    counted = spark.createDataFrame(counted.collect(), counted.schema)
-    store.commit({"jobs": jobs, "skill_patterns": patterns}, base)
+    # The order of arrival is that of files and links.
+    entries = numbered(entries, [F.col("file"), F.col("position_link")], "ord")
+    jobs, counted = state.ingest(cut(state.clean(store.read("jobs"), now)), entries, now)
+    # Made once, with one time, for the counts and for the commit.
+    jobs, counted = cut(state.clean(jobs, now)), cut(counted)
+    patterns = cut(state.seed_patterns(store.read("skill_patterns"), profile, now))
+    jobs = cut(T.apply_relevance(jobs, profile, prune, patterns=state.pattern_table(patterns, profile)))
+    patterns, linked = map(cut, learning.take_skills(jobs, patterns, store.read("job_skills"), profile, now, MODELS.get("skills")))
+    jobs = cut(describe(learning.english_titles(jobs, now, MODELS.get("translate")), now))
+    patterns = learning.learn(jobs, patterns, linked, profile, now, MODELS.get("skills"))
+    store.commit({"jobs": jobs, "skill_patterns": patterns, "job_skills": linked}, base)
     for r in counted.orderBy("file").limit(200).collect():
         progress(f"{r.file}: found {r.found}, new {r.inserted_new}, known {r.skipped_existing}")
     return counted
@@ -217,13 +221,11 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.command == "cleanup-skills":
         base, patterns, linked = store.version(), store.read("skill_patterns"), store.read("job_skills")
         gone = skills.cleanup_candidates(patterns, profile)
-        gone = (gone.limit(a.limit) if a.limit else gone).collect()
-        for r in gone:
+        gone = cut(gone.limit(a.limit) if a.limit else gone)
+        for r in gone.orderBy(F.desc("occurrences"), F.desc("weight"), "name").toLocalIterator():
             print(f"{r.name}: {r.reason} ({r.occurrences})")
         if not a.dry_run:
-            for r in gone:
-                patterns, linked = state.delete_skill(patterns, linked, r.name)
-            store.commit({"skill_patterns": patterns, "job_skills": linked}, base)
+            store.commit(dict(zip(("skill_patterns", "job_skills"), state.delete_skills(patterns, linked, gone.select("name")))), base)
     elif a.command == "dedupe-jobs":
         base = store.version()
         merged = T.merge_cross_source(store.read("jobs"))

@@ -262,9 +262,14 @@ def clear_job(links: DataFrame, job_id: int) -> DataFrame:
 
 
 def delete_skill(patterns: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    gone = X.skill_key(F.col("name")) == " ".join(name.lower().split())
-    ids = patterns.where(gone).select(F.col("id").alias("skill_id"))
-    return patterns.where(~gone), links.join(ids, "skill_id", "left_anti").select(*links.columns)
+    return delete_skills(patterns, links, patterns.sparkSession.createDataFrame([(name,)], "name string"))
+
+
+def delete_skills(patterns: DataFrame, links: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns and links without the skills of `names` (name), whatever their number, by one join each."""
+    keys = names.select(X.skill_key(F.col("name")).alias("_key")).distinct()
+    gone = patterns.withColumn("_key", X.skill_key(F.col("name"))).join(keys, "_key", "left_semi").select(F.col("id").alias("skill_id"))
+    return patterns.withColumn("_key", X.skill_key(F.col("name"))).join(keys, "_key", "left_anti").select(*patterns.columns), links.join(gone, "skill_id", "left_anti").select(*links.columns)
 
 
 def skills_tab(patterns: DataFrame, profile: Profile) -> DataFrame:
