@@ -190,6 +190,13 @@ def test_perfect_hash():
     assert n.tolist() == [k + 1 for k in keep.tolist()] and sorted(keep.tolist()) == list(range(pairs.shape[1]))
 
 
+def test_packing_deals_equal_rows_over_parts(spark):
+    docs = spark.createDataFrame([(None, "one and the same text here", "en", "s", 1, "c", 1)] * 3000, SCHEMA).repartition(3)
+    parts = packing.pack(docs, shard_docs=250).groupBy((F.col("sequence_id") / (1 << packing.SEQUENCE_BITS)).cast("long").alias("part")).agg(F.count("*").alias("n"))
+    found = [r.n for r in parts.collect()]
+    assert sum(found) >= 3000 and len(found) >= 8 and max(found) < 1000
+
+
 def test_packing_round_trip(docs, rows):
     tok = packing.tokenizer()
     pieces = collections.defaultdict(list)

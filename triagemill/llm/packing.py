@@ -220,7 +220,7 @@ def pack(docs: DataFrame, files: tuple[str, str, str] | None = None, window: int
     corpus = statistics(coded)
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
     buckets = max(1, -(-coded.count() // shard_docs))
-    bucketed = coded.withColumn("bucket", F.pmod(F.xxhash64("near"), F.lit(buckets)).cast("int"))
+    bucketed = coded.withColumn("bucket", F.pmod(F.xxhash64("near"), F.lit(buckets)).cast("int")).withColumn("at", F.monotonically_increasing_id())
     # Buckets with too many documents (a large group of copies) are split; there are no more of these than buckets.
     split = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_docs).select("bucket", F.ceil(F.col("n") / shard_docs).cast("int").alias("ways"))
     split = materialize(split, "packing-split")
@@ -231,7 +231,8 @@ def pack(docs: DataFrame, files: tuple[str, str, str] | None = None, window: int
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     split = split.withColumn("first", F.lit(buckets) + F.coalesce(F.sum("ways").over(before), F.lit(0)))
     dealt = bucketed.join(small(split, buckets), "bucket", "left")
-    place = F.xxhash64(F.col("doc_id"), F.xxhash64("rest"), F.lit("split"))
+    # Rows alike in id and text are told apart by their places in the written table.
+    place = F.xxhash64(F.col("doc_id"), F.xxhash64("rest"), F.col("at"))
     dealt = dealt.withColumn("part", F.when(F.col("ways").isNotNull(), F.col("first") + F.pmod(place, F.col("ways"))).otherwise(F.col("bucket")).cast("long"))
 
     def shard(key: tuple, rows: pa.Table) -> pa.Table:
