@@ -1,5 +1,6 @@
 """Patterns as a table, nearest tokens, upserts by buckets, table functions and formats."""
 
+import collections
 import random
 import re
 import time
@@ -15,6 +16,7 @@ from triagemill.operators import patterns as P
 from triagemill.operators import triage as T
 from triagemill.profile import Profile
 from triagemill.scratch import numbered
+from triagemill.sources import fetching
 from triagemill.sources.anchors import outline
 
 
@@ -182,3 +184,42 @@ def test_pieces_of_a_text():
     # Words that fill a piece come before the sentences that wait, and these before the last words.
     assert models.pieces("Hi. aaaa bbbb cccc dddd", 10) == ["aaaa bbbb", "Hi.", "cccc dddd"]
     assert models.pieces("", 10) == [] and models.pieces("w" * 30, 10) == ["w" * 30]
+
+
+def test_each_link_is_fetched_once_and_at_its_hosts_pace(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def stub(link):
+        import time
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(f"{time.time()} {link}")
+        if link.endswith("flaky") and sum(link in p.read_text() for p in log.iterdir()) < 2:
+            raise OSError("later")
+        return None if link.endswith("gone") else ("text/html", f"<p>page of {link}</p>".encode())
+
+    links = [f"https://h{h}.dk/{i}" for h in range(3) for i in range(8)] + ["https://h1.dk/flaky", "https://h2.dk/gone", "ftp://x", None]
+    rows = spark.createDataFrame([(x,) for x in [*links, *links]], "link string")
+    cache = str(tmp_path / "pages")
+    for extra in ([], ["https://h0.dk/new"]):
+        asked = rows.unionByName(spark.createDataFrame([(x,) for x in extra], "link string"))
+        got = {r.link: (bytes(r.body).decode(), r.ok) for r in fetching.fetch_new(asked, stub, cache, per_second=5.0, tries=3, tasks=2, rest=0.1).collect()}
+        assert set(got) == {x for x in [*links, *extra] if x and x.startswith("http")}
+        assert all(ok == (not x.endswith("gone")) and (not ok or body == f"<p>page of {x}</p>") for x, (body, ok) in got.items())
+    said = sorted((float(t), x) for t, x in (p.read_text().split(" ", 1) for p in log.iterdir()))
+    assert collections.Counter(x for _, x in said) == collections.Counter({**{x: 1 for x in links if x and x.startswith("http")}, "https://h1.dk/flaky": 2, "https://h2.dk/gone": 2, "https://h0.dk/new": 1})
+    for host in ("h0", "h1", "h2"):
+        times = [t for t, x in said if x.startswith(f"https://{host}.")]
+        assert all(b - a > 0.15 for a, b in zip(times, times[1:]))
+
+
+def test_keywords_by_broadcast_and_by_shards(spark):
+    rng = random.Random(8)
+    words = ["c++", "data", "at", "ata", "(x)", "é", "a b", "data data"]
+    texts = ["".join(rng.choice(["data", " ", "C++", "(X)", "É", "a b", "zz"]) for _ in range(rng.randrange(0, 12))) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    keywords = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "keyword string, ord long")
+    expected = {i: [w for _, _, w in sorted((t.lower().find(w), k, w) for k, w in enumerate(words) if w in t.lower())] for i, t in enumerate(texts)}
+    for most in (None, 3):
+        assert {r.id: [x.name for x in r._found] for r in P.find_keywords(rows, "id", F.col("text"), keywords, most).collect()} == expected

@@ -73,7 +73,7 @@ def process_inbox(spark: SparkSession, store: Store, folder: str, profile: Profi
     patterns = cut(state.seed_patterns(store.read("skill_patterns"), profile, now))
     jobs = cut(T.apply_relevance(jobs, profile, prune, patterns=state.pattern_table(patterns, profile)))
     patterns, linked = map(cut, learning.take_skills(jobs, patterns, store.read("job_skills"), profile, now, MODELS.get("skills")))
-    jobs = cut(describe(learning.english_titles(jobs, now, MODELS.get("translate")), now))
+    jobs = cut(describe(learning.english_titles(jobs, now, MODELS.get("translate")), now, cache=f"{store.root}/pages"))
     patterns = learning.learn(jobs, patterns, linked, profile, now, MODELS.get("skills"))
     store.commit({"jobs": jobs, "skill_patterns": patterns, "job_skills": linked}, base)
     for r in counted.orderBy("file").limit(200).collect():
@@ -81,11 +81,11 @@ def process_inbox(spark: SparkSession, store: Store, folder: str, profile: Profi
     return counted
 
 
-def describe(jobs: DataFrame, now, overwrite: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+def describe(jobs: DataFrame, now, overwrite: bool = False, candidates: DataFrame | None = None, cache: str | None = None) -> DataFrame:
     """Jobs with descriptions made for the candidates (by default those without one that nobody has viewed): by a model where there is
     one, checked, or else out of the raw text, which gets its page's text first where pages may be fetched."""
     wanted = state.refresh_candidates(jobs, missing_only=not overwrite, unviewed_only=not overwrite) if candidates is None else candidates
-    rows = pages.fetch_pages(wanted.select("id", "position_link", "title", "raw_text"), "position_link", FETCHER[0] if FETCHER else None)
+    rows = pages.fetch_pages(wanted.select("id", "position_link", "title", "raw_text"), "position_link", FETCHER[0] if FETCHER else None, cache=cache)
     rows = rows.withColumn("raw_text", pages.append_page(F.col("raw_text"), F.col("page_text")))
     rows = models.ask(rows, "raw_text", "_answer", MODELS["summarise"]) if "summarise" in MODELS else rows.withColumn("_answer", F.lit(""))
     answer = X.without_repeats(X.clean_answer_description(F.col("_answer")))
@@ -211,7 +211,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.command == "refresh-descriptions":
         base, jobs = store.version(), store.read("jobs")
         wanted = state.refresh_candidates(jobs, a.category, a.source, links(spark, a.link), tuple(a.job_id), a.limit, not a.overwrite)
-        store.commit({"jobs": describe(jobs, now, candidates=wanted)}, base)
+        store.commit({"jobs": describe(jobs, now, candidates=wanted, cache=f"{store.root}/pages")}, base)
     elif a.command == "sync-user-skills":
         table = state.pattern_table(store.read("skill_patterns"), profile)
         found = skills.skills_of_cv(pages.cv_text(spark, a.cv, a.max_chars), spark, profile, a.limit, table, MODELS.get("skills"))

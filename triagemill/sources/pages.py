@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 from urllib.request import Request, urlopen
 
 import pandas as pd
@@ -10,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
+from triagemill.scratch import shared_folder
+from triagemill.sources.fetching import Fetcher, fetch_new
 from triagemill.sources.mail import parse_html
 
-#: (content type, body) of a link, or None.
-Fetcher = Callable[[str], tuple[str, bytes] | None]
 #: What a page holds whose posting can be applied to with ease, characters kept of a page, seconds, the mark of a page's text.
 EASY_MARK = "public_jobs_apply-link-onsite"
 PAGE_CHARS, TIMEOUT, PAGE_MARK = 3000, 8, "[POSITION_PAGE_CONTEXT"
@@ -33,25 +34,22 @@ def visible_text(html: str, limit: int = PAGE_CHARS) -> str:
     return (f"Easy Apply {text}" if EASY_MARK in html.lower() else text)[:limit]
 
 
-def fetch_pages(rows: DataFrame, link: str, fetcher: Fetcher | None, limit: int = PAGE_CHARS) -> DataFrame:
-    """Adds page_text and easy_apply of each row's link; empty and false where there is no fetcher, no web link, no page or an error."""
+def fetch_pages(rows: DataFrame, link: str, fetcher: Fetcher | None, limit: int = PAGE_CHARS, cache: str | None = None, **options) -> DataFrame:
+    """Adds page_text and easy_apply of each row's link; empty and false where there is no fetcher, no web link, no page or an error. Pages are
+    fetched host by host (see fetching.py), and those that the table `cache` has are not."""
     if fetcher is None:
         return rows.withColumns({"page_text": F.lit(""), "easy_apply": F.lit(False)})
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for target in frame["_link"]:
-                try:
-                    kind, body = fetcher(target) or ("", b"")
-                    html = body.decode("utf-8", errors="ignore") if not kind or "html" in kind.lower() or "text" in kind.lower() else ""
-                    out.append((target, visible_text(html, limit) if html else "", EASY_MARK in html.lower()))
-                except Exception:  # noqa: BLE001 - whatever a site does, the row goes on without its page
-                    out.append((target, "", False))
+            for target, kind, body in zip(frame["link"], frame["kind"], frame["body"]):
+                html = bytes(body).decode("utf-8", errors="ignore") if not kind or "html" in kind.lower() or "text" in kind.lower() else ""
+                out.append((target, visible_text(html, limit) if html else "", EASY_MARK in html.lower()))
             yield pd.DataFrame(out, columns=["_link", "page_text", "_easy"])
 
-    wanted = rows.select(F.col(link).alias("_link")).where(F.lower("_link").rlike("^https?://")).distinct()
-    pages = wanted.mapInPandas(ask, "_link string, page_text string, _easy boolean")
+    kept = cache or f"{shared_folder(rows.sparkSession)}/triagemill/pages-{uuid.uuid4().hex}"
+    pages = fetch_new(rows.select(F.col(link).alias("link")), fetcher, kept, **options).mapInPandas(read, "_link string, page_text string, _easy boolean")
     linkedin = F.lower(X.present(F.col(link))).contains("linkedin.com/")
     joined = rows.join(pages, rows[link] == pages["_link"], "left")
     return joined.withColumns({"page_text": X.present(F.col("page_text")), "easy_apply": linkedin & F.coalesce("_easy", F.lit(False))}).drop("_link", "_easy")
