@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from triagemill.functions import text as X
 from triagemill.functions import urls as U
 from triagemill.operators import patterns as P
-from triagemill.operators import skills, state
+from triagemill.operators import extract, learning, models, skills, state
 from triagemill.operators import triage as T
 from triagemill.plans.registry import query, table
-from triagemill.plans.state_queries import _JOBS_SQL, job_table
+from triagemill.plans.state_queries import _JOBS_SQL, PROFILE, _stored, job_table
 from triagemill.profile import Profile
 
 _WORD = r"[\p{L}\p{N}_]+"
@@ -92,3 +92,96 @@ def default_patterns(spark, sf):
     """The skills known from the start, in a text that names some in other forms."""
     text = F.concat(F.col("n_name"), F.lit(": PYTHON, MySQL and Rust; DotNet, continuous integration. AI!"))
     return table(spark, sf, "nation").select("n_nationkey", F.array_join(T.required_skills(text, _APPLIED.patterns()), ",").alias("skills"))
+
+
+@query("keyword_table", """WITH k AS (SELECT DISTINCT left(lower(text), 6) AS w FROM documents WHERE trim(left(text, 6)) <> ''),
+    f AS (SELECT doc_id, list(w ORDER BY strpos(lower(text), w), w) AS ws FROM documents JOIN k ON contains(lower(text), w) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(len(ws), 0)::INT AS n, md5(coalesce(array_to_string(ws, '|'), '')) AS digest FROM documents d LEFT JOIN f USING (doc_id)""")
+def keyword_table(spark, sf):
+    """The starts of all texts looked for in all texts."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    keywords = docs.select(F.left(F.lower("text"), F.lit(6)).alias("keyword")).where("trim(keyword) <> ''").distinct().withColumn("ord", F.col("keyword"))
+    found = P.find_keywords(docs, "doc_id", F.col("text"), keywords)
+    return found.select("doc_id", F.size("_found").alias("n"), F.md5(F.array_join(F.transform("_found", lambda x: x["name"]), "|")).alias("digest"))
+
+
+def _served(rows, name: str = "id"):
+    """A bounded view as rows, each with the number of those served before it."""
+    return rows.agg(F.collect_list(name).alias("v")).select(F.posexplode("v").alias("above", name)).select(name, F.col("above").cast("long").alias("above"))
+
+
+@query("applied_in_order", f"WITH {_JOBS_SQL} SELECT id, row_number() OVER (ORDER BY viewed, relevance_score DESC, created_at DESC, id) - 1 AS above FROM jobs WHERE applied = 1 ORDER BY above LIMIT 60")
+def applied_in_order(spark, sf):
+    order = (F.asc("viewed"), F.desc("relevance_score"), F.desc("updated_at"), F.asc("id"))
+    return _served(T.ranked(job_table(spark, sf), where=F.col("applied") == 1, order=order, limit=60))
+
+
+@query("company_in_order", f"WITH {_JOBS_SQL} SELECT id, row_number() OVER (ORDER BY applied DESC, relevance_score DESC, created_at DESC, id) - 1 AS above FROM jobs WHERE lower(trim(company)) = 'company 7 a/s' ORDER BY above LIMIT 15")
+def company_in_order(spark, sf):
+    order = (F.desc("applied"), F.desc("relevance_score"), F.desc("updated_at"), F.asc("id"))
+    return _served(T.ranked(job_table(spark, sf), where=F.lower(F.trim("company")) == "company 7 a/s", order=order, limit=15))
+
+
+@query("skills_in_order", "SELECT name, row_number() OVER (ORDER BY name) - 1 AS above FROM (SELECT p_name AS name FROM part UNION SELECT unnest(['sql', 'kafka', 'data', 'spark', 'rust'])) WHERE name <> 'docker' ORDER BY name LIMIT 80")
+def skills_in_order(spark, sf):
+    return _served(state.skills_tab(_stored(spark, sf), PROFILE).limit(80).withColumn("name", F.col("key")), "name")
+
+
+@query("positions_to_learn_from", f"""WITH {_JOBS_SQL}, p AS (SELECT id, CASE WHEN applied = 1 THEN 3 ELSE 1 END AS weight, viewed, relevance_score, created_at FROM jobs WHERE applied = 1 OR category = 'relevant')
+    SELECT id, weight::INT AS weight, row_number() OVER (ORDER BY weight DESC, viewed, relevance_score DESC, created_at DESC, id) - 1 AS above FROM p ORDER BY above LIMIT 180""")
+def positions_to_learn_from(spark, sf):
+    rows = learning.positions(job_table(spark, sf), 180)
+    served = rows.agg(F.collect_list(F.struct("id", "weight")).alias("v")).select(F.posexplode("v").alias("above", "p"))
+    return served.select("p.id", "p.weight", F.col("above").cast("long").alias("above"))
+
+
+@query(
+    "site_entries",
+    """SELECT doc_id, link, title, company, place, source FROM (
+      SELECT doc_id, 'https://careers.demant.com/job/' || doc_id AS link, 'Engineer ' || doc_id AS title, 'Demant Group' AS company, 'Aarhus' AS place, 'Demant' AS source FROM documents
+      UNION ALL SELECT doc_id, 'https://careers.google.com/about/jobs/results/' || doc_id || '-x', 'Dev ' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'DeepThought' ELSE 'Google' END, CASE WHEN doc_id % 2 = 0 THEN 'Zurich' ELSE 'Unknown' END, 'Google Careers' FROM documents
+      UNION ALL SELECT doc_id, 'https://www.jobindex.dk/jobannonce/h' || doc_id, 'Head Cook ' || doc_id, 'Acme', 'Odense', 'Jobindex' FROM documents)""",
+)
+def site_entries(spark, sf):
+    """A page of three sites' listings: a title with its place, a cell with company and place (of every second page), and a table with a longer name
+    of the link, a link off the site, and a place before a travel time."""
+    n = F.col("doc_id").cast("string")
+    cell = F.when(F.col("doc_id") % 2 == 0, " DeepThought – Zurich 3 days ago").otherwise(" 3 days ago")
+    html = F.concat(
+        F.lit('<p><a href="https://careers.demant.com/job/'), n, F.lit('">Engineer '), n, F.lit(" - Aarhus</a></p>"),
+        F.lit('<table><tr><td><a href="https://careers.google.com/about/jobs/results/'), n, F.lit('-x">Dev '), n, F.lit("</a>"), cell, F.lit("</td></tr></table>"),
+        F.lit('<table><tr><td><a href="https://www.jobindex.dk/vis?jobid=h'), n, F.lit('">Apply</a> <a href="https://www.jobindex.dk/jobannonce/h'), n, F.lit('">Head Cook '), n, F.lit("</a> Odense 25 min (settings ) PUBLISHED: today"),
+        F.lit(' <a href="https://acme.dk/">Acme</a></td></tr></table>'),
+    )
+    pages = table(spark, sf, "documents").select("doc_id", html.alias("html"))
+    return extract.entries(pages, "doc_id").select("doc_id", "link", "title", "company", "place", "source")
+
+
+@query("skills_by_model", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'sql|cobol' WHEN 1 THEN 'kafka' WHEN 2 THEN 'sql' ELSE 'cached' END AS skills FROM part")
+def skills_by_model(spark, sf):
+    """By turns: an answer with known and new skills (one without evidence in the text), one that is no JSON, none (the text's own count), and skills
+    that stand already."""
+    def model():
+        told = '{"matched_known": ["SQL", "nothing known"], "new_candidates": [{"name": "COBOL", "confidence": 0.95, "evidence": "cobol"}, {"name": "Fortran", "confidence": 0.99, "evidence": "fortran"}]}'
+        return lambda texts: [told if "cobol" in t else "Kafka, and others" if "plain" in t else "" for t in texts]
+
+    turn = F.col("p_partkey") % 4
+    text = F.concat(F.when(turn == 0, "Required: cobol and SQL. ").when(turn == 1, "plain SQL. ").otherwise("just SQL. "), F.lit("No. "), "p_partkey")
+    cached = table(spark, sf, "part").where("p_partkey % 4 = 3").select(F.col("p_partkey").alias("id"), F.array(F.lit("cached")).alias("skills"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    found = skills.skills_of(rows, "text", PROFILE, model, cached)
+    return found.select(F.col("id").alias("p_partkey"), F.array_join("skills", "|").alias("skills"))
+
+
+@query("translated_texts", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'KAT OG HUND ' || c_custkey WHEN 1 THEN 'cat and dog' ELSE 'og' END AS text FROM customer")
+def translated_texts(spark, sf):
+    """Danish texts are translated, others and very short ones are left."""
+    def detector():
+        return lambda texts: ["da" if "og" in t.split() else "en" for t in texts]
+
+    def translator():
+        return lambda texts: [t.upper() for t in texts]
+
+    turn = F.col("c_custkey") % 3
+    text = F.when(turn == 0, F.concat(F.lit("kat og hund "), "c_custkey")).when(turn == 1, "cat and dog").otherwise("og")
+    return models.translate(table(spark, sf, "customer").select("c_custkey", text.alias("text")), "text", detector, translator)
