@@ -187,6 +187,11 @@ def test_suffix_dedup(spark, sizes, block, monkeypatch):
     assert bag(done.select("doc_id", "_n_bytes", "_n_removed", "_n_spans", F.hex("_kept"))) == expected
     assert done.where("h = 'clash' AND size(_spans) = _n_spans").count() == len(rows)
     assert suffix_dedup.drop_repeats(docs.limit(0), **sizes).count() == 0
+    # Rows with ids of their own alone, whose texts are not hashed.
+    apart = [r for r in rows if r[4] == "clash"]
+    few = spark.createDataFrame(apart, docs.schema).repartition(2)
+    assert suffix_dedup.told_by_id(few) and not suffix_dedup.told_by_id(docs)
+    assert bag(suffix_dedup.drop_repeats(few, **sizes).select("doc_id", "_n_bytes", "_n_removed", "_n_spans", F.hex("_kept"))) == brute_suffix(apart, [r[0] for r in apart])
 
 
 def test_suffix_array():

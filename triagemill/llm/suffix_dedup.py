@@ -101,15 +101,23 @@ def segments_of(texts: pa.Array, anchor: int) -> Iterator[tuple[np.ndarray, ...]
         yield row, h.view(np.int64), g.view(np.int64), first + a - bounds[row], size.astype(np.int32), first + a
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The caller's rows, and the order of documents: rows with an id first, then by id, then by text."""
+def told_by_id(docs: DataFrame) -> bool:
+    """Whether each row has an id of its own, so that texts need not be hashed to tell rows apart."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
+def keyed(docs: DataFrame, by_id: bool = False) -> DataFrame:
+    """The caller's rows, and the order of documents: rows with an id first, then by id, then by text (of which nothing is made if ids tell
+    rows apart)."""
     ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("none"), "text"))
-    return held(docs, F.col("doc_id").isNull().alias("none"), ident.alias("id"), F.xxhash64("text").alias("tie"))
+    return held(docs, F.col("doc_id").isNull().alias("none"), ident.alias("id"), (F.lit(0).cast("long") if by_id else F.xxhash64("text")).alias("tie"))
 
 
-def _once(docs: DataFrame) -> DataFrame:
+def _once(docs: DataFrame, by_id: bool) -> DataFrame:
     """(none, id, tie, text) of each document, rows alike in id and text once."""
-    rows = keyed(docs).select(*_DOC, F.col(f"{HELD}.text").alias("text"))
+    rows = keyed(docs, by_id).select(*_DOC, F.col(f"{HELD}.text").alias("text"))
+    if by_id:
+        return rows
     twice = materialize(rows.groupBy(*_DOC).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-twice")
     n = twice.count()
     if not n:
@@ -221,12 +229,12 @@ def _as_spans(places: DataFrame, kind: int) -> DataFrame:
     return places.select(*_DOC, "start", "size", F.lit(kind).cast("byte").alias("kind"))
 
 
-def repeats(docs: DataFrame, anchors: tuple[int, ...] = ANCHORS, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, by_id: bool, anchors: tuple[int, ...] = ANCHORS, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(none, id, tie, spans): of documents with repeats, what `covered` makes their removed bytes from.
 
     Kind 0 is a span to remove. Of the other kinds, odd ones are places of segments that came up more than once and even ones the first places
     among them, level by level: odd ones without the next even one go whole."""
-    once = _once(docs)
+    once = _once(docs, by_id)
     places = materialize(_cut(once, anchors[0]), "suffix-places")
     seen = places.groupBy("h").agg(F.count("*").alias("n"), ((F.min("g") != F.max("g")) | (F.min("size") != F.max("size"))).alias("parted")).where("n > 1")
     seen = materialize(seen.select("h", "parted"), "suffix-anchors")
@@ -285,8 +293,9 @@ def covered(start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 def drop_repeats(docs: DataFrame, **sizes) -> DataFrame:
     """The rows of `docs`, and `_n_bytes`, `_n_removed`, `_n_spans`, `_spans` (start and size of the removed runs) and `_kept`, the remaining bytes."""
-    spans = repeats(docs, **sizes)
-    joined = keyed(docs).join(spans, _DOC, "left").select(HELD, "spans")
+    by_id = told_by_id(docs)
+    spans = repeats(docs, by_id, **sizes)
+    joined = keyed(docs, by_id).join(spans, _DOC, "left").select(HELD, "spans")
     runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("size", T.LongType())]))
     schema = T.StructType([joined.schema[HELD], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("runs", runs), T.StructField("kept", T.BinaryType())])
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
