@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triagemill.operators import state
 from triagemill.operators import triage as T
+from triagemill.scratch import cut_counted
 from triagemill.streaming import feedback, ingest
 
 MAIL = "Subject: New jobs\nContent-Type: text/html; charset=utf-8\n\n<html><body>{}</body></html>\n"
@@ -120,3 +121,25 @@ def test_learning_again_adds_nothing(spark, tmp_path):
     frame([*first, (3, "2024-01-03", "rust", 3)]).write.mode("append").parquet(folder)
     run()
     assert out == {"sql": (2, 4), "rust": (2, 4)}
+
+
+def test_progress_is_what_was_counted_anyway(spark, tmp_path):
+    import time
+
+    table, said = tmp_path / "jobs", []
+    table.mkdir()
+    listener = ingest.Progress(said.append)
+    spark.streams.addListener(listener)
+    try:
+        mail(tmp_path / "in", "a", range(3))
+        mail(tmp_path / "in", "b", range(2))
+        ingest.follow(spark, str(tmp_path / "in"), str(table), str(tmp_path / "staged"), str(tmp_path / "checkpoint"), 4, files=1).awaitTermination()
+        for _ in range(50):
+            if len(said) >= 2:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [s.split(",")[0] for s in said] == ["batch 0: 1 files", "batch 1: 1 files"]
+    rows, seen = cut_counted(spark.range(10), n=F.count("*"), most=F.max("id"))
+    assert seen == {"n": 10, "most": 9} and rows.count() == 10

@@ -17,7 +17,7 @@ from triagemill.operators import extract, learning, models, skills, state
 from triagemill.operators import triage as T
 from triagemill.plans import report
 from triagemill.profile import Profile, unique
-from triagemill.scratch import cut, numbered
+from triagemill.scratch import cut, cut_counted, numbered
 from triagemill.sources import mail, pages
 from triagemill.store import Store
 
@@ -62,7 +62,8 @@ def process_inbox(spark: SparkSession, store: Store, folder: str, profile: Profi
     described; their skills, English titles and new patterns are learned. Returns (file, found, inserted_new, skipped_existing). One commit holds all of it."""
     now, base = F.current_timestamp() if now is None else now, store.version()
     docs = mail.load_files(spark, folder)
-    docs = cut(docs.orderBy("path").limit(limit) if limit else docs)
+    docs, seen = cut_counted(docs.orderBy("path").limit(limit) if limit else docs, files=F.count("*"), links=F.sum(F.size("links")))
+    progress(f"{seen['files']} files read, {seen['links'] or 0} links")
     entries = extract.job_entries(docs, "path").withColumnsRenamed({"link": "position_link", "path": "file"})
     entries = entry_transform(entries) if entry_transform else entries
     # The order of arrival is that of files and links.

@@ -214,11 +214,19 @@ def plausible_title(candidate: Column, original: Column) -> Column:
     return (text != "") & size & ~holds_any(F.lower(text), TITLE_FAULTS) & (F.size(words) <= most_words) & ~F.coalesce(dull, F.lit(False)) & (F.regexp_count(text, F.lit(r"\.")) < points)
 
 
+#: Labels that a model's answer carries: of a title, of skills, and of a description, which the last follows.
+TITLE_LABELS = (r"(?i)^english\s+title\s*:\s*", r"(?i)^translated\s+title(?:\s+text)?\s*:\s*")
+SKILL_LABELS = (r"\bskills?\s*:\s*", r"\boutput\s*:\s*", r"\bplaintext\b")
+SKILL_BULLETS = (r"\s*[-*]\s*", r"\s*\d+[.)]\s*")
+DESCRIPTION_LABELS = (r"(?is)^.*?\bto be concise\s*:\s*", r"(?i)\bplaintext\b", r"(?i)\bsummary\s*:\s*")
+
+
 def clean_answer_title(c: Column) -> Column:
     """A model's translation of a title, without its label, what it says after it, unclosed brackets and quotes."""
     edge = " \"'`[]()"
     t = F.trim(F.regexp_replace(F.replace(present(c), F.lit("```"), F.lit(" ")), r"\s+", " "))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)^english\s+title\s*:\s*", ""), r"(?i)^translated\s+title(?:\s+text)?\s*:\s*", "")
+    for label in TITLE_LABELS:
+        t = F.regexp_replace(t, label, "")
     t = F.btrim(t, F.lit(edge))
     marks = "|".join(m.replace(" ", r"\s+") for m in ANSWER_ENDS)
     t = F.rtrim(F.regexp_replace(t, rf"(?is)\b(?:{marks})\b.*$", "\x01"), F.lit(_TAIL + "\x01"))
@@ -256,15 +264,20 @@ def description_text(description: Column, raw: Column, limit: int = 280) -> Colu
 def clean_answer_skills(c: Column) -> Column:
     """A model's list of skills as one line, parted by commas."""
     t = F.replace(present(c), F.lit("```"), F.lit(" "))
-    for label in (r"\bskills?\s*:\s*", r"\boutput\s*:\s*", r"\bplaintext\b"):
+    for label in SKILL_LABELS:
         t = F.regexp_replace(t, f"(?i){label}", " ")
-    return compact(F.regexp_replace(F.regexp_replace(t, r"\s*[-*]\s*", ", "), r"\s*\d+[.)]\s*", ", "))
+    for bullet in SKILL_BULLETS:
+        t = F.regexp_replace(t, bullet, ", ")
+    return compact(t)
 
 
 def clean_answer_description(c: Column) -> Column:
     """A model's description as one line, from its last `to be concise` on."""
-    t = F.regexp_replace(F.replace(present(c), F.lit("```"), F.lit(" ")), r"(?is)^.*?\bto be concise\s*:\s*", "")
-    return compact(F.regexp_replace(F.regexp_replace(t, r"(?i)\bplaintext\b", " "), r"(?i)\bsummary\s*:\s*", " "))
+    before, *within = DESCRIPTION_LABELS
+    t = F.regexp_replace(F.replace(present(c), F.lit("```"), F.lit(" ")), before, "")
+    for label in within:
+        t = F.regexp_replace(t, label, " ")
+    return compact(t)
 
 
 def without_repeats(c: Column, most: int = 30, least: int = 5) -> Column:

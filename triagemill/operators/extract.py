@@ -22,6 +22,10 @@ AGO = r"\d+\s+(?:minutes?|hours?|days?|weeks?)\s+ago\b"
 #: What every job link holds, or a tracking link that may hide one.
 LIKELY = r"(?i)jobs?/|jobannonce/|jobid=|[?&][tp]="
 PUBLISHED = r"\s*(.*?)\s*PUBLISHED\s*:"
+#: Where a listing's description stands before its date, how a title carries its place, and a cell its company and place.
+ABOUT = (r"(?i)settings\s*\)" + PUBLISHED, r"(?i)\d+\s+min\s*\(.*?\)" + PUBLISHED)
+TITLE_PLACE = r"^(.+?)\s*-\s*(.+)$"
+COMPANY_PLACE = rf"(?i)^([^–-]{{2,80}}?)\s*[–-]\s*(.+?)(?:\s+{AGO}|$)"
 #: What a mail's line of a posting holds, lines around it that are no part of the posting, words that tell titles,
 #: companies and places, and phrases of LinkedIn's own cards.
 TRIGGER = "view job:"
@@ -112,7 +116,7 @@ def jobindex_entries(found: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumns({"_title": F.left(X.present(longest), F.lit(180)), "_company": F.left(X.present(F.coalesce(off_site, F.col("block_first"))), F.lit(180))})
     quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace("_title", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\s+(.{2,80}?)\s+\d+\s+min\b"))
     place = F.when(F.col("_title") != "", _short(F.call_function("regexp_extract", "block", quoted, F.lit(1)))).otherwise("")
-    first, second = r"(?i)settings\s*\)" + PUBLISHED, r"(?i)\d+\s+min\s*\(.*?\)" + PUBLISHED
+    first, second = ABOUT
     about = F.trim(F.when(F.col("block").rlike(first), F.regexp_extract("block", first, 1)).otherwise(F.regexp_extract("block", second, 1)))
     raw = F.when(about != "", F.concat(about, F.lit("\n\n"), F.left("block", F.lit(2500)))).otherwise(F.col("block"))
     rows = rows.withColumn("link", F.concat(F.lit("https://www.jobindex.dk/jobannonce/"), "_id"))
@@ -121,9 +125,8 @@ def jobindex_entries(found: DataFrame, key: str) -> DataFrame:
 
 def demant_entries(found: DataFrame, key: str) -> DataFrame:
     rows = found.where(U.host(F.col("href")).contains("careers.demant.com") & F.lower("href").contains("/job/") & (F.col("text") != ""))
-    split = r"^(.+?)\s*-\s*(.+)$"
-    title = F.when(F.col("text").rlike(split), F.trim(F.regexp_extract("text", split, 1))).otherwise(F.col("text"))
-    return _last(rows, key, "Demant", title, F.lit("Demant Group"), F.left(F.trim(F.regexp_extract("text", split, 2)), F.lit(180)), F.col("text"))
+    title = F.when(F.col("text").rlike(TITLE_PLACE), F.trim(F.regexp_extract("text", TITLE_PLACE, 1))).otherwise(F.col("text"))
+    return _last(rows, key, "Demant", title, F.lit("Demant Group"), F.left(F.trim(F.regexp_extract("text", TITLE_PLACE, 2)), F.lit(180)), F.col("text"))
 
 
 def danfoss_entries(found: DataFrame, key: str) -> DataFrame:
@@ -135,8 +138,7 @@ def google_entries(found: DataFrame, key: str) -> DataFrame:
     """Entries by the cell around the link: after the title `company – place`, up to the age of the posting."""
     rows = found.where((U.provider(F.col("link")) == "Google Careers") & (F.col("text") != "")).withColumn("_cell", F.left(F.coalesce("cell", "text"), F.lit(2500)))
     rest = F.when(F.startswith("_cell", "text"), F.trim(F.substring("_cell", F.length("text") + 1, F.lit(2500)))).otherwise(F.col("_cell"))
-    form = rf"(?i)^([^–-]{{2,80}}?)\s*[–-]\s*(.+?)(?:\s+{AGO}|$)"
-    rows = rows.withColumns({"_company": _short(F.regexp_extract(rest, form, 1)), "_fits": rest.rlike(form), "_place": _short(F.regexp_extract(rest, form, 2))})
+    rows = rows.withColumns({"_company": _short(F.regexp_extract(rest, COMPANY_PLACE, 1)), "_fits": rest.rlike(COMPANY_PLACE), "_place": _short(F.regexp_extract(rest, COMPANY_PLACE, 2))})
     return _last(rows, key, "Google Careers", F.col("text"), F.when(F.col("_fits"), F.col("_company")).otherwise("Google"), F.col("_place"), F.col("_cell"))
 
 

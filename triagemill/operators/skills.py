@@ -35,6 +35,8 @@ CLEANUP_PHRASES = (
     "into designs to supporting implementation", "into working", "interact efficiently with our services", "more specifically", "not theory", "set by radio communication solutions?", "slows down",
     "software architecture fundamentals", "will design", "will help shape",
 )
+#: Fixed values of the cleanup: characters and words that no skill holds, what its words are made of, and the most of them.
+CLEANUP_MALFORMED, CLEANUP_PRONOUNS, CLEANUP_TOKEN, CLEANUP_MOST = r"[?\[\]{}]", r"\b(?:we|our|you|your|they|them|their)\b", "[a-z0-9+#./-]+", 4
 ITEM = "name string, confidence double, evidence string"
 
 
@@ -45,12 +47,12 @@ def keys_of(names: tuple[str, ...]) -> Column:
 def cleanup_reason(name: Column, source: Column, protected: Column) -> Column:
     """Why a stored skill is none, or empty; `protected`: an array of keys that are left alone, as are the profile's own."""
     key = X.skill_name(name)
-    tokens = F.regexp_extract_all(key, F.lit("[a-z0-9+#./-]+"), F.lit(0))
+    tokens = F.regexp_extract_all(key, F.lit(CLEANUP_TOKEN), F.lit(0))
     first = F.get(tokens, F.lit(0))
     return (
         F.when(key == "", "empty").when(F.array_contains(protected, key) | F.startswith(F.lower(F.trim(X.present(source))), F.lit("profile")), "")
-        .when(key.isin(*CLEANUP_PHRASES), "generic phrase").when(key.rlike(r"[?\[\]{}]"), "malformed text").when(key.rlike(r"\b(?:we|our|you|your|they|them|their)\b"), "sentence fragment")
-        .when(F.size(tokens) == 0, "empty").when(F.size(tokens) > 4, "too many words").when(F.exists(tokens, lambda t: t.isin(*CLEANUP_STOPWORDS)), "contains stopword")
+        .when(key.isin(*CLEANUP_PHRASES), "generic phrase").when(key.rlike(CLEANUP_MALFORMED), "malformed text").when(key.rlike(CLEANUP_PRONOUNS), "sentence fragment")
+        .when(F.size(tokens) == 0, "empty").when(F.size(tokens) > CLEANUP_MOST, "too many words").when(F.exists(tokens, lambda t: t.isin(*CLEANUP_STOPWORDS)), "contains stopword")
         .when(first.isin(*CLEANUP_PREFIXES), "sentence fragment").when((F.size(tokens) == 1) & first.isin(*CLEANUP_SINGLE), "generic term").otherwise("")
     )
 

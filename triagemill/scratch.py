@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,13 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def cut_counted(rows: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """The rows cut, and aggregates of them that were observed as they were written, without another pass."""
+    seen = Observation()
+    out = cut(rows.observe(seen, *[m.alias(n) for n, m in metrics.items()]))
+    return out, seen.get
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """`rows` with `name`, their place from 1 in an order that tells them apart: ranges of the order are numbered alone and offset by the
     rows of the ranges before, of which there is one a partition."""

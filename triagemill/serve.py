@@ -77,7 +77,7 @@ class App:
         parsed = urlparse(target)
         if parsed.path.rstrip("/") == "/company.html":
             company = parse_qs(parsed.query).get("company", [""])[0].strip()
-            return (200, commands.company_page(self.store, company)) if company else (400, "<p>Missing company name.</p>")
+            return (200, commands.company_page(self.store, company)) if company else (400, "<p>Which company? Add its name to the address.</p>")
         page = Path(self.folder) / "report.html"
         if parsed.path.rstrip("/") in ("", "/report.html"):
             if not page.is_file():
@@ -104,7 +104,7 @@ class App:
     def _log(self, body: dict, event: str) -> dict:
         number, base, jobs = int(body["job_id"]) if "job_id" in body else _wrong("job_id is required"), self.store.version(), self.store.read("jobs")
         if jobs.where(F.col("id") == number).isEmpty():
-            raise LookupError("job id not found")
+            raise LookupError("no posting with this number")
         log = self.store.spark.createDataFrame([(number, 1, 1, event)], "job_id long, ts long, event_id long, event string")
         self.store.commit({"jobs": state.set_feedback(jobs, log, F.current_timestamp())}, base)
         return {"job_id": number}
@@ -115,7 +115,7 @@ class App:
     def feedback(self, body: dict) -> dict:
         signal = str(body.get("signal", "")).strip().lower()
         if signal not in ("relevant", "not relevant"):
-            raise ValueError("signal must be 'relevant' or 'not relevant'")
+            raise ValueError("only 'relevant' and 'not relevant' can be told about a posting")
         out = self._log(body, signal.replace(" ", "_"))
         self._learn()
         return out | {"signal": signal}
@@ -134,7 +134,7 @@ class App:
         base, jobs, now = self.store.version(), self.store.read("jobs"), F.current_timestamp()
         own = F.col("id") == number
         if jobs.where(own & (F.col("applied") == 1)).isEmpty():
-            raise LookupError("job id not found or job is not applied")
+            raise LookupError("no posting with this number that was applied for")
         jobs = state.append_text(jobs, self.store.spark.createDataFrame([(number, text)], "id long, text string"), now)
         jobs = commands.describe(jobs, now, candidates=jobs.where(own))
         profile = self.profile()
@@ -182,7 +182,7 @@ def _wrong(message: str):
 
 
 def _flag(body: dict, name: str) -> bool:
-    return body[name] if isinstance(body.get(name), bool) else _wrong(f"{name} must be boolean")
+    return body[name] if isinstance(body.get(name), bool) else _wrong(f"{name} takes true or false")
 
 
 def server(app: App, host: str, port: int) -> ThreadingHTTPServer:
@@ -208,7 +208,7 @@ def server(app: App, host: str, port: int) -> ThreadingHTTPServer:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
             except ValueError:
                 body = None
-            status, answer = app.post(self.path, body) if isinstance(body, dict) else (400, {"ok": False, "error": "body must be a JSON object"})
+            status, answer = app.post(self.path, body) if isinstance(body, dict) else (400, {"ok": False, "error": "send an object as JSON"})
             self._send(status, "application/json", json.dumps(answer))
 
         def log_message(self, *args) -> None:

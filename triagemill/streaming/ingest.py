@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from triagemill.operators import extract, state
 from triagemill.scratch import cut, numbered
@@ -74,3 +74,20 @@ def follow(spark: SparkSession, folder: str, table: str, staged: str, checkpoint
     """Starts the stream from a folder of mails into a table of jobs (see state.write_buckets): what is there now (`once`), or on and on."""
     stream = inbox(spark, folder, files).writeStream.foreachBatch(batch_writer(table, staged, buckets, delete, **writer)).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="10 seconds")).start()
+
+
+class Progress(StreamingQueryListener):
+    """Tells of each micro-batch as it ends, from what the engine has counted anyway."""
+
+    def __init__(self, tell: Callable[[str], None] = print):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.numInputRows:
+            self.tell(f"batch {event.progress.batchId}: {event.progress.numInputRows} files, {event.progress.processedRowsPerSecond:.1f} a second")
+
+    def onQueryTerminated(self, event) -> None:
+        pass
