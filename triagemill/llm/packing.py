@@ -33,6 +33,8 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SHARD_DOCS = 2048
 #: Tokens below this id were merged early, so are frequent; they say little of a document's neighbourhood.
 COMMON_IDS = 1000
+#: A token that so small a part of a shard holds at least has a row of weights; fewer and it is kept as postings.
+COMMON_SHARE = 8
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Bits of a sequence's number within its part; the rest of 63 bits number the parts.
@@ -84,26 +86,34 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def neighbourhood(ids: np.ndarray) -> int:
-    """The min-hash of the rarer tokens: two documents agree on it as often as they share such tokens."""
-    rare = ids[ids >= COMMON_IDS]
-    return int(mix((rare if len(rare) else ids).astype(U64)).min() >> U64(1))
+def neighbourhoods(rests: list[np.ndarray]) -> np.ndarray:
+    """The min-hash of each one's rarer tokens (of all if it has none, 0 if it is empty): two documents agree on it as often as they share
+    such tokens."""
+    out, size = np.zeros(len(rests), np.int64), np.array([len(r) for r in rests], np.int64)
+    held = np.flatnonzero(size)
+    if len(held):
+        flat = np.concatenate(rests)
+        hashes, starts = mix(flat.astype(U64)), (np.cumsum(size) - size)[held]
+        none = ~U64(0)
+        least = np.minimum.reduceat(np.where(flat >= COMMON_IDS, hashes, none), starts)
+        least = np.where(least == none, np.minimum.reduceat(hashes, starts), least)
+        out[held] = (least >> U64(1)).astype(np.int64)
+    return out
 
 
 def tokenized(docs: DataFrame, files: tuple[str, str, str] | None = None, window: int = WINDOW) -> DataFrame:
     """(doc_id, doc_tokens, whole: checksums of whole windows, rest: 16-bit ids, near: the neighbourhood)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tok, total, whole, rest, near = tokenizer(files), [], [], [], []
+        tok, total, whole, rest = tokenizer(files), [], [], []
         closing = np.array([CLOSING_ID], np.uint16)
         for text in batch.column("text").to_pylist():
             ids = np.concatenate([tok.ids(text or ""), closing])
             cut = len(ids) // window * window
             total.append(len(ids))
             whole.append([checksum(ids[a : a + window]) for a in range(0, cut, window)])
-            rest.append(ids[cut:].tobytes())
-            near.append(neighbourhood(ids[cut:]) if cut < len(ids) else 0)
-        columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(near, pa.int64())]
+            rest.append(ids[cut:])
+        columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rest], pa.binary()), pa.array(neighbourhoods(rest))]
         return pa.record_batch(columns, ["doc_id", "doc_tokens", "whole", "rest", "near"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, doc_tokens long, whole array<long>, rest binary, near long")
@@ -146,7 +156,8 @@ def statistics(coded: DataFrame) -> Statistics:
 
 
 class Index:
-    """The tokens of a shard's left-overs, inverted, with their BM25 weights."""
+    """The tokens of a shard's left-overs, inverted, with their BM25 weights. Tokens that many of them hold have a row of weights each, which
+    a product adds up; of the others the postings are kept."""
 
     def __init__(self, rests: list[np.ndarray], corpus: Statistics):
         docs, terms, times = [], [], []
@@ -157,22 +168,39 @@ class Index:
             times.append(n)
         doc, term, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, terms, times))
         order = np.argsort(term, kind="stable")
-        doc, term, n = doc[order], term[order], n[order].astype(np.float64)
+        doc, term, n = doc[order].astype(np.intp), term[order], n[order].astype(np.float64)
         length = np.array([len(x) for x in rests], np.float64)
         self.count = len(rests)
-        self.bounds = np.searchsorted(term, np.arange(1 << 16 | 1))
         norm = K1 * (1 - B + B * length / corpus.mean)
-        self.doc, self.weight = doc, corpus.idf[term] * n * (K1 + 1) / (n + norm[doc])
+        weight = corpus.idf[term] * n * (K1 + 1) / (n + norm[doc])
+        held_by = np.bincount(term, minlength=1 << 16)
+        common = np.flatnonzero(held_by >= max(1, self.count // COMMON_SHARE))
+        #: The row of each token that has one.
+        self.row = np.full(1 << 16, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        row = self.row[term]
+        self.rows, self.alive = np.zeros((len(common), self.count)), np.arange(self.count)
+        self.rows[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        self.doc, self.weight = doc[row < 0], weight[row < 0]
+        self.bounds = np.searchsorted(term[row < 0], np.arange(1 << 16 | 1))
 
     def keep(self, unused: np.ndarray) -> None:
-        """Drops the postings of what is used; no later seed may take it."""
+        """Drops the postings and columns of what is used; no later seed may take it."""
         kept = unused[self.doc]
         self.bounds = np.concatenate(([0], np.cumsum(kept)))[self.bounds]
         self.doc, self.weight = self.doc[kept], self.weight[kept]
+        self.rows = np.ascontiguousarray(self.rows[:, unused[self.alive]])
+        self.alive = self.alive[unused[self.alive]]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in np.unique(ids).tolist()]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.count)
+        terms = np.unique(ids)
+        rows = self.row[terms]
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms[rows < 0].tolist()]
+        out = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.count).astype(np.float64, copy=False) if spans else np.zeros(self.count)
+        asked = np.zeros(len(self.rows))
+        asked[rows[rows >= 0]] = 1.0
+        out[self.alive] += asked @ self.rows
+        return out
 
 
 def fill(rests: list[np.ndarray], window: int = WINDOW, corpus: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
