@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.functions import text as X
@@ -193,8 +193,9 @@ def upsert_patterns(patterns: DataFrame, changes: DataFrame, now: Column) -> Dat
     merged = T.merge_patterns(patterns.select("name_key", "name", "pattern", "source", "occurrences", "weight"), changes)
     old = patterns.select("name_key", "id", "created_at", F.col("enabled").alias("_enabled"), F.col("updated_at").alias("_updated"), F.col("last_seen_at").alias("_seen"))
     rows = merged.join(old, "name_key", "left").join(changes.select("name_key", F.coalesce("enabled", F.lit(1)).alias("_now"), F.lit(True).alias("_hit")), "name_key", "left")
-    # Skills are a vocabulary, few against jobs; new ones are numbered in one task.
-    new = rows.where("id IS NULL").join(F.broadcast(patterns.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")))).withColumn("id", F.col("_last") + F.row_number().over(Window.orderBy("name_key"))).drop("_last")
+    rows = cut(rows)
+    last = patterns.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(rows.where("id IS NULL"), [F.col("name_key")], "_place").withColumn("id", F.col("_place") + last).drop("_place")
     rows = rows.where("id IS NOT NULL").unionByName(new).withColumns({
         "enabled": F.coalesce("_now", "_enabled"), "created_at": F.coalesce("created_at", now), "updated_at": F.when(F.col("_hit"), now).otherwise(F.col("_updated")), "last_seen_at": F.when(F.col("_hit"), now).otherwise(F.col("_seen")),
     })

@@ -16,7 +16,7 @@ from triagemill.operators import extract, skills, state
 from triagemill.operators import triage as T
 from triagemill.plans.registry import query, table
 from triagemill.profile import Profile
-from triagemill.scratch import shared_folder
+from triagemill.scratch import numbered, shared_folder
 
 #: (link, written anew, provider, is a job link); # is a number of 12 digits.
 LINKS = (
@@ -135,10 +135,8 @@ def skill_cleanup_candidates(spark, sf):
 
 
 def _placed(rows: DataFrame, *order) -> DataFrame:
-    """The rows with their place in the served order (a few rows), so that the order is compared too."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """The rows with their place in the served order, so that the order is compared too."""
+    return numbered(rows, [F.col(o) if isinstance(o, str) else o for o in order], "place")
 
 
 @query("skill_answer_items", f"SELECT c_custkey, {case_sql(ANSWERS, 1, 'c_custkey')} AS names, {case_sql(ANSWERS, 2, 'c_custkey')}::DOUBLE AS sure FROM customer")
