@@ -119,6 +119,17 @@ def tokenized(docs: DataFrame, files: tuple[str, str, str] | None = None, window
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, doc_tokens long, whole array<long>, rest binary, near long")
 
 
+def postings(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, place of the left-over, times it holds the token), ordered by token and place: one sort of all of them."""
+    size = np.array([len(r) for r in rests], np.int64)
+    if not size.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    key = np.concatenate(rests).astype(np.int64) << 32 | np.repeat(np.arange(len(rests)), size)
+    key.sort()
+    first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(first, append=len(key))
+
+
 class Statistics:
     """BM25's view of the corpus: the number of left-overs, their mean length, and of each token how many hold it."""
 
@@ -128,9 +139,7 @@ class Statistics:
 
     @classmethod
     def of(cls, rests: list[np.ndarray]) -> Statistics:
-        held_by = np.zeros(1 << 16, np.int64)
-        for ids in rests:
-            held_by[np.unique(ids)] += 1
+        held_by = np.bincount(postings(rests)[0], minlength=1 << 16)
         return cls(len(rests), float(np.mean([len(x) for x in rests])) if rests else 0.0, held_by)
 
 
@@ -140,11 +149,10 @@ def statistics(coded: DataFrame) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows, length = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for rest in batch.column("rest").to_pylist():
-                if rest:
-                    ids = np.frombuffer(rest, np.uint16)
-                    total[np.unique(ids)] += 1
-                    rows, length = rows + 1, length + len(ids)
+            rests = [np.frombuffer(rest, np.uint16) for rest in batch.column("rest").to_pylist() if rest]
+            rows, length = rows + len(rests), length + sum(map(len, rests))
+            for a in range(0, len(rests), SHARD_DOCS):
+                total += np.bincount(postings(rests[a : a + SHARD_DOCS])[0], minlength=1 << 16)
         tokens = np.flatnonzero(total)
         yield pa.record_batch([pa.array([*tokens.tolist(), -1, -2], pa.int32()), pa.array([*total[tokens].tolist(), rows, length], pa.int64())], ["token", "n"])
 
@@ -160,15 +168,7 @@ class Index:
     a product adds up; of the others the postings are kept."""
 
     def __init__(self, rests: list[np.ndarray], corpus: Statistics):
-        docs, terms, times = [], [], []
-        for i, ids in enumerate(rests):
-            term, n = np.unique(ids, return_counts=True)
-            docs.append(np.full(len(term), i, np.int32))
-            terms.append(term)
-            times.append(n)
-        doc, term, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, terms, times))
-        order = np.argsort(term, kind="stable")
-        doc, term, n = doc[order].astype(np.intp), term[order], n[order].astype(np.float64)
+        term, doc, n = postings(rests)
         length = np.array([len(x) for x in rests], np.float64)
         self.count = len(rests)
         norm = K1 * (1 - B + B * length / corpus.mean)
