@@ -1 +1 @@
-"""Training-data operators: ten corpus operations, each usable alone, plus their registered queries."""
+"""Training-data operators: thirteen corpus operations, each usable alone, plus their registered queries."""
