@@ -223,3 +223,16 @@ def test_keywords_by_broadcast_and_by_shards(spark):
     expected = {i: [w for _, _, w in sorted((t.lower().find(w), k, w) for k, w in enumerate(words) if w in t.lower())] for i, t in enumerate(texts)}
     for most in (None, 3):
         assert {r.id: [x.name for x in r._found] for r in P.find_keywords(rows, "id", F.col("text"), keywords, most).collect()} == expected
+
+
+def test_parts_get_the_patterns_their_texts_call_for(spark):
+    """Beyond one automaton: rows without a key, patterns of more than one word, inside words, of several strings and of none, and orders that are structs."""
+    listed = ["\\bmachine learning\\b", "(?<!\\w)KAFKA(?!\\w)", "sql", "rust|c\\+\\+", "\\bx\\d\\b", "\\w{9}", "[", "\\bdeep\\s+nets\\b", "é", "zzz"]
+    texts = ["Machine Learning, MySQL and ſQL", "kafkas Kafka", None, "", "C++ x7", "deep \n nets", "É" * 3, "machinelearning rust"] * 3
+    rows = spark.createDataFrame([(None if i % 3 else i, t) for i, t in enumerate(texts)], "id long, text string")
+    patterns = spark.createDataFrame([(i, f"n{i}", p, (-(i % 3), f"{i}")) for i, p in enumerate(listed)], "pid long, name string, pattern string, ord struct<w:int,n:string>")
+    spots = lambda t: sorted((m.start(), -(i % 3), i) for i, p in enumerate(listed) if p != "[" and (m := re.compile(p, re.I).search(t.lower())))
+    expected = collections.Counter((t, tuple((at, f"n{i}") for at, _, i in spots(t or ""))) for t in texts)
+    for most, part_texts in ((None, 2), (1, 5), (4, 2)):
+        found = P.find_patterns(rows, "id", F.col("text"), patterns, most, part_texts=part_texts).collect()
+        assert collections.Counter((r.text, tuple((x["at"], x["name"]) for x in r._found)) for r in found) == expected
