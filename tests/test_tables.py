@@ -236,3 +236,12 @@ def test_parts_get_the_patterns_their_texts_call_for(spark):
     for most, part_texts in ((None, 2), (1, 5), (4, 2)):
         found = P.find_patterns(rows, "id", F.col("text"), patterns, most, part_texts=part_texts).collect()
         assert collections.Counter((r.text, tuple((x["at"], x["name"]) for x in r._found)) for r in found) == expected
+
+
+def test_keywords_are_plain_strings(spark):
+    """A letter that patterns take for another one without regard to case is not that one; copies in capitals are found, each by its name."""
+    rows = spark.createDataFrame([(1, "ſql"), (2, "my SQL x.y"), (3, "xzy")], "id long, text string")
+    keywords = spark.createDataFrame([(w, i) for i, w in enumerate(["sql", "SQL", "x.y", "ſ"])], "keyword string, ord long")
+    for most in (None, 1):
+        found = P.find_keywords(rows, "id", F.col("text"), keywords, most).collect()
+        assert {r.id: [(x["at"], x["name"], x["first"]) for x in r._found] for r in found} == {1: [(0, "ſ", True)], 2: [(3, "sql", True), (3, "SQL", False), (7, "x.y", True)], 3: []}

@@ -446,6 +446,6 @@ def with_skills(rows: DataFrame, key: str, text: Column, patterns: DataFrame, na
 
 def find_keywords(rows: DataFrame, key: str, text: Column, keywords: DataFrame, most: int | None = None) -> DataFrame:
     """`rows` and `_found`: (at, name, first) of each keyword (keyword, ord) that the text holds, in small letters, by the place where it stands
-    first. Any number of keywords: beyond one automaton they are dealt into shards."""
-    plain = F.regexp_replace("keyword", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    return find_patterns(rows, key, text, keywords.where("keyword <> ''").select(F.xxhash64("keyword").alias("pid"), F.col("keyword").alias("name"), plain.alias("pattern"), "ord"), most)
+    first. Any number of keywords: beyond one automaton each part of the texts gets those that it may hold."""
+    plain = keywords.where("keyword <> ''").select(F.xxhash64("keyword").alias("pid"), F.col("keyword").alias("name"), F.col("keyword").alias("pattern"), "ord")
+    return find_patterns(rows, key, text, plain, most, kind=Keywords)
