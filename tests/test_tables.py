@@ -6,6 +6,7 @@ import re
 import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,17 @@ def test_keywords_are_plain_strings(spark):
     for most in (None, 1):
         found = P.find_keywords(rows, "id", F.col("text"), keywords, most).collect()
         assert {r.id: [(x["at"], x["name"], x["first"]) for x in r._found] for r in found} == {1: [(0, "ſ", True)], 2: [(3, "sql", True), (3, "SQL", False), (7, "x.y", True)], 3: []}
+
+
+def test_pages_are_handed_on_by_size(spark):
+    """A batch of many pages is parsed and handed on in pieces, in order, and a large page alone."""
+    from triagemill.sources import anchors, batches, mail
+
+    pages = [None, "", *(f'<title>t{i}</title><a href="https://x.dk/{i}">{"w" * 5000}</a>' for i in range(1000)), "<p>" + "y" * (3 << 20), "z"]
+    for out, size in (([*anchors.anchors.func(iter([pd.Series(pages)]))], "anchors"), ([*mail.parse_file.func(iter([(pd.Series(["a.html"] * len(pages)), pd.Series([p and p.encode() for p in pages]))]))], "links")):
+        assert len(out) >= 6 and sum(map(len, out)) == len(pages) and max(map(len, out)) < 250
+        assert [len(x or []) for frame in out for x in frame[size]] == [0, 0, *[1] * 1000, 0, 0]
+    assert [*batches.pieces(pd.Series([], dtype=object))] == []
+    rows = spark.createDataFrame(list(enumerate(pages)), "id long, html string").coalesce(1)
+    found = rows.select("id", anchors.anchors("html").alias("p"), mail.parse_file(F.lit("a.html"), F.encode("html", "UTF-8")).alias("f")).select("id", F.size("p.anchors").alias("n"), "f.title").collect()
+    assert {r.id: (r.n, r.title) for r in found if 1 < r.id < 1002} == {i + 2: (1, f"t{i}") for i in range(1000)} and len(found) == len(pages)
