@@ -146,7 +146,7 @@ def skill_name(c: Column) -> Column:
         t = F.regexp_replace(t, start, "")
     t = F.regexp_replace(F.regexp_replace(t, r"\(.*?\)", ""), SKILL_FILLERS, "")
     t = F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(" ,.;:-"))
-    return F.when((F.size(F.split(t, " ")) > 5) | (F.length(t) < 2), "").otherwise(t)
+    return let(t, lambda v: F.when((F.size(F.split(v, " ")) > 5) | (F.length(v) < 2), "").otherwise(v))
 
 
 def split_skills(c: Column) -> Column:

@@ -77,14 +77,16 @@ def good_phrase(name: Column) -> Column:
 def strong_candidate(name: Column, evidence: Column, confidence: Column, text: Column, threshold: float = 0.9, around: int = 200) -> Column:
     """A skill of four words at most that a model is sure of and the text holds, as its evidence; where the text holds it to the letter,
     near a cue."""
-    key, corpus = X.skill_name(name), F.lower(X.compact(text))
-    at = F.call_function("locate", key, corpus)
-    words = F.transform(F.split(key, " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    spelled = F.rlike(corpus, F.concat(F.lit(r"\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
-    proof = F.lower(X.compact(evidence))
-    start = F.greatest(F.lit(1), at - around)
-    near = F.substring(corpus, start, at + F.length(key) + around - start)
-    return (key != "") & (F.size(words) <= 4) & (confidence >= threshold) & ((at > 0) | spelled) & ((proof == "") | corpus.contains(proof)) & ((at == 0) | near.rlike(CUES))
+    def judged(v: Column) -> Column:
+        key, corpus, proof = v["key"], v["corpus"], v["proof"]
+        at = F.call_function("locate", key, corpus)
+        words = F.transform(F.split(key, " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+        spelled = F.rlike(corpus, F.concat(F.lit(r"\b"), F.array_join(words, r"\s+"), F.lit(r"\b")))
+        start = F.greatest(F.lit(1), at - around)
+        near = F.substring(corpus, start, at + F.length(key) + around - start)
+        return (key != "") & (F.size(words) <= 4) & (confidence >= threshold) & ((at > 0) | spelled) & ((proof == "") | corpus.contains(proof)) & ((at == 0) | near.rlike(CUES))
+
+    return X.let(F.struct(X.skill_name(name).alias("key"), F.lower(X.compact(text)).alias("corpus"), F.lower(X.compact(evidence)).alias("proof")), judged)
 
 
 def json_object(text: Column) -> Column:
@@ -135,13 +137,15 @@ def skills_of(rows: DataFrame, text: str, profile: Profile, model: Factory | Non
     strong and well put, a few); else those its text or the row's holds. With a `table` of patterns texts are matched with that; the known
     skills of an answer are the profile's in either case."""
     patterns = profile.patterns()
-    known = keys_of(tuple(n for n, _ in patterns))
     if table is None:
         found = mined_skills(F.col(text), patterns, limit)
     else:
         rows = P.with_skills(rows, key, F.lower(X.compact(F.col(text))), table, "_known")
         found = with_cued(F.col(text), F.col("_known"), limit)
     if model is not None:
+        # The profile's own keys are made once, not for each item of an answer.
+        names = rows.sparkSession.range(1).select(keys_of(tuple(n for n, _ in patterns)).alias("k")).first().k
+        known = F.array(*map(F.lit, names)).cast("array<string>")
         rows = ask(rows, text, "_answer", model)
         matched = F.filter(F.transform(json_items(F.col("_answer"), "matched_known"), lambda x: X.skill_name(x["name"])), lambda n: F.array_contains(known, n))
         fresh = F.filter(json_items(F.col("_answer"), "new_candidates"), lambda x: strong_candidate(x["name"], x["evidence"], x["confidence"], F.col(text), profile.skill_new_confidence_threshold) & good_phrase(x["name"]))
@@ -150,7 +154,8 @@ def skills_of(rows: DataFrame, text: str, profile: Profile, model: Factory | Non
         # An answer that is no JSON counts for the known skills it names.
         named = F.filter(X.split_skills(X.clean_answer_skills(F.col("_answer"))), lambda n: F.array_contains(known, n))
         told = F.when(json_object(F.col("_answer")) != "", told).otherwise(named)
-        found = F.when(F.size(F.coalesce(told, F.array().cast("array<string>"))) > 0, told).otherwise(found)
+        told, mined = F.coalesce(told, F.array().cast("array<string>")), found
+        found = X.let(told, lambda t: F.when(F.size(t) > 0, t).otherwise(mined))
     rows = rows.withColumn("skills", unblocked(found, profile.blocked_skills, limit)).drop("_answer", "_known")
     if cached is None:
         return rows
